@@ -79,7 +79,8 @@ def aggregate(points: DataFrame, spec: Aggregation, *, interval: int | None = No
         ]
     )
     kept = [k for k in spec.by if k not in ("plugin", "plugin_instance")]
-    return grouped.select(*kept, "ts", "type", F.explode(results).alias("r")).select(
+    listed = grouped.select(*kept, "ts", *([] if "type" in kept else ["type"]), results.alias("_results"))
+    return listed.withColumn("r", F.explode("_results")).select(
         *kept,
         "ts",
         *([] if "type" in kept else ["type"]),

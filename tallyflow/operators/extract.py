@@ -164,8 +164,8 @@ def _find_records(matched: DataFrame, entries: list[tuple[tuple[str, ...], Entry
         "collected_at",
         "extra_tags",
         F.col("_match.groups").alias("_groups"),
-        F.explode(F.expr(f"CASE _match.entry {' '.join(cases)} END")).alias("_record"),
-    )
+        F.expr(f"CASE _match.entry {' '.join(cases)} END").alias("_found"),
+    ).select("host", "collected_at", "extra_tags", "_groups", F.explode("_found").alias("_record"))
 
 
 def _numbered(entries: list[tuple[tuple[str, ...], Entry]]) -> list[tuple[int, Entry, Item]]:
@@ -212,8 +212,8 @@ def _fan_out(
         if kept:
             made = _points_of(entry, item, kept, [e for e in extended if e.item in item.names()])
             cases.append(f"WHEN {n} THEN {made}")
-    points = F.explode(F.expr(f"CASE _record.item {' '.join(cases)} END")).alias("p")
-    out = found.select("collected_at", points).select(
+    points = F.expr(f"CASE _record.item {' '.join(cases)} END").alias("_points")
+    out = found.select("collected_at", points).select("collected_at", F.explode("_points").alias("p")).select(
         "p.measurement",
         "p.host",
         "p.tags",

@@ -29,11 +29,12 @@ def apply_math(
     """
     operands = sorted({m for e in entries for m in (e.left, e.right)})
     used = points.where(F.col("measurement").isin(*operands))
-    feeds = F.explode(_feeds(entries)[F.col("measurement")]).alias("feed")
+    feeds = _feeds(entries)[F.col("measurement")].alias("_feeds")
     source, keys = with_series(used, list(by) if by is not None else None)
     keys = [k for k in keys if k != "measurement"]
     time = F.window("ts", window).alias("at") if window else F.col("ts").alias("at")
-    sides = source.select(*keys, time, "value", feeds).select(*keys, "at", "value", "feed.*")
+    sides = source.select(*keys, time, "value", feeds)
+    sides = sides.select(*keys, "at", "value", F.explode("_feeds").alias("feed")).select(*keys, "at", "value", "feed.*")
     both = sides.groupBy(*keys, "at", "output").agg(
         F.max(F.when(F.col("side") == "left", F.col("value"))).alias("_left"),
         F.max(F.when(F.col("side") == "right", F.col("value"))).alias("_right"),

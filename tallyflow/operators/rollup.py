@@ -110,19 +110,19 @@ def rollup_many(
     groups by; partial aggregation folds the copies before they are shuffled.
     """
     specs = list(rollups)
-    wanted = F.array(*[F.when(r.keeps(points), F.lit(i)) for i, r in enumerate(specs)])
     measurements = sorted({r.measurement for r in specs})
     keys = sorted({t for r in specs for t in r.tags})
     source = points.where(F.col("measurement").isin(*measurements))
-    copies = source.select(
-        "ts", "value", *tag_columns(source, keys), F.explode(F.array_compact(wanted)).alias("_rollup")
-    )
-    by = []
-    for key in keys:
-        users = [i for i, r in enumerate(specs) if key in r.tags]
-        by.append(F.when(F.col("_rollup").isin(*users), F.col(key)).alias(key))
+
+    def copy(number: int, r: Rollup) -> Column:
+        grouped = [(tag(source, k) if k in r.tags else F.lit(None)).cast("string").alias(k) for k in keys]
+        return F.when(r.keeps(source), F.struct(F.lit(number).alias("_rollup"), *grouped))
+
+    wanted = F.array_compact(F.array(*[copy(i, r) for i, r in enumerate(specs)]))
+    copies = source.select("ts", "value", wanted.alias("_copies"))
+    copies = copies.select("ts", "value", F.explode("_copies").alias("c")).select("ts", "value", "c.*")
     window = F.window("ts", f"{interval * periods} seconds").alias("w")
-    summed = copies.groupBy("_rollup", window, *by).agg((F.sum("value") / F.lit(periods)).alias("sum"))
+    summed = copies.groupBy("_rollup", window, *keys).agg((F.sum("value") / F.lit(periods)).alias("sum"))
     names = F.array(*[F.lit(r.name) for r in specs])
     pairs: list[Column] = []
     for key in keys:

@@ -77,26 +77,35 @@ def bucket(
     )
     if fill is None:
         return found
-    spans = found.groupBy(*keys).agg(F.min("bucket").alias("_from"), F.max("bucket").alias("_to"))
-    low = F.col("_from") if start is None else _floor(start, step)
-    high = F.col("_to") if end is None else _floor(end, step)
-    grid = spans.select(*keys, F.explode(F.sequence(low, high, F.expr(f"interval {step}"))).alias("bucket"))
-    on = [grid[k].eqNullSafe(found[k]) for k in (*keys, "bucket")]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    full = grid.join(found, condition, "left").select(*[grid[k] for k in keys], grid["bucket"], found[value])
-    if fill == "null":
-        return full
-    if fill == "previous":
-        w = Window.partitionBy(*keys).orderBy("bucket")
-        return full.withColumn(value, F.last(value, ignorenulls=True).over(w))
-    return full.withColumn(value, F.coalesce(F.col(value), F.lit(float(fill))))
+    step_of = F.expr(f"interval {step}")
+    if start is not None:
+        found = found.where(F.col("bucket") >= _floor(start, step))
+    if end is not None:
+        found = found.where(F.col("bucket") <= _floor(end, step))
+    # Each bucket also emits the empty ones up to the series' next bucket, so the
+    # gaps are filled in one pass and nothing is joined back.
+    w = Window.partitionBy(*keys).orderBy("bucket")
+    low = F.col("bucket") if start is None else _floor(start, step)
+    high = F.col("bucket") if end is None else _floor(end, step)
+    first = F.when(F.lag("bucket").over(w).isNull(), low).otherwise(F.col("bucket"))
+    last = F.coalesce(F.lead("bucket").over(w) - step_of, high)
+    spans = found.withColumn("_first", first).withColumn("_last", last)
+    slots = spans.select(*keys, F.col("bucket").alias("_own"), value, F.sequence("_first", "_last", step_of).alias("_slots"))
+    full = slots.select(*keys, "_own", value, F.explode("_slots").alias("bucket"))
+    own = F.col("bucket") >= F.col("_own") if fill == "previous" else F.col("bucket") == F.col("_own")
+    filled = F.when(own, F.col(value))
+    if fill not in ("null", "previous"):
+        filled = F.coalesce(filled, F.lit(float(fill)))
+    return full.select(*keys, "bucket", filled.alias(value))
+
+
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
 def _floor(ts: Column, step: str) -> Column:
-    seconds = F.expr(f"extract(second from interval {step}) + 60 * extract(minute from interval {step})"
-                     f" + 3600 * extract(hour from interval {step}) + 86400 * extract(day from interval {step})")
+    """Start of the epoch-aligned step a time falls in."""
+    count, unit = step.split()
+    seconds = F.lit(int(count) * _UNITS[unit.rstrip("s")])
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / seconds) * seconds)
 
 
