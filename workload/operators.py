@@ -270,15 +270,15 @@ def _(spark, sf):
 @query(
     "math_ratio",
     f"WITH {EVENTS_SQL}, b AS (SELECT {DIMENSIONS['job_id']} AS job_id, sec, k, value FROM e WHERE k > 0)"
-    " SELECT 'mean' AS measurement, job_id, sec, round(value / k, 6) AS value FROM b"
-    " UNION ALL SELECT 'mean_square' AS measurement, job_id, sec, round(value * value / k, 6) AS value FROM b",
+    " SELECT 'mean' AS measurement, job_id, sec, CAST(CAST(value / k AS FLOAT) AS DOUBLE) AS value FROM b"
+    " UNION ALL SELECT 'mean_square' AS measurement, job_id, sec, CAST(CAST(value * value / k AS FLOAT) AS DOUBLE) AS value FROM b",
 )
 def _(spark, sf):
     """Mean and mean square of one statistic; zero samples give nothing."""
     p = _operands(spark, sf, {"sum": ("value", "true"), "sum_square": ("value * value", "true"), "samples": ("k", "true")})
     entries = [MathEntry("sum", "/", "samples", "mean", "mean"), MathEntry("sum_square", "/", "samples", "mean_square", "mean_square")]
     out = apply_math(p, entries)
-    return out.select("measurement", *tag_columns(out, ["job_id"]), F.unix_seconds("ts").alias("sec"), r6("value").alias("value"))
+    return out.select("measurement", *tag_columns(out, ["job_id"]), F.unix_seconds("ts").alias("sec"), f32("value").alias("value"))
 
 
 # ------------------------------------------------------------------- rollups

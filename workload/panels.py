@@ -277,7 +277,7 @@ for _service, _request in (("mdt", "req_waittime"), ("mdt_readpage", "mds_close"
 
 @query(
     "service_mean",
-    f"WITH {EVENTS_SQL} SELECT {DIMENSIONS['host']} AS host, sec, round(value / k, 6) AS value FROM e WHERE k > 0",
+    f"WITH {EVENTS_SQL} SELECT {DIMENSIONS['host']} AS host, sec, CAST(CAST(value / k AS FLOAT) AS DOUBLE) AS value FROM e WHERE k > 0",
 )
 def _(spark, sf):
     e = events(spark, sf)
@@ -289,7 +289,7 @@ def _(spark, sf):
     p = e.select(F.expr(DIMENSIONS["host"]).alias("host"), tags.alias("tags"), "ts", F.explode(made).alias("m")).select(
         "m.measurement", "host", "tags", "ts", "m.value"
     )
-    return Q.service_mean(p, "mdt", "req_qdepth").select("host", F.unix_seconds("ts").alias("sec"), r6("value").alias("value"))
+    return Q.service_mean(p, "mdt", "req_qdepth").select("host", F.unix_seconds("ts").alias("sec"), f32("value").alias("value"))
 
 
 # ------------------------------------------------------- locks and recovery
