@@ -38,8 +38,11 @@ def render(template: str, env: Environment) -> str:
     return pieces[0] if len(pieces) == 1 else f"concat({', '.join(pieces)})"
 
 
-def render_tags(template: str, env: Environment) -> str:
-    """A ``k=v k=v`` template as a map; keys are fixed when the plan is made."""
+def render_tags(template: str, env: Environment, *, optional: bool = False) -> str:
+    """A ``k=v k=v`` template as a map; keys are fixed when the plan is made.
+
+    With ``optional`` a tag whose value is empty is left out.
+    """
     pairs = [] if template.strip() in ("", "NA") else template.split()
     if not pairs:
         return NO_TAGS
@@ -48,5 +51,4 @@ def render_tags(template: str, env: Environment) -> str:
         key, value = pair.split("=", 1)
         entries += [literal(key), render(value, env)]
     made = f"map({', '.join(entries)})"
-    # A field without the attribute carries no such tag.
-    return f"map_filter({made}, (k, v) -> v != '')" if "${field:" in template else made
+    return f"map_filter({made}, (k, v) -> v != '')" if optional else made

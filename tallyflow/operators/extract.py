@@ -142,9 +142,21 @@ def _match(snapshots: DataFrame, entries: list[tuple[tuple[str, ...], Entry]]) -
         if versions:
             applies = f"version IN ({', '.join(map(X.literal, versions))}) AND {applies}"
         groups = X.captured("path", entry.regex) if entry.variables else "CAST(array() AS array<string>)"
-        cases.append(f"WHEN {applies} THEN named_struct('entry', {i}, 'groups', {groups})")
-    match = F.expr(f"CASE {' '.join(cases)} END")
-    return snapshots.withColumn("_match", match).where(F.col("_match").isNotNull())
+        cases.append(f"WHEN {applies} THEN array(named_struct('entry', {i}, 'groups', {groups}))")
+    match = snapshots.withColumn("_matches", F.expr(f"CASE {' '.join(cases)} END"))
+    return _unfold(match, "_matches", "_match")
+
+
+def _unfold(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per element of an array column.
+
+    The outer form followed by a null check gives the rows of the plain form, but
+    keeps the optimizer from also filtering on the array's size before: that
+    filter would be pushed down to the text and find every match a second time.
+    What comes out is a plain column, so later steps never repeat its expression.
+    """
+    others = [c for c in rows.columns if c != column]
+    return rows.select(*others, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
 
 
 def _find_records(matched: DataFrame, entries: list[tuple[tuple[str, ...], Entry]]) -> DataFrame:
@@ -165,7 +177,7 @@ def _find_records(matched: DataFrame, entries: list[tuple[tuple[str, ...], Entry
         "extra_tags",
         F.col("_match.groups").alias("_groups"),
         F.expr(f"CASE _match.entry {' '.join(cases)} END").alias("_found"),
-    ).select("host", "collected_at", "extra_tags", "_groups", F.explode("_found").alias("_record"))
+    ).transform(_unfold, "_found", "_record")
 
 
 def _numbered(entries: list[tuple[tuple[str, ...], Entry]]) -> list[tuple[int, Entry, Item]]:
@@ -211,33 +223,40 @@ def _fan_out(
         kept = [f for f in item.fields if f.name not in dropped]
         if kept:
             made = _points_of(entry, item, kept, [e for e in extended if e.item in item.names()])
-            cases.append(f"WHEN {n} THEN {made}")
-    points = F.expr(f"CASE _record.item {' '.join(cases)} END").alias("_points")
-    out = found.select("collected_at", points).select("collected_at", F.explode("_points").alias("p")).select(
-        "p.measurement",
-        "p.host",
-        "p.tags",
+            cases.append(f"WHEN {n} THEN array({made})")
+    made = found.select("collected_at", F.expr(f"CASE _record.item {' '.join(cases)} END").alias("_made"))
+    shared = _unfold(made, "_made", "_s").select("collected_at", "_s", F.col("_s.points").alias("_points"))
+    rows = _unfold(shared, "_points", "p")
+
+    def part(name: str) -> Column:
+        return F.coalesce(F.col(f"p.{name}"), F.col(f"_s.{name}")).alias(name)
+
+    out = rows.select(
+        part("measurement"),
+        part("host"),
+        part("tags"),
         F.col("collected_at").alias("ts"),
         "p.ds_type",
         "p.value",
-        "p.plugin",
-        "p.plugin_instance",
+        part("plugin"),
+        part("plugin_instance"),
         F.col("p.ds_type").alias("type"),
-        "p.type_instance",
-        "p.item",
-        "p.field",
-        "p.first_value",
-        "p.interval_gauge",
+        part("type_instance"),
+        part("item"),
+        part("field"),
+        "_s.first_value",
+        "_s.interval_gauge",
     )
     out = out.where(F.col("value").isNotNull())
     return out.where(~F.col("field").isin(*sorted(dropped))) if dropped else out
 
 
 def _points_of(entry: Entry, item: Item, fields: list[Field], extended: list[ExtendedParse]) -> str:
-    """Array of points of one record.
+    """What the points of one record share, and the array of what they do not.
 
     The fields are a constant array, so the expression does not grow with the
-    number of fields a layout has.
+    number of fields a layout has, and only templates that name the field are
+    rendered per point; all others are rendered once per record.
     """
     attrs = sorted({a for f in fields for a in f.attrs})
     constants = []
@@ -248,26 +267,39 @@ def _points_of(entry: Entry, item: Item, fields: list[Field], extended: list[Ext
     env = _environment(entry, item)
     # A field's own name may be a template too; then all fields of the item share it.
     names = {f.name for f in fields}
-    own = TPL.render(next(iter(names)), env) if len(names) == 1 else "f.name"
-    env["field"] = lambda a: own if a == "name" else f"f.a_{a}"
-    tags = TPL.render_tags(item.tags, env)
-    if extended:
-        more = [e.tag_map(env["content"](e.field)) for e in extended]
-        tags = f"map_concat({', '.join([tags, *more])})"
-    first = "CAST(NULL AS double)" if item.first_value is None else f"{item.first_value}D"
-    parts = {
-        "measurement": TPL.render(item.measurement, env),
-        "host": TPL.render(item.host, env),
-        "tags": tags,
-        "ds_type": "f.ds_type",
-        "value": X.number("get(_record.captures, f.at)"),
-        "plugin": TPL.render(item.plugin, env),
-        "plugin_instance": TPL.render(item.plugin_instance, env),
-        "type_instance": TPL.render(item.type_instance, env),
-        "item": TPL.render(item.name, env),
-        "field": own,
-        "first_value": first,
-        "interval_gauge": "true" if entry.reset_on_read else "false",
+    one_name = len(names) == 1
+    env["field"] = lambda a: f"f.a_{a}" if a != "name" else TPL.render(next(iter(names)), env) if one_name else "f.name"
+
+    templates = {
+        "measurement": item.measurement,
+        "host": item.host,
+        "tags": item.tags,
+        "plugin": item.plugin,
+        "plugin_instance": item.plugin_instance,
+        "type_instance": item.type_instance,
+        "item": item.name,
+        "field": "${field:name}",
     }
-    struct = ", ".join(f"'{name}', {value}" for name, value in parts.items())
-    return f"transform(array({', '.join(constants)}), f -> named_struct({struct}))"
+    shared, own = {}, {}
+    for name, template in templates.items():
+        used = {a for kind, a in TPL.variables(template) if kind == "field"} - ({"name"} if one_name else set())
+        if name == "tags":
+            lacking = any(f.attrs.get(a, "") == "" for f in fields for a in used - {"name"})
+            value = TPL.render_tags(template, env, optional=lacking)
+            if extended:
+                more = [e.tag_map(env["content"](e.field)) for e in extended]
+                value = f"map_concat({', '.join([value, *more])})"
+        else:
+            value = TPL.render(template, env)
+        missing = "CAST(NULL AS map<string,string>)" if name == "tags" else "CAST(NULL AS string)"
+        shared[name], own[name] = (missing, value) if used else (value, missing)
+    shared["first_value"] = "CAST(NULL AS double)" if item.first_value is None else f"{item.first_value}D"
+    shared["interval_gauge"] = "true" if entry.reset_on_read else "false"
+    own["ds_type"] = "f.ds_type"
+    own["value"] = X.number("get(_record.captures, f.at)")
+    shared["points"] = f"transform(array({', '.join(constants)}), f -> {_struct(own)})"
+    return _struct(shared)
+
+
+def _struct(parts: Mapping[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in parts.items()) + ")"

@@ -34,7 +34,7 @@ def apply_math(
     keys = [k for k in keys if k != "measurement"]
     time = F.window("ts", window).alias("at") if window else F.col("ts").alias("at")
     sides = source.select(*keys, time, "value", feeds)
-    sides = sides.select(*keys, "at", "value", F.explode("_feeds").alias("feed")).select(*keys, "at", "value", "feed.*")
+    sides = sides.select(*keys, "at", "value", F.explode_outer("_feeds").alias("feed")).select(*keys, "at", "value", "feed.*")
     both = sides.groupBy(*keys, "at", "output").agg(
         F.max(F.when(F.col("side") == "left", F.col("value"))).alias("_left"),
         F.max(F.when(F.col("side") == "right", F.col("value"))).alias("_right"),

@@ -120,7 +120,8 @@ def rollup_many(
 
     wanted = F.array_compact(F.array(*[copy(i, r) for i, r in enumerate(specs)]))
     copies = source.select("ts", "value", wanted.alias("_copies"))
-    copies = copies.select("ts", "value", F.explode("_copies").alias("c")).select("ts", "value", "c.*")
+    copies = copies.select("ts", "value", F.explode_outer("_copies").alias("c")).where(F.col("c").isNotNull())
+    copies = copies.select("ts", "value", "c.*")
     window = F.window("ts", f"{interval * periods} seconds").alias("w")
     summed = copies.groupBy("_rollup", window, *keys).agg((F.sum("value") / F.lit(periods)).alias("sum"))
     names = F.array(*[F.lit(r.name) for r in specs])
