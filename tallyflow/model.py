@@ -72,14 +72,14 @@ def with_series(df: DataFrame, by: Sequence[str] | None) -> tuple[DataFrame, lis
         added = [name for name in by if not has_column(df, name)]
         return df.select("*", *tag_columns(df, added)), list(by)
     keys = [k for k in ("measurement", "host") if has_column(df, k)]
-    entries = F.array_sort(F.map_entries(F.coalesce(F.col("tags"), F.create_map().cast(TAGS))))
+    entries = F.sort_array(F.map_entries(F.coalesce(F.col("tags"), F.create_map().cast(TAGS))))
     return df.withColumn("_series_tags", entries), [*keys, "_series_tags"]
 
 
 def series_key(df: DataFrame) -> Column:
     """64-bit hash of a series, for spreading work only (never for equality)."""
     parts = [F.col(k) for k in ("measurement", "host") if has_column(df, k)]
-    return F.xxhash64(*parts, F.array_sort(F.map_entries("tags")))
+    return F.xxhash64(*parts, F.sort_array(F.map_entries("tags")))
 
 
 def epoch_seconds(ts: Column | str) -> Column:

@@ -72,7 +72,9 @@ def rate(
     if chunk is not None:
         rows = _with_carried_tails(rows, keys, int(chunk))
         keys = [*keys, "_chunk"]
-    w = Window.partitionBy(*keys).orderBy("ts", "value")
+    # Sorting starts with a number, so long tag sets are compared only on a tie.
+    rows = rows.withColumn("_order", F.xxhash64(*keys))
+    w = Window.partitionBy("_order", *keys).orderBy("ts", "value")
     first = F.lit(float(first_value)) if first_value is not None else None
     if first is None and has_column(points, "first_value"):
         first = F.col("first_value")
@@ -95,13 +97,13 @@ def rate(
 
 def _with_carried_tails(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     rows = rows.withColumn("_chunk", F.floor(F.unix_seconds("ts") / F.lit(seconds)))
-    last = F.max(F.struct("ts", "value")).alias("_last")
-    tails = rows.groupBy(*keys, "_chunk").agg(last)
+    # Both buffers are plain numbers, which keeps this a hash aggregate.
+    tails = rows.groupBy(*keys, "_chunk").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
     following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
     carried = tails.select(
         *keys,
-        F.col("_last.ts").alias("ts"),
-        F.col("_last.value").alias("value"),
+        "ts",
+        "value",
         following.alias("_chunk"),
         F.lit(True).alias("_carried"),
     ).where(F.col("_chunk").isNotNull())

@@ -37,8 +37,9 @@ class Rollup:
     def name(self) -> str:
         return rollup_name(self.measurement, self.tags)
 
-    def keeps(self, points: DataFrame) -> Column:
-        keep = F.col("measurement") == self.measurement
+    def filter(self, points: DataFrame) -> Column:
+        """The points of the measurement this rollup sums."""
+        keep = F.lit(True)
         if self.only:
             keep &= tag(points, self.only[0]).isin(*self.only[1])
         if self.present:
@@ -114,11 +115,21 @@ def rollup_many(
     keys = sorted({t for r in specs for t in r.tags})
     source = points.where(F.col("measurement").isin(*measurements))
 
-    def copy(number: int, r: Rollup) -> Column:
-        grouped = [(tag(source, k) if k in r.tags else F.lit(None)).cast("string").alias(k) for k in keys]
-        return F.when(r.keeps(source), F.struct(F.lit(number).alias("_rollup"), *grouped))
+    shown = {k: tag(source, k).cast("string").alias(k) for k in keys}
+    absent = {k: F.lit(None).cast("string").alias(k) for k in keys}
 
-    wanted = F.array_compact(F.array(*[copy(i, r) for i, r in enumerate(specs)]))
+    def copy(number: int, r: Rollup) -> Column:
+        made = F.struct(F.lit(number).alias("_rollup"), *[shown[k] if k in r.tags else absent[k] for k in keys])
+        return F.when(r.filter(source), made) if r.only or r.present else made
+
+    # Only the rollups of a point's own measurement are looked at.
+    wanted = F.lit(None)
+    for m in measurements:
+        mine = [(i, r) for i, r in enumerate(specs) if r.measurement == m]
+        listed = F.array(*[copy(i, r) for i, r in mine])
+        if any(r.only or r.present for _, r in mine):
+            listed = F.array_compact(listed)
+        wanted = F.when(F.col("measurement") == m, listed).otherwise(wanted)
     copies = source.select("ts", "value", wanted.alias("_copies"))
     copies = copies.select("ts", "value", F.explode_outer("_copies").alias("c")).where(F.col("c").isNotNull())
     copies = copies.select("ts", "value", "c.*")

@@ -45,10 +45,13 @@ def top(
 
 
 def latest(points: DataFrame, by: Sequence[str], value: str = "value", ts: str = "ts") -> DataFrame:
-    """Newest point of each series, from one aggregate and no sort."""
+    """Newest point of each series, from one hash aggregate and no sort.
+
+    A point is known by its series and time; were there two, either may be shown.
+    """
     rows, keys = with_series(points, by)
-    newest = rows.groupBy(*keys).agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))).alias("p"))
-    return newest.select(*keys, F.col("p.ts").alias(ts), F.col("p.value").alias(value))
+    newest = rows.groupBy(*keys).agg(F.max(ts).alias("_newest"), F.max_by(value, ts).alias("_value"))
+    return newest.select(*keys, F.col("_newest").alias(ts), F.col("_value").alias(value))
 
 
 def bucket(

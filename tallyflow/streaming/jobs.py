@@ -24,6 +24,7 @@ from tallyflow.model import TAGS, epoch_seconds, tag_columns, with_series
 from tallyflow.operators import extract as E
 from tallyflow.operators.metric_math import apply_math
 from tallyflow.operators.rates import RESET_POLICIES
+from tallyflow.operators.summary import latest
 from tallyflow.operators.rollup import DEFAULT_INTERVAL, DEFAULT_PERIODS, rollup
 
 
@@ -164,12 +165,11 @@ def stream_latest(points: DataFrame, by: Sequence[str], path: str, checkpoint: s
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows, keys = with_series(batch, list(by))
-        fresh = rows.select(*keys, F.struct("ts", "value").alias("p"))
+        fresh = rows.select(*keys, "ts", "value")
         current = _version(spark, path, number - 1)
         if current is not None:
-            fresh = fresh.unionByName(current.select(*keys, F.struct("ts", "value").alias("p")))
-        newest = fresh.groupBy(*keys).agg(F.max("p").alias("p"))
-        out = newest.select(*keys, "p.ts", "p.value", F.lit(number).cast("bigint").alias("batch"))
+            fresh = fresh.unionByName(current.select(*keys, "ts", "value"))
+        out = latest(fresh, keys).withColumn("batch", F.lit(number).cast("bigint"))
         out.write.mode("overwrite").parquet(f"{path}/{number % 2}")
 
     writer = points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
