@@ -69,21 +69,24 @@ def aggregate(points: DataFrame, spec: Aggregation, *, interval: int | None = No
     if interval:
         at = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / F.lit(interval)) * F.lit(interval))
     chosen = points.where(matches(spec.conditions()))
-    grouped = chosen.groupBy(*spec.by, at.alias("ts")).agg(
-        *[FUNCTIONS[f](F.col("value")).alias(f) for f in spec.functions], F.first("type").alias("type")
-    )
+    # The type is fixed by the specification, or one more thing to group by.
+    fixed = spec.type is not None and spec.type == spec.type.strip("/")
+    by = list(spec.by) if fixed or "type" in spec.by else [*spec.by, "type"]
+    grouped = chosen.groupBy(*by, at.alias("ts")).agg(*[FUNCTIONS[f](F.col("value")).alias(f) for f in spec.functions])
+    if fixed:
+        grouped = grouped.withColumn("type", F.lit(spec.type))
     results = F.array(
         *[
             F.struct(F.lit(spec.label(f)).alias("plugin_instance"), F.lit(f).alias("function"), F.col(f).alias("value"))
             for f in spec.functions
         ]
     )
-    kept = [k for k in spec.by if k not in ("plugin", "plugin_instance")]
-    listed = grouped.select(*kept, "ts", *([] if "type" in kept else ["type"]), results.alias("_results"))
+    kept = [k for k in spec.by if k not in ("plugin", "plugin_instance", "type")]
+    listed = grouped.select(*kept, "ts", "type", results.alias("_results"))
     return listed.withColumn("r", F.explode("_results")).select(
         *kept,
         "ts",
-        *([] if "type" in kept else ["type"]),
+        "type",
         F.lit(spec.set_plugin).alias("plugin"),
         "r.plugin_instance",
         F.col("r.function").alias("function"),

@@ -8,6 +8,8 @@ Files are small by construction: a file holds the rows of one group of tags.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from tallyflow.operators.extract import ExtendedParse, decimate, drop_stale, ext
 from tallyflow.operators.metric_math import apply_math
 from tallyflow.operators.rates import rate
 from tallyflow.operators.rollup import rollup
+from tallyflow.session import shared_folder
+from tallyflow.sources.points import read_points, write_points
 from workload.operators import f32, f32_sql, r6
 from workload.registry import query
 from workload.tables import DIMENSIONS, EVENTS_SQL, events
@@ -272,8 +276,12 @@ def _(spark, sf):
     " SELECT job_id, CAST(floor(day / (4 * 86400)) AS BIGINT) * 4 * 86400 AS window_start, round(sum(rate) / 4, 6) AS sum FROM r GROUP BY ALL",
 )
 def _(spark, sf):
-    """Text to points to rates to a rollup: the whole path of a panel."""
-    points = extract(_job_files(spark, sf), lustre.definition("2.12"))
+    """Text to stored points to rates to a rollup: the whole path of a panel.
+
+    Points are stored before rates are taken, so each file is read once."""
+    path = f"{shared_folder(spark)}/points-{uuid.uuid4().hex}"
+    write_points(extract(_job_files(spark, sf), lustre.definition("2.12")), path)
+    points = read_points(spark, path)
     reads = points.where((F.col("measurement") == "ost_jobstats_bytes") & (F.col("tags")["optype"] == "sum_read_bytes"))
     rates = rate(reads, interval=DAY)
     rolled = rollup(rates, "ost_jobstats_bytes", ["job_id"], interval=DAY)
