@@ -91,6 +91,18 @@ def decimate(snapshots: DataFrame, every: int, interval: int = 60) -> DataFrame:
     return snapshots.where(slot % F.lit(every) == 0)
 
 
+def as_gauges(points: DataFrame, words: Sequence[str] = ("min", "max")) -> DataFrame:
+    """Treat running minima and maxima as gauges.
+
+    The catalogs declare every column of a statistics line a counter, as the
+    systems they come from do; a rate of a running minimum means nothing, so this
+    is for whoever wants the reading itself.
+    """
+    word = "|".join(words)
+    extreme = F.col("measurement").rlike(f"_({word})(_|$)") | F.col("field").rlike(f"^({word})_")
+    return points.withColumn("ds_type", F.when(extreme, F.lit("gauge")).otherwise(F.col("ds_type")))
+
+
 # How a command prints the time its output was produced.
 PRODUCED_AT_PATTERN = r"[A-Z][a-z]{2} ([A-Z][a-z]{2} [ 0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} [0-9]{4})"
 PRODUCED_AT_FORMAT = "MMM d HH:mm:ss yyyy"

@@ -67,12 +67,17 @@ def newest_time(points: DataFrame, measurement: str, tags: Mapping[str, str] | N
 
 
 def freshness(before: DataFrame, now: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Does the newest point of each series move forward between two looks?"""
-    old = before.groupBy(*tag_columns(before, by)).agg(F.max("ts").alias("before"))
-    new = now.groupBy(*tag_columns(now, by)).agg(F.max("ts").alias("newest"))
-    joined = new.join(old, list(by), "left")
+    """Does the newest point of each series move forward between two looks?
+
+    Both looks are put side by side in one aggregate, so nothing is joined.
+    Series that only the first look saw are left out.
+    """
+    empty = F.lit(None).cast("timestamp")
+    old = before.select(*tag_columns(before, by), F.col("ts").alias("before"), empty.alias("newest"))
+    new = now.select(*tag_columns(now, by), empty.alias("before"), F.col("ts").alias("newest"))
+    both = old.unionByName(new).groupBy(*by).agg(F.max("before").alias("before"), F.max("newest").alias("newest"))
     moved = F.col("before").isNull() | (F.col("newest") > F.col("before"))
-    return joined.select(*by, "before", "newest", moved.alias("fresh"))
+    return both.where(F.col("newest").isNotNull()).select(*by, "before", "newest", moved.alias("fresh"))
 
 
 # Capacity measurements every target must report.

@@ -75,6 +75,8 @@ def test_job_records(spark):
     count = values(p, "ost_jobstats_samples", "job_id", "optype")
     assert count[("root", "write_samples")] == 4168 and count[("root", "quotactl")] == 9
     assert {r.first_value for r in p.collect()} == {0.0}
+    kinds = {(r.tags["optype"], r.ds_type) for r in E.as_gauges(p).where("measurement = 'ost_jobstats_bytes'").collect()}
+    assert ("min_read_bytes", "gauge") in kinds and ("sum_read_bytes", "derive") in kinds
 
 
 def test_rules_fields_and_owner(spark):

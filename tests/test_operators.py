@@ -114,6 +114,14 @@ def test_rollups(spark):
     assert got == pytest.approx(expected)
 
 
+def test_rollup_of_a_rollup(spark):
+    df = points(spark, [("m", "h", {"a": str(i % 3), "b": str(i % 5)}, 30 * i, "gauge", i) for i in range(100)])
+    fine = U.rollup(df, "m", ["a", "b"], interval=60, periods=1).withColumnsRenamed({"window_start": "ts", "sum": "value"})
+    direct = {(r.a, r.window_start): r["sum"] for r in U.rollup(df, "m", ["a"]).collect()}
+    again = U.rollup(fine.drop("measurement"), "m", ["a"])
+    assert {(r.a, r.window_start): r["sum"] for r in again.collect()} == pytest.approx(direct)
+
+
 def test_absent_tag_is_one_group(spark):
     df = points(spark, [("m", "h", {"a": str(i)}, 0, "gauge", 1) for i in range(5)])
     assert [(r.optype, r["sum"]) for r in U.rollup(df, "m", ["optype"]).collect()] == [("", 1.25)]
