@@ -141,6 +141,11 @@ class Entry:
         ]
         return "^" + "".join(out) + "$"
 
+    @property
+    def prefix(self) -> str:
+        """The constant start of the path."""
+        return self.path.split("{", 1)[0]
+
     @property
     def file_name(self) -> str:
         return re.sub(r"\{[a-z_]+\}", "*", self.path.rsplit("/", 1)[-1])

@@ -155,10 +155,20 @@ def _match(snapshots: DataFrame, entries: list[tuple[tuple[str, ...], Entry]]) -
             applies = f"version IN ({', '.join(map(X.literal, versions))}) AND {applies}"
         groups = X.captured("path", entry.regex) if entry.variables else "CAST(array() AS array<string>)"
         cases.append(f"WHEN {applies} THEN array(named_struct('entry', {i}, 'groups', {groups}))")
-    match = snapshots.withColumn("_matches", F.expr(f"CASE {' '.join(cases)} END"))
+    match = _of_interest(snapshots, entries).withColumn("_matches", F.expr(f"CASE {' '.join(cases)} END"))
     return _unfold(match, "_matches", "_match")
 
 
+def _of_interest(snapshots: DataFrame, entries: list[tuple[tuple[str, ...], Entry]]) -> DataFrame:
+    """Snapshots whose path starts like one of the entries'.
+
+    A scan can use this filter, so row groups without such paths are not read.
+    """
+    starts = sorted({entry.prefix for _, entry in entries})
+    shortest = [s for s in starts if not any(s != t and s.startswith(t) for t in starts)]
+    return snapshots.where(F.expr(" OR ".join(f"startswith(path, {X.literal(s)})" for s in shortest)))
+
+
 def _unfold(rows: DataFrame, column: str, name: str) -> DataFrame:
     """One row per element of an array column.
 

@@ -44,7 +44,7 @@ def rate(
     on_reset: str = "keep",
     first_value: float | None = None,
     interval: float = 60.0,
-    chunk: str | int | None = 86400,
+    chunk: int | None = 3600,
 ) -> DataFrame:
     """Replace each counter value by its per-second rate.
 
@@ -57,7 +57,9 @@ def rate(
     the series' next chunk as one extra row, so the work of a hot series spreads
     and the result is the same as over the whole series.  The carry comes from a
     second, column-pruned read that is reduced to one row per chunk before it is
-    shuffled.  ``chunk`` is in seconds; None turns the split off.
+    shuffled.  ``chunk`` is in seconds: an hour folds sixty points of the usual
+    interval into one; take less for a hotter series, more for sparse ones.  None
+    turns the split, and with it the second read, off.
     """
     counters, gauges = points, None
     if has_column(points, "ds_type"):
@@ -68,6 +70,9 @@ def rate(
         gauges = points.where(~F.coalesce(is_counter, F.lit(False)))
 
     rows, keys = with_series(counters, by)
+    whole_tags = "_series_tags" in keys and has_column(points, "tags")
+    if whole_tags:
+        rows = rows.drop("tags")  # the series key holds them; they are shuffled once
     rows = rows.withColumn("_carried", F.lit(False))
     if chunk is not None:
         rows = _with_carried_tails(rows, keys, int(chunk))
@@ -91,7 +96,10 @@ def rate(
         ).alias("_rate"),
     )
     rated = rated.where(~F.col("_carried") & F.col("_rate").isNotNull())
-    rated = rated.withColumn("value", F.col("_rate")).select(*points.columns)
+    rated = rated.withColumn("value", F.col("_rate"))
+    if whole_tags:
+        rated = rated.withColumn("tags", F.map_from_entries("_series_tags"))
+    rated = rated.select(*points.columns)
     return rated if gauges is None else rated.unionByName(gauges)
 
 

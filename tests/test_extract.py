@@ -307,6 +307,14 @@ def test_decimation_and_stale_output(spark):
     assert kept[0].content.splitlines()[1].split() == ["x", "5"]
 
 
+def test_path_starts_reach_the_scan(spark, tmp_path):
+    files = {f"{MD}/md_stats": counter_file(MD_COUNTS), "/etc/passwd": "x"}
+    snapshots(spark, files).write.parquet(str(tmp_path / "s"))
+    p = E.extract(spark.read.parquet(str(tmp_path / "s")), lustre.definition("2.12").select(["md_stats_open"]))
+    assert "StringStartsWith(path,/proc/fs/lustre/mdt/)" in p._jdf.queryExecution().executedPlan().toString()
+    assert [r.value for r in p.collect()] == [1303]
+
+
 def test_match_path(spark):
     snap = snapshots(spark, {f"{OST}/exports/a-b@tcp1/stats": "", "/etc/passwd": ""})
     rows = E.match_path(snap, lustre.definition("2.12", per_client=True)).collect()

@@ -34,7 +34,7 @@ def counter(spark, readings, tags=None):
     return points(spark, [("m", "h", tags or {"a": "1"}, s, "derive", v) for s, v in readings])
 
 
-@pytest.mark.parametrize("chunk", [None, 100, 86400])
+@pytest.mark.parametrize("chunk", [None, 1, 100, 86400])
 def test_rate_is_the_same_for_any_chunk(spark, chunk):
     rng = random.Random(3)
     rows, expected = [], {}
@@ -65,6 +65,19 @@ def test_reset_policies_and_first_value(spark):
         R.rate(df, on_reset="x")
 
 
+def test_a_hot_series_is_spread_over_tasks(spark):
+    df = counter(spark, [(60 * i, i) for i in range(600)])
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        parts = R.rate(df, chunk=3600).groupBy(F.spark_partition_id()).count().collect()
+        whole = R.rate(df, chunk=None).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(setting, "true")
+    assert len(parts) > 1 and len(whole) == 1
+    assert sum(r["count"] for r in parts) == sum(r["count"] for r in whole) == 599
+
+
 def test_sum_of_deltas_is_last_minus_first(spark):
     df = counter(spark, [(60 * i, i * i) for i in range(200)])
     total = R.rate(df, chunk=600).agg(F.sum(F.col("value") * 60)).first()[0]
