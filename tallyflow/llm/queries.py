@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import quality_rules
+from tallyflow.llm import bpe, line_dedup, quality_rules, simhash_golay
 from tallyflow.llm.common import documents
 
+#: Where the tokenizer file is read from, unless a caller gives another path.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(documents(spark, sf_dir))
@@ -59,5 +63,82 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-SQL = {"op1_quality_rules": OP1_SQL}
+def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    spec = bpe.read_spec(tokenizer)
+    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), spec)
+    # The decoder gets the ids alone; the text that they came from goes no further.
+    decoded = bpe.decode(encoded.select("doc_id", "ids"), spec)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.deduplicated(docs, removed="n_removed_lines").select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_kept_chars"),
+        "n_removed_lines",
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+OP6_SQL = r"""
+WITH line AS (
+  SELECT doc_id, no, trim(x, e' \t\n\x0b\f\r') AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS no
+        FROM documents WHERE text IS NOT NULL)
+), spoken AS (
+  SELECT doc_id, no, line, row_number() OVER d - 1 AS pos,
+         sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER d AS upto,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM line WHERE line <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY no)
+), win AS (
+  SELECT s.doc_id, s.pos AS a, min(e.pos) AS b
+  FROM spoken s JOIN spoken e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.upto - s.upto + s.words >= 40
+  GROUP BY ALL
+), content AS (
+  SELECT w.doc_id, w.a, w.b, string_agg(s.line, chr(10) ORDER BY s.pos) AS body
+  FROM win w JOIN spoken s ON w.doc_id = s.doc_id AND s.pos BETWEEN w.a AND w.b GROUP BY ALL
+), later AS (
+  SELECT doc_id, a, b FROM content
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, a) > 1
+), numbered AS (
+  SELECT l.doc_id, x.no AS a, y.no AS b FROM later l
+  JOIN spoken x ON x.doc_id = l.doc_id AND x.pos = l.a JOIN spoken y ON y.doc_id = l.doc_id AND y.pos = l.b
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS no FROM numbered
+), kept AS (
+  SELECT p.doc_id, string_agg(p.x, chr(10) ORDER BY p.no) AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS no
+        FROM documents WHERE text IS NOT NULL) p
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.no = p.no) GROUP BY p.doc_id
+), n AS (
+  SELECT s.doc_id, count(*) AS n FROM spoken s JOIN gone g USING (doc_id, no) GROUP BY s.doc_id
+)
+SELECT d.doc_id, length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END)::BIGINT AS n_kept_chars,
+       coalesce(n.n, 0)::BIGINT AS n_removed_lines,
+       CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_golay.components(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_simhash_golay": op7_simhash_golay,
+}
+SQL = {"op1_quality_rules": OP1_SQL, "op6_line_dedup": OP6_SQL}
