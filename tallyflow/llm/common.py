@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def ship(spark: SparkSession, model: Any) -> Broadcast:
+    """Broadcast an object of this package, with its class, for ``received``; its size must have a proven bound."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(shared: Broadcast) -> Any:
+    return pickle.loads(shared.value)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names made from these that no column of the table has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -6,8 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe, line_dedup, quality_rules, simhash_golay
-from tallyflow.llm.common import documents
+from tallyflow.llm import (
+    bpe,
+    context_tree,
+    line_dedup,
+    lsa_vote,
+    quality_rules,
+    secret_automata,
+    simhash_golay,
+    templates,
+    unigram,
+)
+from tallyflow.llm.common import bucket_of, documents, table
 
 #: Where the tokenizer file is read from, unless a caller gives another path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -135,10 +145,63 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lsa_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = lsa_vote.fit(docs.where(~held_out).join(labels, "doc_id"))
+    return lsa_vote.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(bucket_of(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def _digest(spans: str):
+    """Lower-case hex of kind:start:end, comma-joined, of an array of spans; and the joined text."""
+    part = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    return F.array_join(F.transform(spans, part), ",")
+
+
+def op4_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_automata.spans(documents(spark, sf_dir))
+
+    def n(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[n(kind) for kind in secret_automata.BASE],
+        F.sha2(_digest("base"), 256).alias("base_sha256"),
+        _digest("spans").alias("spans"),
+        F.size("added").cast("bigint").alias("n_format"),
+    )
+
+
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "item_windows", "exact")
+
+
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 7) == 2, F.lit(False))
+    training = docs.where(~held_out)
+    tree = context_tree.fit(context_tree.counted(training))
+    scores = context_tree.score(docs, tree, keep=("doc_id", "text"))
+    found = unigram.scored(scores, training, keep=("doc_id", "score"))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_lsa_vote": op3_lsa_vote,
+    "op4_secret_automata": op4_secret_automata,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_golay": op7_simhash_golay,
+    "op9_templates": op9_templates,
+    "op10_context_tree": op10_context_tree,
 }
 SQL = {"op1_quality_rules": OP1_SQL, "op6_line_dedup": OP6_SQL}
