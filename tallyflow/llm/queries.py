@@ -11,6 +11,7 @@ from tallyflow.llm import (
     context_tree,
     line_dedup,
     lsa_vote,
+    pii_boost,
     quality_rules,
     secret_automata,
     simhash_golay,
@@ -145,6 +146,26 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_boost.spans(documents(spark, sf_dir))
+    names = F.array(*map(F.lit, pii_boost.KINDS))
+
+    def digest(spans: str):
+        part = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])
+        return F.array_join(F.transform(spans, part), ",")
+
+    def n(kind: int, name: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{name}")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[n(k, name) for k, name in enumerate(pii_boost.BASE)],
+        F.sha2(digest("base"), 256).alias("base_sha256"),
+        digest("spans").alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+    )
+
+
 def op3_lsa_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -196,6 +217,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_boost": op2_pii_boost,
     "op3_lsa_vote": op3_lsa_vote,
     "op4_secret_automata": op4_secret_automata,
     "op5_bpe": op5_bpe,
