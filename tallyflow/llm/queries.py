@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm import (
     bpe,
+    bwt_dedup,
     context_tree,
     line_dedup,
     lsa_vote,
@@ -200,6 +201,18 @@ def op4_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bwt_dedup.removed(documents(spark, sf_dir))
+    size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["after"] - s["first"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        size.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "item_windows", "exact")
@@ -223,6 +236,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_golay": op7_simhash_golay,
+    "op8_bwt_dedup": op8_bwt_dedup,
     "op9_templates": op9_templates,
     "op10_context_tree": op10_context_tree,
 }
