@@ -73,8 +73,11 @@ def run_of_lines(text: str, header: str, line: str) -> str:
 
 
 def number(text: str) -> str:
-    """Unsigned decimal text as a double; 20 digits, so counters stay whole."""
-    return f"CAST(try_cast(trim({text}) AS decimal(20,0)) AS double)"
+    """Integer part of an unsigned number as a double; 20 digits, so counters stay whole.
+
+    Text that starts with anything but a digit, such as a sign, is no number.
+    """
+    return f"CAST(try_cast(regexp_extract(trim({text}), '^[0-9]+', 0) AS decimal(20,0)) AS double)"
 
 
 def quoted(literal: str) -> str:

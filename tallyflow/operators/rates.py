@@ -105,8 +105,9 @@ def rate(
 
 def _with_carried_tails(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     rows = rows.withColumn("_chunk", F.floor(F.unix_seconds("ts") / F.lit(seconds)))
-    # Both buffers are plain numbers, which keeps this a hash aggregate.
-    tails = rows.groupBy(*keys, "_chunk").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+    # The row that the chunk's own window has last: of several at the last time, the one of greatest value.
+    tails = rows.groupBy(*keys, "_chunk").agg(F.max(F.struct("ts", "value")).alias("_last"))
+    tails = tails.select(*keys, "_chunk", "_last.ts", "_last.value")
     following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
     carried = tails.select(
         *keys,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.model import tag, tag_columns
+from tallyflow.model import has_column, tag, tag_columns
 
 GREEN, YELLOW, RED = "green", "yellow", "red"
 MIB = 1024.0 * 1024.0
@@ -17,21 +19,35 @@ GIB = 1024.0 * MIB
 
 @dataclass(frozen=True)
 class StatusRule:
-    """A metric is bad when it is below (or above) its limits."""
+    """A metric is bad when it is below (or above) its limits.
+
+    Points belong to it by their measurement, or by all parts of the identifier
+    that ``match`` names, where points carry it.
+    """
 
     metric: str
     warning: float
     critical: float
     above: bool = False
+    match: tuple[tuple[str, str], ...] = ()
+
+    def selects(self, points: DataFrame, metric: str) -> Column:
+        named = tag(points, metric) == self.metric
+        if not self.match or not all(has_column(points, part) for part, _ in self.match):
+            return named
+        return named | reduce(and_, [F.col(part) == wanted for part, wanted in self.match])
 
 
 # Limits of the cluster status panel.
 DEFAULT_RULES = (
-    StatusRule("cpu_idle", warning=20.0, critical=5.0),
-    StatusRule("load", warning=5.0, critical=10.0, above=True),
-    StatusRule("memory_free", warning=1000 * MIB, critical=100 * MIB),
-    StatusRule("root_free", warning=10 * GIB, critical=1 * GIB),
-)
+    StatusRule("cpu_idle", warning=20.0, critical=5.0, match=(("plugin", "cpu"), ("type_instance", "idle"))),
+    StatusRule("load", warning=5.0, critical=10.0, above=True,
+               match=(("plugin", "load"), ("type_instance", "shortterm"))),
+    StatusRule("memory_free", warning=1000 * MIB, critical=100 * MIB,
+               match=(("plugin", "memory"), ("type_instance", "free"))),
+    StatusRule("root_free", warning=10 * GIB, critical=1 * GIB,
+               match=(("plugin", "df"), ("plugin_instance", "root"), ("type_instance", "free"))),
+)
 
 
 def host_status(
@@ -43,10 +59,11 @@ def host_status(
     host never reported does not count against it.
     """
     names = [r.metric for r in rules]
-    used = points.where(tag(points, metric).isin(*names))
+    chosen = [r.selects(points, metric) for r in rules]
+    used = points.where(reduce(or_, chosen))
     newest = used.groupBy(F.col(host)).agg(
-        *[F.max_by(F.when(tag(used, metric) == r.metric, F.col("value")),
-                   F.when(tag(used, metric) == r.metric, F.col("ts"))).alias(r.metric) for r in rules]
+        *[F.max_by(F.when(mine, F.col("value")), F.when(mine, F.col("ts"))).alias(r.metric)
+          for r, mine in zip(rules, chosen)]
     )
     severities = []
     for r in rules:

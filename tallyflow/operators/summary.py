@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyflow.model import tag_columns, with_series
+from tallyflow.model import has_column, tag_columns, with_series
 
 _FUNCTIONS = {
     "mean": F.avg,
@@ -69,9 +69,19 @@ def bucket(
 
     ``fill``: None leaves empty buckets out; ``"null"`` emits them without a
     value; ``"previous"`` repeats the last value; a number emits that number.
-    Empty buckets span from ``start`` to ``end`` (each series' own first and last
-    bucket when not given).
+    Only buckets from the one of ``start`` to the one of ``end`` count, and empty
+    ones span all of these (each series' own first and last bucket when not given).
     """
+    # The bounds go to the input, so that they reach a stored table's scan.
+    if start is not None:
+        points = points.where(F.col("ts") >= _floor(start, step))
+        if has_column(points, "date"):
+            points = points.where(F.col("date") >= F.to_date(_floor(start, step)))
+    if end is not None:
+        after = _floor(end, step) + F.expr(f"interval {step}")
+        points = points.where(F.col("ts") < after)
+        if has_column(points, "date"):
+            points = points.where(F.col("date") <= F.to_date(after))
     rows, keys = with_series(points, list(by))
     found = (
         rows.groupBy(F.window("ts", step).alias("w"), *keys)
@@ -81,10 +91,6 @@ def bucket(
     if fill is None:
         return found
     step_of = F.expr(f"interval {step}")
-    if start is not None:
-        found = found.where(F.col("bucket") >= _floor(start, step))
-    if end is not None:
-        found = found.where(F.col("bucket") <= _floor(end, step))
     # Each bucket also emits the empty ones up to the series' next bucket, so the
     # gaps are filled in one pass and nothing is joined back.
     w = Window.partitionBy(*keys).orderBy("bucket")

@@ -1,7 +1,9 @@
 """The questions operators ask, as thin compositions of the operators.
 
 Panels over rollups take the rollup table (``measurement, tags, window_start,
-sum``), the others take points.  All of them are filtered by file system.
+sum``), the others take points.  Those that take ``fs_name`` show one file system.
+All take ``start`` and ``end`` (times as text): the first counts, the second does
+not, and on stored tables both prune the scan.
 """
 
 from __future__ import annotations
@@ -13,24 +15,31 @@ from pyspark.sql import functions as F
 
 from tallyflow.definitions import MathEntry
 from tallyflow.definitions.disk_array import LATENCY_COLUMNS, SIZE_COLUMNS
-from tallyflow.model import tag
+from tallyflow.model import has_column, tag
 from tallyflow.operators import aggregate as A
 from tallyflow.operators import summary as S
 from tallyflow.operators.histogram import distribution
 from tallyflow.operators.metric_math import apply_math
 from tallyflow.operators.rates import per_interval, rate
 from tallyflow.operators.rollup import rollup_name
-from tallyflow.sources.points import select_points
+from tallyflow.sources.points import in_range, select_points, select_rollups
 
 # ---------------------------------------------------------------- helpers
 
 
-def _rolled(rollups: DataFrame, measurement: str, tags: Sequence[str], fs_name: str, **where: str) -> DataFrame:
+def _rolled(
+    rollups: DataFrame,
+    measurement: str,
+    tags: Sequence[str],
+    fs_name: str,
+    *,
+    start: str | None = None,
+    end: str | None = None,
+    **where: str,
+) -> DataFrame:
     """One rollup of one file system with its tags as columns."""
-    found = rollups.where(F.col("measurement") == rollup_name(measurement, tags))
-    found = found.where(tag(found, "fs_name") == fs_name)
-    for name, wanted in where.items():
-        found = found.where(tag(found, name) == wanted)
+    name = rollup_name(measurement, tags)
+    found = select_rollups(rollups, name, where={"fs_name": fs_name, **where}, start=start, end=end)
     shown = [t for t in tags if t != "fs_name"]
     return found.select(
         *[tag(found, t).alias(t) for t in shown], F.col("window_start").alias("ts"), F.col("sum").alias("value")
@@ -42,110 +51,120 @@ def _table(series: DataFrame, by: Sequence[str], column: str = "current") -> Dat
     return S.top(S.series_summary(series, by), column=column, ties=by)
 
 
-def _in_fs(points: DataFrame, measurement: str, fs_name: str, **where: str) -> DataFrame:
-    return select_points(points, measurement, where={"fs_name": fs_name, **where})
+def _in_fs(
+    points: DataFrame, measurement: str, fs_name: str, *, start: str | None = None, end: str | None = None, **where: str
+) -> DataFrame:
+    return select_points(points, measurement, where={"fs_name": fs_name, **where}, start=start, end=end)
+
+
+def _bounds(span: dict[str, str | None]) -> dict[str, str | None]:
+    """``start`` and ``end`` of a panel's keywords; any other keyword is an error."""
+    unknown = span.keys() - {"start", "end"}
+    if unknown:
+        raise TypeError(f"unknown keywords: {sorted(unknown)}")
+    return {"start": span.get("start"), "end": span.get("end")}
 
 
 # ------------------------------------------------------- capacity and inodes
 
 
-def capacity_total(rollups: DataFrame, fs_name: str, what: str = "free") -> DataFrame:
+def capacity_total(rollups: DataFrame, fs_name: str, what: str = "free", **span: str | None) -> DataFrame:
     """Free or used capacity of the file system over time."""
-    return _rolled(rollups, f"ost_kbytesinfo_{what}", ["fs_name"], fs_name).orderBy("ts")
+    return _rolled(rollups, f"ost_kbytesinfo_{what}", ["fs_name"], fs_name, **span).orderBy("ts")
 
 
-def capacity_per_ost(points: DataFrame, fs_name: str, what: str = "free") -> DataFrame:
-    return _table(_in_fs(points, f"ost_kbytesinfo_{what}", fs_name), ["ost_index"])
+def capacity_per_ost(points: DataFrame, fs_name: str, what: str = "free", **span: str | None) -> DataFrame:
+    return _table(_in_fs(points, f"ost_kbytesinfo_{what}", fs_name, **span), ["ost_index"])
 
 
-def capacity_per_owner(rollups: DataFrame, fs_name: str, kind: str = "user") -> DataFrame:
+def capacity_per_owner(rollups: DataFrame, fs_name: str, kind: str = "user", **span: str | None) -> DataFrame:
     """Used capacity per user, group or project."""
     owner = f"{kind}_id"
     series = _rolled(
-        rollups, f"ost_acct{kind}_samples", ["fs_name", "optype", owner], fs_name, optype="usage_kbytes"
+        rollups, f"ost_acct{kind}_samples", ["fs_name", "optype", owner], fs_name, optype="usage_kbytes", **span
     )
     return _table(series, [owner])
 
 
-def inodes_total(rollups: DataFrame, fs_name: str, what: str = "free") -> DataFrame:
-    return _rolled(rollups, f"mdt_filesinfo_{what}", ["fs_name"], fs_name).orderBy("ts")
+def inodes_total(rollups: DataFrame, fs_name: str, what: str = "free", **span: str | None) -> DataFrame:
+    return _rolled(rollups, f"mdt_filesinfo_{what}", ["fs_name"], fs_name, **span).orderBy("ts")
 
 
-def inodes_per_mdt(points: DataFrame, fs_name: str, what: str = "free") -> DataFrame:
+def inodes_per_mdt(points: DataFrame, fs_name: str, what: str = "free", **span: str | None) -> DataFrame:
     """Current inode number of every metadata target."""
-    return S.latest(_in_fs(points, f"mdt_filesinfo_{what}", fs_name), ["mdt_index"])
+    return S.latest(_in_fs(points, f"mdt_filesinfo_{what}", fs_name, **span), ["mdt_index"])
 
 
-def inodes_of_mdt(points: DataFrame, fs_name: str, mdt_index: str, what: str = "free") -> DataFrame:
+def inodes_of_mdt(points: DataFrame, fs_name: str, mdt_index: str, what: str = "free", **span: str | None) -> DataFrame:
     """Inode number of one metadata target over time."""
-    return S.series(_in_fs(points, f"mdt_filesinfo_{what}", fs_name, mdt_index=mdt_index), ["mdt_index"])
+    return S.series(_in_fs(points, f"mdt_filesinfo_{what}", fs_name, mdt_index=mdt_index, **span), ["mdt_index"])
 
 
-def inodes_per_owner(rollups: DataFrame, fs_name: str, kind: str = "user") -> DataFrame:
+def inodes_per_owner(rollups: DataFrame, fs_name: str, kind: str = "user", **span: str | None) -> DataFrame:
     owner = f"{kind}_id"
     series = _rolled(
-        rollups, f"mdt_acct{kind}_samples", ["fs_name", "optype", owner], fs_name, optype="usage_inodes"
+        rollups, f"mdt_acct{kind}_samples", ["fs_name", "optype", owner], fs_name, optype="usage_inodes", **span
     )
     return _table(series, [owner])
 
 
-def inodes_per_owner_of_mdt(points: DataFrame, fs_name: str, mdt_index: str, kind: str = "user") -> DataFrame:
-    series = _in_fs(points, f"mdt_acct{kind}_samples", fs_name, mdt_index=mdt_index, optype="usage_inodes")
+def inodes_per_owner_of_mdt(points: DataFrame, fs_name: str, mdt_index: str, kind: str = "user", **span: str | None) -> DataFrame:
+    series = _in_fs(points, f"mdt_acct{kind}_samples", fs_name, mdt_index=mdt_index, optype="usage_inodes", **span)
     return _table(series, [f"{kind}_id"])
 
 
 # ------------------------------------------------------------ data throughput
 
 
-def throughput_total(rollups: DataFrame, fs_name: str) -> DataFrame:
+def throughput_total(rollups: DataFrame, fs_name: str, **span: str | None) -> DataFrame:
     """Bytes per second read and written over time."""
-    return _rolled(rollups, "ost_stats_bytes", ["fs_name", "optype"], fs_name).orderBy("optype", "ts")
+    return _rolled(rollups, "ost_stats_bytes", ["fs_name", "optype"], fs_name, **span).orderBy("optype", "ts")
 
 
-def throughput_per_ost(rollups: DataFrame, fs_name: str) -> DataFrame:
-    return _table(_rolled(rollups, "ost_stats_bytes", ["fs_name", "ost_index"], fs_name), ["ost_index"])
+def throughput_per_ost(rollups: DataFrame, fs_name: str, **span: str | None) -> DataFrame:
+    return _table(_rolled(rollups, "ost_stats_bytes", ["fs_name", "ost_index"], fs_name, **span), ["ost_index"])
 
 
-def throughput_per_ost_by_direction(rates: DataFrame, fs_name: str, optype: str) -> DataFrame:
+def throughput_per_ost_by_direction(rates: DataFrame, fs_name: str, optype: str, **span: str | None) -> DataFrame:
     """Read or write throughput per target, from rates (there is no rollup by both)."""
-    return _table(_in_fs(rates, "ost_stats_bytes", fs_name, optype=optype), ["ost_index"])
+    return _table(_in_fs(rates, "ost_stats_bytes", fs_name, optype=optype, **span), ["ost_index"])
 
 
-def throughput_per_server(rollups: DataFrame, fs_name: str, optype: str | None = None) -> DataFrame:
+def throughput_per_server(rollups: DataFrame, fs_name: str, optype: str | None = None, **span: str | None) -> DataFrame:
     if optype is None:
-        return _table(_rolled(rollups, "ost_stats_bytes", ["fs_name", "fqdn"], fs_name), ["fqdn"])
-    return _table(_rolled(rollups, "ost_stats_bytes", ["fs_name", "fqdn", "optype"], fs_name, optype=optype), ["fqdn"])
+        return _table(_rolled(rollups, "ost_stats_bytes", ["fs_name", "fqdn"], fs_name, **span), ["fqdn"])
+    return _table(_rolled(rollups, "ost_stats_bytes", ["fs_name", "fqdn", "optype"], fs_name, optype=optype, **span), ["fqdn"])
 
 
-def throughput_per_client(rollups: DataFrame, fs_name: str, optype: str) -> DataFrame:
-    series = _rolled(rollups, "exp_ost_stats_bytes", ["fs_name", "exp_client", "optype"], fs_name, optype=optype)
+def throughput_per_client(rollups: DataFrame, fs_name: str, optype: str, **span: str | None) -> DataFrame:
+    series = _rolled(rollups, "exp_ost_stats_bytes", ["fs_name", "exp_client", "optype"], fs_name, optype=optype, **span)
     return _table(series, ["exp_client"])
 
 
-def throughput_per_job(rollups: DataFrame, fs_name: str, optype: str | None = None) -> DataFrame:
+def throughput_per_job(rollups: DataFrame, fs_name: str, optype: str | None = None, **span: str | None) -> DataFrame:
     """``optype`` None: both directions; ``sum_read_bytes`` or ``sum_write_bytes``: one."""
-    return _throughput_per(rollups, fs_name, "job_id", optype)
+    return _throughput_per(rollups, fs_name, "job_id", optype, **span)
 
 
-def throughput_per_user(rollups: DataFrame, fs_name: str, optype: str | None = None) -> DataFrame:
-    return _throughput_per(rollups, fs_name, "uid", optype)
+def throughput_per_user(rollups: DataFrame, fs_name: str, optype: str | None = None, **span: str | None) -> DataFrame:
+    return _throughput_per(rollups, fs_name, "uid", optype, **span)
 
 
-def _throughput_per(rollups: DataFrame, fs_name: str, who: str, optype: str | None) -> DataFrame:
+def _throughput_per(rollups: DataFrame, fs_name: str, who: str, optype: str | None, **span: str | None) -> DataFrame:
     if optype is None:
-        return _table(_rolled(rollups, "ost_jobstats_bytes", ["fs_name", who], fs_name), [who])
-    series = _rolled(rollups, "ost_jobstats_bytes", ["fs_name", who, "optype"], fs_name, optype=optype)
+        return _table(_rolled(rollups, "ost_jobstats_bytes", ["fs_name", who], fs_name, **span), [who])
+    series = _rolled(rollups, "ost_jobstats_bytes", ["fs_name", who, "optype"], fs_name, optype=optype, **span)
     return _table(series, [who])
 
 
-def throughput_per_job_and_ost(rollups: DataFrame, fs_name: str, who: str = "job_id") -> DataFrame:
-    series = _rolled(rollups, "ost_jobstats_bytes", ["fs_name", who, "ost_index"], fs_name)
+def throughput_per_job_and_ost(rollups: DataFrame, fs_name: str, who: str = "job_id", **span: str | None) -> DataFrame:
+    series = _rolled(rollups, "ost_jobstats_bytes", ["fs_name", who, "ost_index"], fs_name, **span)
     return _table(series, [who, "ost_index"])
 
 
-def job_throughput_over_time(rollups: DataFrame, fs_name: str, step: str = "1 minute", who: str = "job_id") -> DataFrame:
+def job_throughput_over_time(rollups: DataFrame, fs_name: str, step: str = "1 minute", who: str = "job_id", **span: str | None) -> DataFrame:
     """Sum per bucket and job with empty buckets shown."""
-    series = _rolled(rollups, "ost_jobstats_bytes", ["fs_name", who], fs_name)
+    series = _rolled(rollups, "ost_jobstats_bytes", ["fs_name", who], fs_name, **span)
     return S.bucket(series, step, [who], fn="sum", fill="null")
 
 
@@ -161,10 +180,10 @@ METADATA_SCOPES = {
 }
 
 
-def metadata_rate(rollups: DataFrame, fs_name: str, scope: str = "total") -> DataFrame:
+def metadata_rate(rollups: DataFrame, fs_name: str, scope: str = "total", **span: str | None) -> DataFrame:
     """Metadata operations per second in total (over time) or as a table."""
     measurement, tags = METADATA_SCOPES[scope]
-    series = _rolled(rollups, measurement, tags, fs_name)
+    series = _rolled(rollups, measurement, tags, fs_name, **span)
     by = [t for t in tags if t != "fs_name"]
     return _table(series, by) if by else series.orderBy("ts")
 
@@ -172,25 +191,26 @@ def metadata_rate(rollups: DataFrame, fs_name: str, scope: str = "total") -> Dat
 # ---------------------------------------------------------------- bulk I/O
 
 
-def bulk_rate(rollups: DataFrame, fs_name: str, field: str = "write_sample", kind: str = "rpc_bulk") -> DataFrame:
+def bulk_rate(rollups: DataFrame, fs_name: str, field: str = "write_sample", kind: str = "rpc_bulk", **span: str | None) -> DataFrame:
     """Requests per second by size."""
-    series = _rolled(rollups, f"ost_brw_stats_{kind}_samples", ["field", "fs_name", "size"], fs_name, field=field)
+    series = _rolled(rollups, f"ost_brw_stats_{kind}_samples", ["field", "fs_name", "size"], fs_name, field=field, **span)
     return _table(series, ["size"])
 
 
-def bulk_distribution(rollups: DataFrame, fs_name: str, kind: str = "rpc_bulk", *, cumulative: bool = False) -> DataFrame:
+def bulk_distribution(rollups: DataFrame, fs_name: str, kind: str = "rpc_bulk", *, cumulative: bool = False, **span: str | None) -> DataFrame:
     """Share of each size among reads and among writes."""
-    series = _rolled(rollups, f"ost_brw_stats_{kind}_samples", ["field", "fs_name", "size"], fs_name)
+    series = _rolled(rollups, f"ost_brw_stats_{kind}_samples", ["field", "fs_name", "size"], fs_name, **span)
     return distribution(series, ["field"], "size", cumulative=cumulative)
 
 
 # ------------------------------------------------------------ service threads
 
 
-def service_extent(points: DataFrame, service: str, request: str, window: str) -> DataFrame:
+def service_extent(points: DataFrame, service: str, request: str, window: str, **span: str | None) -> DataFrame:
     """Least and greatest value of one service statistic per host and window."""
     low, high = f"{service}_stats_{request}_min", f"{service}_stats_{request}_max"
-    both = points.where(F.col("measurement").isin(low, high)).select(
+    found = in_range(points.where(F.col("measurement").isin(low, high)), "ts", **_bounds(span))
+    both = found.select(
         "host",
         "ts",
         F.when(F.col("measurement") == low, F.col("value")).alias("low"),
@@ -199,64 +219,67 @@ def service_extent(points: DataFrame, service: str, request: str, window: str) -
     return S.extent(both, ["host"], window=window, low="low", high="high")
 
 
-def service_mean(points: DataFrame, service: str, request: str) -> DataFrame:
+def service_mean(points: DataFrame, service: str, request: str, **span: str | None) -> DataFrame:
     """Mean of one service statistic at each time."""
     m = f"{service}_stats_{request}"
+    points = in_range(points, "ts", **_bounds(span))
     return apply_math(points, [MathEntry(f"{m}_sum", "/", f"{m}_samples", f"{m}_mean", f"{request}_mean")])
 
 
 # ------------------------------------------------------- locks and recovery
 
 
-def lock_series(points: DataFrame, fs_name: str, mdt_index: str, what: str = "lock_count") -> DataFrame:
-    return S.series(_in_fs(points, f"mdt_{what}", fs_name, mdt_index=mdt_index), ["mdt_index"])
+def lock_series(points: DataFrame, fs_name: str, mdt_index: str, what: str = "lock_count", **span: str | None) -> DataFrame:
+    return S.series(_in_fs(points, f"mdt_{what}", fs_name, mdt_index=mdt_index, **span), ["mdt_index"])
 
 
-def recovery_clients(points: DataFrame, fs_name: str, mdt_index: str) -> DataFrame:
+def recovery_clients(points: DataFrame, fs_name: str, mdt_index: str, **span: str | None) -> DataFrame:
     """Recovery state of a target: one series per counter."""
-    return S.series(_in_fs(points, "mdt_recovery_status", fs_name, mdt_index=mdt_index), ["optype"])
+    return S.series(_in_fs(points, "mdt_recovery_status", fs_name, mdt_index=mdt_index, **span), ["optype"])
 
 
 # ------------------------------------------------------------------- servers
 
 
-def cpu_by_state(points: DataFrame) -> DataFrame:
-    return A.aggregate(points, A.CPU_AVERAGE)
+def cpu_by_state(points: DataFrame, **span: str | None) -> DataFrame:
+    return A.aggregate(in_range(points, "ts", **_bounds(span)), A.CPU_AVERAGE)
 
 
-def temperature(points: DataFrame) -> DataFrame:
-    return A.aggregate(points, A.MAX_TEMPERATURE)
+def temperature(points: DataFrame, **span: str | None) -> DataFrame:
+    return A.aggregate(in_range(points, "ts", **_bounds(span)), A.MAX_TEMPERATURE)
 
 
-def disk_rates(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Read and write rate of the disks of each server."""
-    return rate(points, by)
+def disk_rates(points: DataFrame, by: Sequence[str], *, plugin: str = "disk", **span: str | None) -> DataFrame:
+    """Read and write rate of the disks of each server; points that name their plugin are selected by it."""
+    if has_column(points, "plugin"):
+        points = points.where(F.col("plugin") == plugin)
+    return rate(in_range(points, "ts", **_bounds(span)), by)
 
 
-def gauge_table(points: DataFrame, measurement: str, by: Sequence[str]) -> DataFrame:
+def gauge_table(points: DataFrame, measurement: str, by: Sequence[str], **span: str | None) -> DataFrame:
     """Memory by category, root usage, load, uptime or users of each server."""
-    return _table(select_points(points, measurement), by)
+    return _table(select_points(points, measurement, **_bounds(span)), by)
 
 
 # --------------------------------------------------------------- disk arrays
 
 
 def disk_rate_by_controller(
-    points: DataFrame, kind: str, fqdn: str, disk_index: str, column: str, interval: float = 60.0
+    points: DataFrame, kind: str, fqdn: str, disk_index: str, column: str, interval: float = 60.0, **span: str | None
 ) -> DataFrame:
     """One rate column of one disk, stacked by controller.
 
     Only the operations of physical disks are reported as an amount per collect
     interval; every other column already is a rate.
     """
-    found = select_points(points, f"{kind}_rate", where={"fqdn": fqdn, "disk_index": disk_index, "type": column})
+    found = select_points(points, f"{kind}_rate", where={"fqdn": fqdn, "disk_index": disk_index, "type": column}, **_bounds(span))
     if kind == "pd" and column == "iops":
         found = per_interval(found, interval)
     return S.stack(found, [], "controller")
 
 
 def disk_histogram(
-    points: DataFrame, kind: str, what: str, fqdn: str, disk_index: str, rw: str, interval: float = 60.0
+    points: DataFrame, kind: str, what: str, fqdn: str, disk_index: str, rw: str, interval: float = 60.0, **span: str | None
 ) -> DataFrame:
     """I/O size or latency of one disk, stacked by bucket."""
     columns = SIZE_COLUMNS if what == "iosize" else LATENCY_COLUMNS[kind][1:]
@@ -264,6 +287,7 @@ def disk_histogram(
         points,
         f"{kind}_{what}",
         where={"fqdn": fqdn, "disk_index": disk_index, "type": rw, what: list(columns)},
+        **_bounds(span),
     )
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col(what))
     return S.stack(per_interval(found, interval), [], what, order=order)

@@ -47,41 +47,95 @@ def select_points(
 
     On a stored table the measurement and the date bounds prune partitions.
     """
-    found = points.where(F.col("measurement") == measurement)
+    return _selected(points, "ts", measurement, where, start, end)
+
+
+def select_rollups(
+    rollups: DataFrame,
+    measurement: str,
+    *,
+    where: Mapping[str, str | Sequence[str]] | None = None,
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
+    """Windows of one rollup that start from ``start`` to before ``end``; prunes a stored table like points."""
+    return _selected(rollups, "window_start", measurement, where, start, end)
+
+
+def _selected(
+    table: DataFrame,
+    time: str,
+    measurement: str,
+    where: Mapping[str, str | Sequence[str]] | None,
+    start: str | None,
+    end: str | None,
+) -> DataFrame:
+    found = in_range(table.where(F.col("measurement") == measurement), time, start, end)
+    for name, wanted in (where or {}).items():
+        values = [wanted] if isinstance(wanted, str) else list(wanted)
+        found = found.where(tag(found, name).isin(*values))
+    return found
+
+
+def in_range(table: DataFrame, time: str, start: str | None, end: str | None) -> DataFrame:
+    """Rows from ``start`` to before ``end``; the days of a stored table are bounded too, which prunes partitions."""
     for bound, is_start in ((start, True), (end, False)):
         if bound is None:
             continue
         at = F.lit(bound).cast("timestamp")
-        found = found.where(F.col("ts") >= at if is_start else F.col("ts") < at)
-        if "date" in points.columns:
+        table = table.where(F.col(time) >= at if is_start else F.col(time) < at)
+        if "date" in table.columns:
             day = F.to_date(at)
-            found = found.where(F.col("date") >= day if is_start else F.col("date") <= day)
-    for name, wanted in (where or {}).items():
-        values = [wanted] if isinstance(wanted, str) else list(wanted)
-        found = found.where(tag(found, name).isin(*values))
-    return found
+            table = table.where(F.col("date") >= day if is_start else F.col("date") <= day)
+    return table
 
 
-def tag_values(points: DataFrame, measurement: str, key: str, *, where: Mapping[str, str] | None = None) -> DataFrame:
-    """Distinct values of one tag, in order."""
-    found = select_points(points, measurement, where=where)
+def tag_values(
+    points: DataFrame,
+    measurement: str,
+    key: str,
+    *,
+    where: Mapping[str, str] | None = None,
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
+    """Distinct values of one tag, in order, as seen from ``start`` to before ``end``."""
+    found = select_points(points, measurement, where=where, start=start, end=end)
     return found.select(tag(found, key).alias(key)).where(F.col(key) != "").distinct().orderBy(key)
 
 
-def write_rollup(rolled: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Append rollup rows to the rollup table, partitioned by their measurement."""
+def stored_rollups(rolled: DataFrame, hot_tags: Sequence[str] = HOT_TAGS) -> DataFrame:
+    """Rollup rows with the columns they are stored with."""
     table = rolled if "tags" in rolled.columns else _with_tag_map(rolled)
-    table.withColumn("date", F.to_date("window_start")).hint("rebalance", "measurement", "date").write.mode(
-        mode
-    ).partitionBy("measurement", "date").parquet(path)
+    added = [t for t in hot_tags if t not in table.columns]
+    return table.select("*", *[tag(table, t).alias(t) for t in added], F.to_date("window_start").alias("date"))
 
 
-def replace_rollup(spark: SparkSession, rolled: DataFrame, path: str) -> None:
-    """Rewrite only the partitions the rows belong to; running twice is the same."""
-    table = rolled if "tags" in rolled.columns else _with_tag_map(rolled)
-    table.withColumn("date", F.to_date("window_start")).hint("rebalance", "measurement", "date").write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("measurement", "date").parquet(path)
+def read_rollups(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_rollup(rolled: DataFrame, path: str, *, hot_tags: Sequence[str] = HOT_TAGS, mode: str = "append") -> None:
+    """Append rollup rows to the rollup table, partitioned by measurement and date."""
+    stored_rollups(rolled, hot_tags).hint("rebalance", "measurement", "date").sortWithinPartitions(
+        "measurement", "date", *hot_tags
+    ).write.mode(mode).partitionBy("measurement", "date").parquet(path)
+
+
+def replace_rollup(spark: SparkSession, rolled: DataFrame, path: str, *, hot_tags: Sequence[str] = HOT_TAGS) -> None:
+    """Put the rows in place of what the table has for their windows; running twice is the same.
+
+    Only the (measurement, date) partitions of these windows are rewritten, and what those hold for other windows
+    stays.  The rows are written to one side and moved at the end, so a failed run leaves the table as it was.
+    """
+    new = stored_rollups(rolled, hot_tags)
+    windows = new.select("measurement", "date", "window_start").distinct()
+    old = read_rollups(spark, path).select(*new.columns)
+    touched = old.join(windows.select("measurement", "date").distinct(), ["measurement", "date"], "left_semi")
+    others = touched.join(windows, ["measurement", "date", "window_start"], "left_anti").select(*new.columns)
+    others.unionByName(new).hint("rebalance", "measurement", "date").sortWithinPartitions(
+        "measurement", "date", *hot_tags
+    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("measurement", "date").parquet(path)
 
 
 def _with_tag_map(rolled: DataFrame) -> DataFrame:

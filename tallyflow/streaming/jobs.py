@@ -8,11 +8,14 @@ restarted driver goes on from the last finished batch.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,13 +23,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyflow.definitions import Definition, MathEntry
-from tallyflow.model import TAGS, epoch_seconds, tag_columns, with_series
+from tallyflow.model import TAGS, epoch_seconds, has_column, tag_columns, with_series
 from tallyflow.operators import extract as E
 from tallyflow.operators.metric_math import apply_math
 from tallyflow.operators.rates import RESET_POLICIES
 from tallyflow.operators.summary import latest
 from tallyflow.operators.rollup import DEFAULT_INTERVAL, DEFAULT_PERIODS, rollup
 
+# The state function travels with the query, so workers need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_extract(snapshots: DataFrame, catalog: Definition | Mapping[str, Definition], **options) -> DataFrame:
     """Points from a stream of snapshots; extraction keeps no state."""
@@ -75,56 +81,79 @@ def stream_rate(
     first_value: float | None = None,
     interval: float = 60.0,
     watermark: str | None = None,
-    ttl_seconds: int = 86400,
+    ttl_seconds: int | None = None,
 ) -> DataFrame:
     """Per-second rates of counters, with the last reading kept per series.
 
-    A series that is silent for ``ttl_seconds`` of event time is forgotten; if it
-    returns it counts as new, so jobs that come and go do not pile up.  Readings
-    older than the last one seen, or than the watermark (by default ten collect
-    intervals behind), are dropped.  A micro-batch holds at most what the source's
-    trigger limit lets in, and that bounds what one series can bring at a time.
+    As in ``rate``, only ``derive`` points that do not reset when read are
+    counters; all others pass through, and a ``first_value`` column gives a new
+    series its first rate.  With ``ttl_seconds`` a series that is silent for so
+    long in event time is forgotten, so jobs that come and go do not pile up; if
+    it returns it counts as new, which the batch form does not do.  Readings older
+    than the last one seen, or than the watermark (by default ten collect intervals
+    behind), are dropped.  A micro-batch holds at most what the source's trigger
+    limit lets in, and that bounds what one series can bring at a time.
     """
     if on_reset not in RESET_POLICIES:
         raise ValueError(f"on_reset must be one of {RESET_POLICIES}")
-    points = points.withWatermark("ts", watermark or f"{int(10 * interval)} seconds")
+    gauges = None
+    counters = points
+    if has_column(points, "ds_type"):
+        is_counter = F.col("ds_type") == "derive"
+        if has_column(points, "interval_gauge"):
+            is_counter &= ~F.coalesce(F.col("interval_gauge"), F.lit(False))
+        is_counter = F.coalesce(is_counter, F.lit(False))
+        counters, gauges = points.where(is_counter), points.where(~is_counter)
+    counters = counters.withWatermark("ts", watermark or f"{int(10 * interval)} seconds")
+    known_first = F.col("first_value").cast("double") if has_column(points, "first_value") else F.lit(None).cast("double")
+    if first_value is not None:
+        known_first = F.lit(float(first_value))
     if by is not None:
-        keyed = points.select(*tag_columns(points, by), "ts", "value")
+        keyed = counters.select(*tag_columns(counters, by), "ts", "value", known_first.alias("first"))
         names = list(by)
     else:
         entries = F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast(TAGS))))
-        keyed = points.select("measurement", "host", F.to_json(F.map_from_entries(entries)).alias("_tags"), "ts", "value")
+        tags = F.to_json(F.map_from_entries(entries)).alias("_tags")
+        keyed = counters.select("measurement", "host", tags, "ts", "value", known_first.alias("first"))
         names = ["measurement", "host", "_tags"]
-    readings = keyed.select(*[F.col(n).cast("string").alias(n) for n in names], "ts", epoch_seconds("ts").alias("at"), "value")
+    readings = keyed.select(
+        *[F.col(n).cast("string").alias(n) for n in names], "ts", epoch_seconds("ts").alias("at"), "value", "first"
+    )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat([b[["at", "value"]] for b in batches]).sort_values(["at", "value"])
+        rows = pd.concat([b[["at", "value", "first"]] for b in batches]).sort_values(["at", "value"])
         before = state.get if state.exists else None
         if before is not None:
             rows = rows[rows["at"] > before[1]]
         if len(rows):
             at, value = rows["at"].to_numpy(), rows["value"].to_numpy()
-            rate = _rates(at, value, before, on_reset, first_value, interval)
+            first = rows["first"].iloc[0]
+            rate = _rates(at, value, before, on_reset, None if pd.isna(first) else float(first), interval)
             state.update((float(value[-1]), float(at[-1])))
             known = ~np.isnan(rate)
             out = pd.DataFrame({n: k for n, k in zip(names, key)}, index=range(int(known.sum())))
             out["at"], out["value"] = at[known], rate[known]
             yield out
-        if state.exists:
+        if state.exists and ttl_seconds is not None:
             state.setTimeoutTimestamp(int((state.get[1] + ttl_seconds) * 1000))
 
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names],
                            T.StructField("at", T.DoubleType()), T.StructField("value", T.DoubleType())])
-    rated = readings.groupBy(*names).applyInPandasWithState(
-        step, schema, _RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.EventTimeTimeout
+    rated = readings.groupBy(*names).applyInPandasWithState(step, schema, _RATE_STATE, "append", timeout)
     ts = F.timestamp_micros(F.round(F.col("at") * F.lit(1e6)).cast("bigint")).alias("ts")
     if by is not None:
-        return rated.select(*names, ts, "value")
-    return rated.select("measurement", "host", F.from_json("_tags", TAGS).alias("tags"), ts, F.lit("derive").alias("ds_type"), "value")
+        rated = rated.select(*names, ts, "value")
+        passed = None if gauges is None else gauges.select(*tag_columns(gauges, by), "ts", "value")
+    else:
+        rated = rated.select(
+            "measurement", "host", F.from_json("_tags", TAGS).alias("tags"), ts, F.lit("derive").alias("ds_type"), "value"
+        )
+        passed = None if gauges is None else gauges.select(*rated.columns)
+    return rated if passed is None else rated.unionByName(passed)
 
 
 def _rates(at, value, before, on_reset: str, first_value, interval: float):
@@ -158,19 +187,29 @@ def stream_latest(points: DataFrame, by: Sequence[str], path: str, checkpoint: s
     """Keep a small table with the newest point of every series.
 
     Each batch is reduced to one row per series and merged with the table's
-    current version into the other of two folders.  A repeated batch reads the
-    same version and writes the same result.
+    newest version into the next one.  A version's folder names its number, the
+    query (by its checkpoint) and the batch, and counts once its success mark is
+    there.  So a repeated batch is seen and left out, another query with another
+    checkpoint goes on from what the table holds, and a read that fails stops the
+    query instead of counting as an empty table.  The last few versions stay for
+    readers that are still at them.
     """
+    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        versions = _versions(spark, path)
+        if any(v[1:] == (job, number) for v in versions):
+            return
         rows, keys = with_series(batch, list(by))
         fresh = rows.select(*keys, "ts", "value")
-        current = _version(spark, path, number - 1)
-        if current is not None:
-            fresh = fresh.unionByName(current.select(*keys, "ts", "value"))
-        out = latest(fresh, keys).withColumn("batch", F.lit(number).cast("bigint"))
-        out.write.mode("overwrite").parquet(f"{path}/{number % 2}")
+        if versions:
+            fresh = fresh.unionByName(spark.read.parquet(_folder(path, *versions[-1])).select(*keys, "ts", "value"))
+        after = (versions[-1][0] if versions else 0) + 1
+        latest(fresh, keys).write.mode("overwrite").parquet(_folder(path, after, job, number))
+        files = _files(spark, path)
+        for old in versions[: -KEPT_VERSIONS + 1]:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(path, *old)), True)
 
     writer = points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     if once:
@@ -178,24 +217,34 @@ def stream_latest(points: DataFrame, by: Sequence[str], path: str, checkpoint: s
     return writer.start()
 
 
-def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """The table as it was after one batch."""
-    if number < 0:
-        return None
-    return _slot(spark, path, number % 2)
+#: Finished versions of a latest table that are kept.
+KEPT_VERSIONS = 4
+
+
+def _folder(path: str, version: int, job: str, batch: int) -> str:
+    return f"{path}/v{version:012d}-{job}-{batch}"
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _slot(spark: SparkSession, path: str, slot: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{path}/{slot}")
-    except AnalysisException:
-        return None
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, int]]:
+    """(version, query, batch) of every finished version, oldest first; none if the table does not exist yet."""
+    files, folder = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.exists(folder):
+        return []
+    found = []
+    for status in files.listStatus(folder):
+        m = re.fullmatch(r"v(\d+)-([0-9a-f]+)-(\d+)", status.getPath().getName())
+        if m and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append((int(m[1]), m[2], int(m[3])))
+    return sorted(found)
 
 
 def latest_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of the table ``stream_latest`` keeps."""
-    slots = [s for s in (_slot(spark, path, n) for n in (0, 1)) if s is not None]
-    if not slots:
+    versions = _versions(spark, path)
+    if not versions:
         raise ValueError(f"no latest table at {path}")
-    newest = [(s.agg(F.max("batch")).first()[0] or 0, i) for i, s in enumerate(slots)]
-    return slots[max(newest)[1]].drop("batch")
+    return spark.read.parquet(_folder(path, *versions[-1]))

@@ -201,6 +201,18 @@ def _(spark, sf):
     return _rated(rate(_counters(spark, sf, _COUNTER), ["job_id"], chunk=None))
 
 
+_TIES_SQL = _rate_sql("CAST(event_id * 10 AS DOUBLE)", "dv / NULLIF(dt, 0)").replace(
+    "AS v FROM e)", "AS v FROM (SELECT * FROM e UNION ALL SELECT * REPLACE (event_id + 0.3 AS event_id) FROM e))"
+)
+
+
+@query("counter_rate_ties", _TIES_SQL)
+def _(spark, sf):
+    """Two readings at every time: the chunks must settle ties as the whole series does."""
+    twice = _counters(spark, sf, "CAST(event_id * 10 AS DOUBLE)")
+    return _rated(rate(twice.withColumn("value", F.col("value") + 3).unionByName(twice), ["job_id"]))
+
+
 @query("counter_rate_keep_reset", _rate_sql(_WRAPPING, "dv / dt"))
 def _(spark, sf):
     return _rated(rate(_counters(spark, sf, _WRAPPING), ["job_id"]))

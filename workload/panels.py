@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyflow.operators.rates import rate
@@ -9,6 +11,8 @@ from tallyflow.operators.rollup import Rollup, rollup, rollup_many
 from tallyflow.operators.status import GIB, MIB, host_status
 from tallyflow.plans import panels as Q
 from tallyflow.plans.rollup_catalog import TOTAL_BYTES
+from tallyflow.session import shared_folder
+from tallyflow.sources import points as P
 from tallyflow.sources.points import tag_values
 from workload.operators import F32_AVG, HOURS, f32, r6, summary_flat
 from workload.registry import query
@@ -457,3 +461,52 @@ def _(spark, sf):
     )
     rolled = rollup(rate(counters, ["job_id"]), "mdt_jobstats_samples", ["job_id"], interval=HOURS)
     return rolled.select("job_id", F.unix_seconds("window_start").alias("window_start"), r6("sum").alias("sum"))
+
+
+# ------------------------------------------- the stored rollup table, in a range
+
+_STORED = [Rollup("ost_jobstats_bytes", ("fs_name", "job_id"), only=TOTAL_BYTES)]
+_RANGE = {"start": "2024-01-05 00:00:00", "end": "2024-01-20 00:00:00"}
+_IN_RANGE = f" AND sec >= epoch(TIMESTAMP '{_RANGE['start']}') AND sec < epoch(TIMESTAMP '{_RANGE['end']}')"
+
+
+def _stored_rollups(spark, sf) -> str:
+    path = f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}"
+    P.write_rollup(_rolled(spark, sf, _JOB_TAGS, _JOB_BYTES, _STORED), path)
+    return path
+
+
+@query(
+    "throughput_per_job_in_range",
+    _rolled_sql(_JOB_TAGS, _JOB_BYTES, "ost_jobstats_bytes", ["job_id"], where=_BOTH + _IN_RANGE) + _summary_sql(["job_id"]),
+)
+def _(spark, sf):
+    """A panel over the stored table; the range prunes its partitions."""
+    return summary_flat(Q.throughput_per_job(P.read_rollups(spark, _stored_rollups(spark, sf)), FS, **_RANGE))
+
+
+def _read_back(spark, path):
+    back = P.select_rollups(P.read_rollups(spark, path), _STORED[0].name, where={"fs_name": FS})
+    return _over_time(back.select(F.col("tags")["job_id"].alias("job_id"), F.col("window_start").alias("ts"), F.col("sum").alias("value")))
+
+
+@query(
+    "rollup_write_back",
+    _rolled_sql(_JOB_TAGS, _JOB_BYTES, "ost_jobstats_bytes", ["job_id"], where=_BOTH) + _over_time_sql(["job_id"]),
+)
+def _(spark, sf):
+    return _read_back(spark, _stored_rollups(spark, sf))
+
+
+@query(
+    "rollup_replace_window",
+    _rolled_sql(_JOB_TAGS, _JOB_BYTES, "ost_jobstats_bytes", ["job_id"], where=_BOTH)
+    + f" SELECT job_id, ts, round(CASE WHEN (ts // {SPAN}) % 2 = 0 THEN 2 * value ELSE value END, 6) AS value FROM r",
+)
+def _(spark, sf):
+    """Every other window is replaced by one of twice the value; the rest of its day stays."""
+    path = _stored_rollups(spark, sf)
+    stored = P.read_rollups(spark, path)
+    chosen = stored.where((F.unix_seconds("window_start") / SPAN).cast("bigint") % 2 == 0).drop("date", *P.HOT_TAGS)
+    P.replace_rollup(spark, chosen.withColumn("sum", F.col("sum") * 2), path)
+    return _read_back(spark, path)
