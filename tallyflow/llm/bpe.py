@@ -18,6 +18,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from tokenizers import Tokenizer
 from tallyflow.llm.common import small_batches
 
 #: Fragments remembered by a task before it starts anew; only speed depends on it.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -41,7 +43,7 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    """Encodes and decodes with one tokenizer file of the byte-level kind, given by its content."""
+    """Encodes with one tokenizer file of the byte-level kind, given by its content."""
 
     def __init__(self, spec: str) -> None:
         parsed = json.loads(spec)
@@ -56,10 +58,8 @@ class Codec:
         #: Pairs of neighbouring letters of any token; all others are forced apart.
         self.joined = {token[k : k + 2] for token in vocabulary for k in range(len(token) - 1)}
         letters = byte_letters()
-        value = {letter: byte for byte, letter in enumerate(letters)}
-        self.bytes = {i: bytes(value[x] for x in token) for token, i in vocabulary.items()}
+        self.blank = letters[0x20]
         self.added = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.bytes |= {i: content.encode() for content, i in self.added.items()}
         whole = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.added_pattern = re.compile("(" + "|".join(whole) + ")") if whole else None
         # A blank is only cut off from bytes that it is forced apart from, so others forbid the cut.
@@ -72,15 +72,26 @@ class Codec:
         self.first: dict[str, tuple[int, ...]] = {}
         self.later: dict[str, tuple[int, ...]] = {}
 
+    def parts(self, text: str) -> list[str]:
+        """What the splitting pattern makes of a fragment, in the vocabulary's letters."""
+        if text[:1] == " " and text.isascii():
+            # A blank, ASCII letters and at most one of these marks: the pattern takes all letters, then the mark.
+            if text[1:].isalpha():
+                return [self.blank + text[1:]]
+            if text[-1] in ".,;:?!" and text[1:-1].isalpha():
+                return [self.blank + text[1:-1], text[-1]]
+        return [word for word, _ in self.split(text)]
+
     def fragment(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
-        for word, _ in self.split(text):
+        for word in self.parts(text):
             start = 0
-            for k in range(1, len(word)):
-                if word[k - 1 : k + 1] not in self.joined:
-                    ids.extend(t.id for t in self.merge(word[start:k]))
-                    start = k
-            ids.extend(t.id for t in self.merge(word[start:]))
+            if not self.joined.issuperset(map(add, word, word[1:])):
+                for k in range(1, len(word)):
+                    if word[k - 1 : k + 1] not in self.joined:
+                        ids.extend([t.id for t in self.merge(word[start:k])])
+                        start = k
+            ids.extend([t.id for t in self.merge(word[start:])])
         return tuple(ids)
 
     def ordinary(self, text: str, out: list[int]) -> None:
@@ -108,6 +119,16 @@ class Codec:
                 self.ordinary(part, out)
         return out
 
+
+class Decoder:
+    """Gives back the text of token ids; bytes that make no character become replacement characters."""
+
+    def __init__(self, spec: str) -> None:
+        parsed = json.loads(spec)
+        value = {letter: byte for byte, letter in enumerate(byte_letters())}
+        self.bytes = {i: bytes(value[x] for x in token) for token, i in parsed["model"]["vocab"].items()}
+        self.bytes |= {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
@@ -131,7 +152,7 @@ def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") ->
         for batch in batches:
             found = [codec.encode(t or "") for t in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
-            flat = np.fromiter((i for x in found for i in x), dtype=np.int32, count=ends[-1])
+            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=ends[-1])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
 
@@ -148,9 +169,12 @@ def decode(encoded: DataFrame, spec: str, ids: str = "ids", text: str = "decoded
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        decoder = Decoder(shared.value)
         for batch in batches:
-            texts = [codec.decode(x or []) for x in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            ends = column.offsets.to_numpy().tolist()  # a null row has no ids either
+            values = column.values.to_numpy(zero_copy_only=False).tolist()
+            texts = [decoder.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
