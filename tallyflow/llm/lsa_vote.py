@@ -10,8 +10,8 @@ The sample takes at most ``REFERENCES`` labelled rows, half of each class, those
 the only thing that is ever gathered, with at most ``TERMS`` numbers a row.
 
 Defined cases: null and empty texts are scored like any other (their whole-text terms are left); labelled rows without
-a quality or without a document are not learned from; a document with several labels is several examples; if nothing is
-labelled every score is 0.5; if one class is, the score is that class; null ids and repeated rows are scored row by row;
+a quality or without a document are not learned from; a document with both labels is an example of either, rows that
+repeat an id count once, with the least of their texts; if nothing is labelled every score is 0.5; if one class is, the score is that class; null ids and repeated rows are scored row by row;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -129,17 +129,22 @@ class Model:
         return np.clip((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), 0, 1)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: str = "doc_id") -> Model:
-    """Learn from rows with a text and a 0/1 label."""
-    usable = labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
-        F.xxhash64(F.col(order).cast("string"), F.col(text)).alias("draw"),
-    )
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label") -> Model:
+    """Learn from the documents that have a 0/1 label under their id."""
+    known = docs.select(F.col(id_col).alias("id"))
+    usable = labels.where(F.col(label).isin(0, 1)).select(
+        F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"),
+        F.xxhash64(F.col(id_col).cast("string")).alias("draw"),
+    ).distinct().join(known, "id", "left_semi")
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     half = REFERENCES // 2
-    drawn = [usable.where(F.col("label") == k).orderBy("draw").limit(half) for k in (0, 1)]
+    drawn = [usable.where(F.col("label") == k).orderBy("draw", "id").limit(half) for k in (0, 1)]
+    # Ids are drawn without texts; at most REFERENCES of them are broadcast to fetch theirs.
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(drawn[0].union(drawn[1])), "id")
+    chosen = chosen.groupBy("id", "label", "draw").agg(F.min("text").alias("text"))
     rows = term_counts(
-        drawn[0].union(drawn[1]), "text", {"label": F.col("label"), "draw": F.col("draw")}, "label int, draw bigint"
+        chosen, "text", {"label": F.col("label"), "draw": F.col("draw")}, "label int, draw bigint"
     ).collect()  # at most REFERENCES rows of at most TERMS numbers
     rows.sort(key=lambda r: (r["label"], r["draw"]))
     matrix = np.zeros((len(rows), TERMS), dtype=np.float32)

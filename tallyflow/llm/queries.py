@@ -171,7 +171,7 @@ def op3_lsa_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = lsa_vote.fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = lsa_vote.fit(docs.where(~held_out), labels)
     return lsa_vote.score(docs, model).select(
         F.col("id").alias("doc_id"),
         F.coalesce(bucket_of(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"),
