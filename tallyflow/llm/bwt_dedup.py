@@ -13,7 +13,9 @@ transform is kept as runs, with the text places at run ends as samples.  How far
 suffix order is looked up at the samples only; a place within a run has one less than the place before it, so the
 matching statistics of all places stream from the samples in text order.  Windows with a match of LENGTH are repeated.
 Blocks hold whole anchors.  An anchor with more than ``WIDE`` different contexts (a passage in a large part of all
-texts) does not go into a block: its windows are counted by hash one by one, which any number of tasks can share.
+texts) does not go into a block: its windows are cut into classes of neighbours, each with the stretch that all windows
+of the class hold in the anchor's place, and go through the same steps again.  Where even such a stretch has more than
+WIDE different surroundings, its few windows are counted by hash one by one, which any number of tasks can share.
 
 Defined cases: null and shorter texts lose nothing; rows with a null id are rows like others; repeated rows repeat each
 other, so they are removed where they have LENGTH bytes; an empty table gives an empty result; other columns are not
@@ -35,6 +37,8 @@ from tallyflow.llm.common import checkpointed, small_batches
 LENGTH, GRAM = 400, 32
 #: Different contexts of an anchor that one block may hold, and bytes of contexts after which a block is indexed.
 WIDE, BLOCK = 1024, 1 << 20
+#: Places of the windows that are compared together where an anchor has too many contexts for a block.
+STEP = 23
 #: Bits of a place within a piece of text that is looked at as a whole; longer texts are looked at in several pieces.
 PLACE = 20
 BASE = 0x9E3779B97F4A7C15
@@ -65,8 +69,9 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(from_here[:n], to_here[width - 1 : width - 1 + n])
 
 
-def contexts(text: bytes) -> list[tuple[int, int, int, int]]:
-    """(hash of the anchor, hash of the context, its start, number of windows) of every anchor of a text."""
+def contexts(text: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(hash of the anchor, hash of the context, its start, number of windows, the anchor's place in it) of every anchor
+    of a text."""
     out = []
     step = (1 << PLACE) - 2 * LENGTH
     for first in range(0, len(text) - LENGTH + 1, step):
@@ -81,7 +86,7 @@ def contexts(text: bytes) -> list[tuple[int, int, int, int]]:
         offsets = (anchor[starts] - starts).tolist()
         for name, start, count, offset in zip(names, starts.tolist(), counts, offsets):
             digest = xxhash.xxh3_64_intdigest(piece[start : start + count + LENGTH - 1], offset)
-            out.append((name, digest - (1 << 64) if digest >> 63 else digest, first + start, count))
+            out.append((name, digest - (1 << 64) if digest >> 63 else digest, first + start, count, offset))
     return out
 
 
@@ -108,7 +113,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 def agreement(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many symbols the suffixes at a and b have in common."""
-    padded = np.concatenate([symbols, np.full(8, -1, dtype=np.int64)])
+    padded = np.concatenate([symbols, np.zeros(8, dtype=np.int64)])
     out = np.zeros(len(a), dtype=np.int64)
     live = np.arange(len(a))
     # Four symbols at a time, of 12 bits each; then what is left of the last four.
@@ -200,6 +205,35 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(held)
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ah, ch, offset, body) rows cut up by how far windows reach to the left of the anchor, STEP places at a time.
+
+    The windows of a class all hold one stretch of LENGTH - STEP + 1 bytes; equal windows have it in common, so it takes
+    the anchor's part: the result is (ah2, ch2, ah, ch, base, body), base being the class's first place in the context.
+    """
+    for batch in batches:
+        rows = []
+        for ah, ch, offset, body in zip(*(c.to_pylist() for c in batch.columns)):
+            n = len(body) - LENGTH + 1
+            # Place k reaches offset - k bytes to the left; a class ends where that is a multiple of STEP.
+            base = 0
+            while base < n:
+                nearest = (offset - base) // STEP * STEP
+                after = min(offset - nearest + 1, n)
+                core = body[offset - nearest : offset - nearest - STEP + 1 + LENGTH]
+                piece = body[base : after - 1 + LENGTH]
+                name = xxhash.xxh3_64_intdigest(b"%d:%d:" % (ah, nearest) + core)
+                digest = xxhash.xxh3_64_intdigest(piece, offset - base - nearest)
+                rows.append((name, digest, ah, ch, base, piece))
+                base = after
+        names = ("ah2", "ch2", "ah", "ch", "base")
+        hashed = [pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64)) for k in (0, 1)]
+        rest = [pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]
+        yield pa.RecordBatch.from_arrays(
+            [*hashed, *rest, pa.array([r[5] for r in rows], pa.binary())], [*names, "body"]
+        )
+
+
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ah, ch, body in zip(*(c.to_pylist() for c in batch.columns)):
@@ -212,6 +246,41 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _by_index(bodies: DataFrame) -> DataFrame:
+    """(ah, ch, ranges) of contexts, whole anchors to a block."""
+    sorted_ = bodies.select("ah", "ch", "body").repartition("ah").sortWithinPartitions("ah")
+    return sorted_.mapInArrow(_indexed, f"ah bigint, ch bigint, ranges {RANGES}")
+
+
+def _by_class(classes: DataFrame) -> DataFrame:
+    """(ah, ch, ranges) from classes of windows: counted, then indexed, then one by one."""
+    c = F.col
+    distinct = classes.groupBy("ah2", "ch2").agg(F.count("*").alias("times"), F.min("body").alias("body"))
+    shapes = distinct.groupBy("ah2").agg(F.count("*").alias("shapes"))
+    known = distinct.join(shapes, "ah2").withColumnsRenamed({"ah2": "ah", "ch2": "ch"})
+    last = (F.length("body") - LENGTH).cast("int")
+    whole = known.where("times > 1").select(
+        "ah", "ch", F.array(F.struct(F.lit(0).alias("first"), last.alias("last"))).alias("ranges")
+    )
+    indexed = _by_index(known.where((c("shapes") > 1) & (c("shapes") <= WIDE)))
+    windows = known.where(c("shapes") > WIDE).select("ah", "ch", "body").mapInArrow(
+        _window_hashes, "ah bigint, ch bigint, at int, wh bigint"
+    )
+    twice = windows.groupBy("wh").agg(F.count("*").alias("times")).where("times > 1").select("wh")
+    counted = windows.join(twice, "wh").groupBy("ah", "ch").agg(
+        F.collect_list(F.struct(c("at").alias("first"), c("at").alias("last"))).alias("ranges")
+    )
+    hit = whole.unionByName(indexed).unionByName(counted).withColumnsRenamed({"ah": "ah2", "ch": "ch2"})
+    moved = F.transform(
+        "ranges",
+        lambda r: F.struct(
+            (r["first"] + c("base")).cast("int").alias("first"), (r["last"] + c("base")).cast("int").alias("last")
+        ),
+    )
+    found = classes.select("ah2", "ch2", "ah", "ch", "base").join(hit, ["ah2", "ch2"])
+    return found.groupBy("ah", "ch").agg(F.flatten(F.collect_list(moved)).alias("ranges"))
+
+
 def marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, start, ranges): contexts with repeated windows, once for each place where they occur."""
     c = F.col
@@ -225,52 +294,49 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             for lo in range(0, len(texts), 64):
                 found = [(lo + k, *x) for k, t in enumerate(texts[lo : lo + 64]) for x in contexts(t or b"")]
                 take = pa.array([x[0] for x in found], pa.int64())
-                rest = [pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3, 4)]
+                rest = [pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), *rest],
-                    ["id", "th", "ah", "ch", "start", "n"],
+                    ["id", "th", "ah", "ch", "start", "n", "off"],
                 )
 
     keyed = docs.select(c(id_col).alias("id"), F.xxhash64(text).alias("th"), c(text).alias("t")).where("t is not null")
     found = checkpointed(
-        keyed.mapInArrow(anchors, f"id {kind}, th bigint, ah bigint, ch bigint, start bigint, n bigint")
+        keyed.mapInArrow(anchors, f"id {kind}, th bigint, ah bigint, ch bigint, start bigint, n bigint, off bigint")
     )
-    place = F.struct(c("id").isNull().alias("none"), "id", "th", "start", "n")
+    place = F.struct(c("id").isNull().alias("none"), "id", "th", "start", "n", "off")
     distinct = found.groupBy("ah", "ch").agg(F.count("*").alias("times"), F.min(place).alias("rep"))
-    distinct = checkpointed(distinct.select("ah", "ch", "times", "rep.id", "rep.th", "rep.start", "rep.n"))
+    distinct = checkpointed(distinct.select("ah", "ch", "times", "rep.id", "rep.th", "rep.start", "rep.n", "rep.off"))
     shapes = distinct.groupBy("ah").agg(F.count("*").alias("shapes")).where("shapes > 1")
     several = distinct.join(shapes, "ah")
 
     # One copy of each of several contexts is cut out of its text.
     wanted = several.groupBy(c("id").alias("rid"), c("th").alias("rth")).agg(
-        F.collect_list(F.struct("ah", "ch", "shapes", "start", "n")).alias("cuts")
+        F.collect_list(F.struct("ah", "ch", "shapes", "start", "n", "off")).alias("cuts")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, cuts in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 body = [t[x["start"] : x["start"] + x["n"] + LENGTH - 1] for x in cuts]
-                numbers = [pa.array([x[k] for x in cuts], pa.int64()) for k in ("ah", "ch", "shapes")]
-                yield pa.RecordBatch.from_arrays([*numbers, pa.array(body, pa.binary())], ["ah", "ch", "shapes", "body"])
+                numbers = [pa.array([x[k] for x in cuts], pa.int64()) for k in ("ah", "ch", "shapes", "off")]
+                names = ["ah", "ch", "shapes", "off", "body"]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(body, pa.binary())], names)
 
     same = c("id").eqNullSafe(c("rid")) & (c("th") == c("rth"))
     bodies = keyed.join(wanted, same).select("t", "cuts").mapInArrow(
-        cut, "ah bigint, ch bigint, shapes bigint, body binary"
+        cut, "ah bigint, ch bigint, shapes bigint, off bigint, body binary"
     )
     bodies = checkpointed(bodies)
-    narrow = bodies.where(c("shapes") <= WIDE).select("ah", "ch", "body").repartition("ah").sortWithinPartitions("ah")
-    by_index = narrow.mapInArrow(_indexed, f"ah bigint, ch bigint, ranges {RANGES}")
-    windows = bodies.where(c("shapes") > WIDE).select("ah", "ch", "body").mapInArrow(
-        _window_hashes, "ah bigint, ch bigint, at int, wh bigint"
-    )
-    twice = windows.groupBy("wh").agg(F.count("*").alias("times")).where("times > 1").select("wh")
-    by_window = windows.join(twice, "wh").groupBy("ah", "ch").agg(
-        F.collect_list(F.struct(c("at").alias("first"), c("at").alias("last"))).alias("ranges")
+    by_index = _by_index(bodies.where(c("shapes") <= WIDE))
+    classes = bodies.where(c("shapes") > WIDE).select("ah", "ch", "off", "body").mapInArrow(
+        _classes, "ah2 bigint, ch2 bigint, ah bigint, ch bigint, base bigint, body binary"
     )
+    by_class = _by_class(checkpointed(classes))
     whole = distinct.where("times > 1").select(
         "ah", "ch", F.array(F.struct(F.lit(0).alias("first"), (c("n") - 1).cast("int").alias("last"))).alias("ranges")
     )
-    hit = whole.unionByName(by_index).unionByName(by_window)
+    hit = whole.unionByName(by_index).unionByName(by_class)
     return found.join(hit, ["ah", "ch"]).select("id", "th", "start", "ranges")
 
 
