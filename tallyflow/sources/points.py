@@ -128,6 +128,10 @@ def replace_rollup(spark: SparkSession, rolled: DataFrame, path: str, *, hot_tag
     Only the (measurement, date) partitions of these windows are rewritten, and what those hold for other windows
     stays.  The rows are written to one side and moved at the end, so a failed run leaves the table as it was.
     """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        write_rollup(rolled, path, hot_tags=hot_tags)
+        return
     new = stored_rollups(rolled, hot_tags)
     windows = new.select("measurement", "date", "window_start").distinct()
     old = read_rollups(spark, path).select(*new.columns)
