@@ -1,0 +1,35 @@
+"""Near-copies at the limit of similarity, in crowds and in long texts."""
+
+import random
+
+import numpy as np
+from conftest import sentence
+from pyspark.sql.classic.dataframe import DataFrame
+
+from tallyflow.llm import near_copies
+from tallyflow.llm.simhash_golay import shingle_hashes
+
+
+def similarity(a, b):
+    x, y = (set(shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited(words, places, mark):
+    return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(words))
+
+
+def stays(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    return {r.doc_id for r in near_copies.first_of_each(df).collect()}
+
+
+def test_no_pair_at_the_limit_is_lost_in_a_large_table(spark, monkeypatch):
+    docs = {}
+    for k in range(80):
+        words = sentence(5000 + k, 400).split()
+        docs[k], docs[1000 + k] = " ".join(words), edited(words, {*range(7, 350, 48), 396}, f"e{k}x")
+        assert similarity(docs[k], docs[1000 + k]) == 0.8  # 44 of 396 shingles
+    # What is found must not depend on how many documents there are.
+    monkeypatch.setattr(DataFrame, "count", lambda self: 50_000_000)
+    assert stays(spark, docs) == set(range(80))
