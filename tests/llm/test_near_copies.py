@@ -33,3 +33,14 @@ def test_no_pair_at_the_limit_is_lost_in_a_large_table(spark, monkeypatch):
     # What is found must not depend on how many documents there are.
     monkeypatch.setattr(DataFrame, "count", lambda self: 50_000_000)
     assert stays(spark, docs) == set(range(80))
+
+
+def test_pairs_in_a_crowd_of_less_similar_texts_are_found(spark):
+    template, rng = sentence(77, 352).split(), random.Random(5)
+    own = lambda k: template + sentence(7000 + k, 48).split()
+    docs = {k: " ".join(own(k)) for k in range(1200)}
+    assert 0.7 < similarity(docs[0], docs[1]) < 0.79
+    for k in range(40):
+        docs[5000 + k] = edited(own(k), rng.sample(range(400), 8), f"e{k}x")
+        assert similarity(docs[k], docs[5000 + k]) >= 0.8
+    assert stays(spark, docs) == set(range(1200))
