@@ -44,3 +44,18 @@ def test_pairs_in_a_crowd_of_less_similar_texts_are_found(spark):
         docs[5000 + k] = edited(own(k), rng.sample(range(400), 8), f"e{k}x")
         assert similarity(docs[k], docs[5000 + k]) >= 0.8
     assert stays(spark, docs) == set(range(1200))
+
+
+def test_all_shingles_of_long_texts_take_part(spark):
+    docs = {}
+    for k in range(5):
+        words = sentence(9000 + k, 1500).split()
+        hashes = shingle_hashes(" ".join(words).encode(), 5)
+        # Edits where the smallest shingle hashes are, so that a sample of those is far less similar than the texts.
+        places = set()
+        for at in np.argsort(hashes):
+            if len(places) < 32 and not any(abs(at + 2 - p) < 5 for p in places):
+                places.add(int(at) + 2)
+        docs[k], docs[100 + k] = " ".join(words), edited(words, places, f"e{k}x")
+        assert similarity(docs[k], docs[100 + k]) >= 0.8
+    assert stays(spark, docs) == set(range(5))
