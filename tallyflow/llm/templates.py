@@ -5,8 +5,8 @@ typed placeholders (``slots``), everything else stays a plain word.  A name is a
 throughout) that does not start a sentence.  Every benchmark item is cut into windows of ``WINDOW`` tokens (an item with fewer is one window), every
 document too, and windows with equal templates are joined by hash.  Joined windows on one diagonal (document place less
 item place) form a passage; it counts if its slots are consistent: wherever the item repeats a value, the document
-repeats the value that it has instead.  Windows with few plain words count only if their slot values are
-equal.
+repeats the value that it has instead.  Windows whose slot values are the item's own count in any passage, and windows with
+few plain words only if they are.
 
 Documents are hashed in place and only windows that may match leave a task: a bitmap of fixed size, made from all
 benchmark windows by an aggregate, lets through every matching window and few others.
@@ -196,7 +196,7 @@ def matches(
     """(id, th, item_id, n_windows, item_windows, exact): every document and item with a consistent common passage.
 
     th is the 64-bit hash of the document's text, n_windows counts the item's windows that the document holds in
-    consistent passages, exact says that some passage has the item's own slot values throughout.
+    consistent passages or with the item's own values, exact says that some passage has those values throughout.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -234,11 +234,15 @@ def matches(
     passage = joined.groupBy("id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.collect_set("item_at").alias("places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
+        F.collect_set(F.when(same, F.col("item_at"))).alias("equal"),
         F.bool_and(same).alias("exact"),
     )
     consistent = F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs")
     sizes = windows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    found = passage.where(consistent).groupBy("id", "th", "item_id").agg(
+    # Of an inconsistent passage the windows with the item's own values are left.
+    left = passage.withColumns({"places": F.when(consistent, F.col("places")).otherwise(F.col("equal")),
+                                "exact": F.col("exact") | ~consistent}).where(F.size("places") > 0)
+    found = left.groupBy("id", "th", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),
         F.bool_or("exact").alias("exact"),
     )
