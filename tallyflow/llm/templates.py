@@ -1,8 +1,10 @@
 """Benchmark decontamination through template windows, so that re-parameterised questions are caught too.
 
-Tokens are the blank-separated parts of a text without outer punctuation, lower-cased.  Numbers, units and names become
+Tokens are the blank-separated parts of a text without outer punctuation, lower-cased; characters of scripts written without
+blanks are tokens of their own.  Numbers, units and names become
 typed placeholders (``slots``), everything else stays a plain word.  A name is a capitalised word (not one in capitals
-throughout) that does not start a sentence.  Every benchmark item is cut into windows of ``WINDOW`` tokens (an item with fewer is one window), every
+throughout) that does not start a sentence; as an item may begin in the midst of a document's sentence, windows of documents
+are also looked up with a name in their first place read as a plain word.  Every benchmark item is cut into windows of ``WINDOW`` tokens (an item with fewer is one window), every
 document too, and windows with equal templates are joined by hash.  Joined windows on one diagonal (document place less
 item place) form a passage; it counts if its slots are consistent: wherever the item repeats a value, the document
 repeats the value that it has instead.  Windows whose slot values are the item's own count in any passage, and windows with
@@ -11,8 +13,8 @@ few plain words only if they are.
 Documents are hashed in place and only windows that may match leave a task: a bitmap of fixed size, made from all
 benchmark windows by an aggregate, lets through every matching window and few others.
 
-Defined cases: null and empty texts have no windows; an item of fewer than ``LEAST`` tokens cannot be told from
-ordinary text and is not searched for; a null id is an id like any other; rows of a document with equal id and text are
+Defined cases: null and empty texts have no windows; an item of fewer than ``PLAIN`` tokens
+counts only where all its tokens are equal; a null id is an id like any other; rows of a document with equal id and text are
 one document; items repeated under several ids are all reported; an empty table on either side gives an empty result;
 other columns are not read.
 """
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.common import fresh, small_batches
 
-#: Tokens of a window, and of the shortest item that is searched for.
-WINDOW, LEAST = 10, 5
+#: Tokens of a window.
+WINDOW = 10
 #: Plain words that a window must have for other slot values to be accepted.
 PLAIN = 5
 #: Bits of the bitmap, as a power of two: 2 MB whatever the benchmark's size.
@@ -50,7 +52,9 @@ UNITS = (
 PLAIN_WORD, NUMBER, UNIT, NAME, NOTHING = range(5)
 NUMERIC = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 MEASURE = re.compile(r"[+-]?\d[\d.,]*(" + "|".join(UNITS.split()) + ")")
-EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+") + "“”‘’«»¿¡…–—"
+EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+") + "“”‘’«»¿¡…–—、。〈〉《》「」『』【】・！（），：；？～"
+#: Characters of scripts without blanks between words: Thai, Lao, Burmese, Khmer, kana and Han.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff！（），：；？～]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,7 +103,8 @@ class Lexicon:
 
     def tokens(self, text: str) -> np.ndarray:
         known = self.known
-        return np.array([known[t] if t in known else self.add(t) for t in text.split()], dtype=np.int64)
+        parts = text.split() if text.isascii() else SPACELESS.sub(r" \g<0> ", text).split()
+        return np.array([known[t] if t in known else self.add(t) for t in parts], dtype=np.int64)
 
 
 class Windows:
@@ -119,6 +124,8 @@ class Windows:
         hashed = np.where(opens, columns[2][token], columns[0][token])
         real = kind != NOTHING
         self.token, self.owner, self.kind, self.hash = token[real], owner[real], kind[real], hashed[real]
+        #: Hashes of the tokens as they are at the start of a sentence.
+        self.opening = columns[2][self.token]
         counts = np.bincount(self.owner, minlength=len(parts))
         self.count, self.start = counts, np.cumsum(counts) - counts
 
@@ -127,10 +134,20 @@ class Windows:
         n = len(self.hash) - length + 1
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
+        return self._hashed(length, [self.hash[k : k + n] for k in range(length)])
+
+    def opened(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows that a name begins, and their hashes with it as a plain word."""
+        n = max(len(self.hash) - length + 1, 0)
+        at = np.nonzero((self.kind[:n] == NAME) & self.inside(length))[0]
+        return at, self._hashed(length, [self.opening[at], *[self.hash[at + k] for k in range(1, length)]])
+
+    @staticmethod
+    def _hashed(length: int, columns: list[np.ndarray]) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = np.full(n, length, dtype=np.uint64)
-            for k in range(length):
-                h = (h ^ self.hash[k : k + n]) * BASE
+            h = np.full(len(columns[0]), length, dtype=np.uint64)
+            for column in columns:
+                h = (h ^ column) * BASE
                 h ^= h >> np.uint64(29)
         return h
 
@@ -151,7 +168,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found = Windows(Lexicon(), batch.column(1).to_pylist())
         rows: list[tuple] = []
         lengths = np.minimum(found.count, WINDOW)
-        for length in sorted({int(x) for x in lengths if x >= LEAST}):
+        for length in sorted({int(x) for x in lengths if x}):
             h, inside = found.hashes(length), found.inside(length)
             for at in np.nonzero(inside & (lengths[found.owner[: len(h)]] == length))[0]:
                 plain = int((found.kind[at : at + length] == PLAIN_WORD).sum())
@@ -201,7 +218,7 @@ def matches(
     spark = docs.sparkSession
     small_batches(spark)
     windows = item_windows(items, item_id, item_text)
-    lengths = sorted(int(r[0]) for r in windows.select("length").distinct().collect())  # LEAST to WINDOW at most
+    lengths = sorted(int(r[0]) for r in windows.select("length").distinct().collect())  # WINDOW at most
     shared = spark.sparkContext.broadcast(_bitmap(windows))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -212,12 +229,14 @@ def matches(
             found = Windows(lexicon, batch.column(2).to_pylist())
             rows: list[tuple] = []
             for length in lengths:
-                h = found.hashes(length)
-                top = (h >> np.uint64(64 - BITMAP)).astype(np.int64)
-                may = (bitmap[top >> 6] >> (top & 63).astype(np.uint64)) & np.uint64(1)
-                for at in np.nonzero((may == 1) & found.inside(length))[0]:
-                    rows.append((found.owner[at], at - found.start[found.owner[at]], int(h[at].view(np.int64)),
-                                 found.slots(at, length)))
+                inside = np.nonzero(found.inside(length))[0]
+                for first, (places, h) in enumerate(((inside, found.hashes(length)[inside]), found.opened(length))):
+                    top = (h >> np.uint64(64 - BITMAP)).astype(np.int64)
+                    may = (bitmap[top >> 6] >> (top & 63).astype(np.uint64)) & np.uint64(1)
+                    for k in np.nonzero(may)[0]:
+                        at = places[k]
+                        rows.append((found.owner[at], at - found.start[found.owner[at]], int(h[k].view(np.int64)),
+                                     found.slots(at + first, length - first)))
             take = pa.array([int(r[0]) for r in rows], pa.int64())
             numbers = [pa.array([int(r[k]) for r in rows], pa.int64()) for k in (1, 2)]
             slots = pa.array([r[3] for r in rows], pa.list_(pa.string()))
