@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 from check_sql import compare, connect
 
@@ -45,3 +50,27 @@ def test_scans_read_only_what_a_query_needs(spark):
     plan = entry.queries()["rollup_by_target"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     read = plan.split("ReadSchema: ")[1].split(">")[0]
     assert "event_id" not in read and "EqualTo(event_type,view)" in plan.split("PushedFilters: ")[1]
+
+
+WITHOUT_DOCUMENTS = """
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+assert entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+assert not any(n == "pipeline" or n.startswith("op") for n in entry.queries())
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert entry.queries()["select_points"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+
+
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_queries_without_the_document_operators(tmp_path, pipeline):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    left_out = shutil.ignore_patterns("llm", "__pycache__")
+    for name in ("tallyflow", "workload"):
+        shutil.copytree(f"{root}/{name}", tmp_path / name, ignore=left_out)
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * pipeline:
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path / name)
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    run = subprocess.run([sys.executable, "-c", WITHOUT_DOCUMENTS], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
