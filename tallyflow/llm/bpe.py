@@ -18,18 +18,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from tallyflow.llm.common import small_batches
-
-#: Fragments remembered by a task before it starts anew; only speed depends on it.
-REMEMBERED = 500_000
+from tallyflow.llm.fragments import BlankCuts, Fragments, spread
 
 
 def byte_letters() -> list[str]:
@@ -62,15 +60,15 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         whole = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.added_pattern = re.compile("(" + "|".join(whole) + ")") if whole else None
-        # A blank is only cut off from bytes that it is forced apart from, so others forbid the cut.
-        kept = [b for b in range(256) if letters[b] + letters[0x20] in self.joined]
-        if any(b >= 0x80 for b in kept):
-            forbidden = "".join(re.escape(chr(b)) for b in kept if b < 0x80) + "\x80-\U0010ffff"
-        else:
-            forbidden = "".join(re.escape(chr(b)) for b in kept)
-        self.cut = re.compile(rf"(?<=[^\s{forbidden}]) ")
-        self.first: dict[str, tuple[int, ...]] = {}
-        self.later: dict[str, tuple[int, ...]] = {}
+        #: Letters that a blank is forced apart from, as bytes.
+        self.apart = {b for b in range(256) if letters[b] + self.blank not in self.joined}
+        self.cuts = BlankCuts(self.cut_after)
+        self.first = Fragments(self.fragment)
+        self.later = Fragments(lambda piece: self.fragment(" " + piece))
+
+    def cut_after(self, character: str) -> bool:
+        """Whether a blank that follows this character may be cut off from it."""
+        return not character.isspace() and character.encode("utf-8", "surrogatepass")[-1] in self.apart
 
     def parts(self, text: str) -> list[str]:
         """What the splitting pattern makes of a fragment, in the vocabulary's letters."""
@@ -94,30 +92,41 @@ class Codec:
             ids.extend([t.id for t in self.merge(word[start:])])
         return tuple(ids)
 
-    def ordinary(self, text: str, out: list[int]) -> None:
-        if not text:
-            return
-        head, *rest = self.cut.split(text)
-        if head not in self.first:
-            self.first[head] = self.fragment(head)
-        out.extend(self.first[head])
-        later = self.later
-        for piece in rest:
-            ids = later.get(piece)
-            if ids is None:
-                ids = later[piece] = self.fragment(" " + piece)
-            out.extend(ids)
-
-    def encode(self, text: str) -> list[int]:
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        out: list[int] = []
-        for part in self.added_pattern.split(text) if self.added_pattern else [text]:
-            if part in self.added:
-                out.append(self.added[part])
-            else:
-                self.ordinary(part, out)
-        return out
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        for held in (self.first, self.later):
+            if held.full():
+                held.forget()
+        # A text's first pieces and added tokens are coded apart from the others: odd codes and even ones.
+        codes, counts = [], []
+        for text in texts:
+            n = 0
+            for part in self.added_pattern.split(text) if self.added_pattern else [text]:
+                if part in self.added:
+                    found = np.array([2 * self._special(part) + 1])
+                elif part:
+                    pieces = self.cuts.pieces(part)
+                    found = 2 * self.later.codes(pieces)
+                    found[0] = 2 * self.first[pieces[0]] + 1
+                else:
+                    continue
+                codes.append(found)
+                n += len(found)
+            counts.append(n)
+        of = np.concatenate([np.zeros(0, np.int64), *codes])
+        ends = np.concatenate([np.array(self.later.ends), np.array(self.first.ends[1:]) + len(self.later.values_of_all)])
+        values = np.concatenate([np.array(self.later.values_of_all), np.array(self.first.values_of_all)])
+        ids, sizes = spread(values, ends, of // 2 + of % 2 * (len(self.later.ends) - 1))
+        upto = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        return ids, np.diff(upto)
+
+    def _special(self, token: str) -> int:
+        code = self.first.get("\0" + token)
+        if code is None:  # no text's first piece is coded under a name that starts so and has the token's form
+            code = self.first["\0" + token] = len(self.first.ends) - 1
+            self.first.values_of_all.append(self.added[token])
+            self.first.ends.append(len(self.first.values_of_all))
+        return code
 
 
 class Decoder:
@@ -126,11 +135,18 @@ class Decoder:
     def __init__(self, spec: str) -> None:
         parsed = json.loads(spec)
         value = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.bytes = {i: bytes(value[x] for x in token) for token, i in parsed["model"]["vocab"].items()}
-        self.bytes |= {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
+        tokens = {i: bytes(value[x] for x in token) for token, i in parsed["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
+        each = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
+        self.ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
+        self.bytes = np.frombuffer(b"".join(each), dtype=np.uint8)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of ids that lie one after the other."""
+        data, lengths = spread(self.bytes, self.ends, ids.astype(np.int64))
+        upto = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        whole = data.tobytes()
+        return [whole[a:b].decode("utf-8", errors="replace") for a, b in zip(upto, upto[1:])]
 
 
 def read_spec(path: str) -> str:
@@ -150,14 +166,12 @@ def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            found = [codec.encode(t or "") for t in batch.column(at).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=ends[-1])
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            flat, sizes = codec.encode([t or "" for t in batch.column(at).to_pylist()])
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -172,10 +186,9 @@ def decode(encoded: DataFrame, spec: str, ids: str = "ids", text: str = "decoded
         decoder = Decoder(shared.value)
         for batch in batches:
             column = batch.column(at)
-            ends = column.offsets.to_numpy().tolist()  # a null row has no ids either
-            values = column.values.to_numpy(zero_copy_only=False).tolist()
-            texts = [decoder.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
+            ends = column.offsets.to_numpy()  # a null row has no ids either
+            values = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            texts = decoder.decode(values, np.diff(ends))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, `{text}` string")
+    return encoded.mapInArrow(run, StructType([*encoded.schema, StructField(text, StringType())]))

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyflow.llm.common import checkpointed, small_batches, star_components
+from tallyflow.llm.common import checkpointed, fresh, small_batches, star_components
 
 #: Fixed by the contract of the fingerprint.
 SEED = 42
@@ -84,18 +85,23 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view(">i8")[0])
 
 
+def text_hash(text: str) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): one row per document, in one pass without a shuffle."""
+    """(id, th, fp): one row per document with its text's hash, in one pass without a shuffle."""
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *(StructField(n, LongType()) for n in ("th", "fp"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = [majority(shingle_hashes(t or b"", shingle)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            columns = [batch.column(0), batch.column(2), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), text, text_hash(text).alias("th")).mapInArrow(run, schema)
 
 
 def _segments(fps: np.ndarray) -> list[np.ndarray]:
@@ -152,14 +158,49 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return index.join(probe, (index["key"] == probe["key"]) & near).select("a", "b").distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp, component): the smallest id that links of at most three differing bits reach, itself included."""
-    fps = checkpointed(fingerprints(docs, id_col, text, shingle))
+def _rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root): the smallest id of each fingerprint, and one root for all fingerprints that links reach."""
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    stars = star_components(links(nodes), "a", "b")
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select(
+    stars = star_components(links(nodes, radius), "a", "b")
+    return nodes.join(stars, nodes["fp"] == stars["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
+
+
+def components(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS
+) -> DataFrame:
+    """(id, fp, component): the smallest id that links of at most ``radius`` differing bits reach, itself included."""
+    fps = checkpointed(fingerprints(docs, id_col, text, shingle))
+    rooted = _rooted(fps, radius)
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = rooted.join(names, "root").select("fp", "component")
     return fps.join(by_fp, "fp").select("id", "fp", "component")
+
+
+def first_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS
+) -> DataFrame:
+    """The documents, with their own columns, of which one stays of each component: the one of the smallest id.
+
+    Null ids come after all others; of rows with the same id the one of the smallest text hash stays, and of repeated
+    rows (same id and text) one.
+    """
+    c = F.col
+    th, rid, rth, times = fresh(docs, "th", "rid", "rth", "times")
+    fps = checkpointed(fingerprints(docs, id_col, text, shingle))
+    rooted = fps.join(_rooted(fps, radius).select("fp", "root"), "fp")
+    found = checkpointed(rooted.groupBy("root", "id", "th").agg(F.count("*").alias("times")))
+    one = F.struct(c("id").isNull().alias("none"), "id", "th", "times")
+    stays = found.groupBy("root").agg(F.min(one).alias("s")).select("root", "s.*")
+    gone = found.join(stays.select("root", c("id").alias("i"), c("th").alias("h")), "root").where(
+        ~(c("id").eqNullSafe(c("i")) & (c("th") == c("h")))
+    )
+    marks = gone.select(c("id").alias(rid), c("th").alias(rth), F.lit(0).cast("bigint").alias(times)).union(
+        stays.where("times > 1").select("id", "th", "times")
+    )
+    own = [f"`{x}`" for x in docs.columns]
+    marked = docs.withColumn(th, text_hash(text)).join(marks, c(id_col).eqNullSafe(c(rid)) & (c(th) == c(rth)), "left")
+    once = marked.where(c(times).isNull()).select(*own)
+    # Rows that repeat id and text are few; only they are brought together.
+    return once.union(marked.where(c(times) > 1).dropDuplicates([id_col, th]).select(*own))
