@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe, line_dedup, near_copies, quality_rules, templates
+from tallyflow.llm import bpe, line_dedup, quality_rules, simhash_golay, templates
 from tallyflow.llm.common import fresh, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,9 +38,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[f"`{c}`" for c in docs.columns])
 
 
+#: Words of a shingle and differing bits that link two fingerprints.
+SHINGLE, RADIUS = 3, 3
+
+
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, similarity 0.8 or more)."""
-    return near_copies.first_of_each(docs)
+    """One document of each group of near-copies: fingerprints of three-word shingles linked at three or fewer bits."""
+    return simhash_golay.first_of_each(docs, shingle=SHINGLE, radius=RADIUS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
