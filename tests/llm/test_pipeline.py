@@ -3,11 +3,12 @@
 import collections
 
 import pytest
+import xxhash
 from conftest import SCHEMA, sentence, write_tables  # noqa: F401
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyflow.llm import near_copies, quality_rules, simhash_golay, templates
+from tallyflow.llm import quality_rules, simhash_golay, templates
 
 SF = "/root/testdata/sf0.001"
 STAGE = dict(corpus_pipeline.STAGES)
@@ -36,33 +37,40 @@ def test_policies_and_ablation(spark, docs):
             assert r.n_kept_without == sum(not h & ~bit for h in hits)
 
 
-def shingles(text):
-    words = text.encode().lower().split()
-    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_near_copies_are_grouped_as_by_all_pairs(spark, tmp_path):
-    base = sentence(5, 200).split()
-    near = {100 + k: " ".join(w if j % 50 != k else "other" for j, w in enumerate(base)) for k in range(20)}
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()}
-    docs = {k + 1000: t for k, t in docs.items()} | near | {200 + k: sentence(900 + k, 100) for k in range(20)}
-    sets = {k: shingles(t) for k, t in docs.items()}
-    group = {k: k for k in docs}
-
-    def find(k):
-        while group[k] != k:
-            k = group[k]
-        return k
-
-    ids = sorted(docs)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            common = len(sets[a] & sets[b])
-            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
-                x, y = find(a), find(b)
-                group[max(x, y)] = min(x, y)
-    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    assert sorted(r.doc_id for r in near_copies.first_of_each(df).collect()) == sorted({find(k) for k in ids})
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(docs):
+    """Smallest id reachable over links of three or fewer bits, by comparing all with all."""
+    fps, group = {k: plain_fingerprint(t) for k, t in docs.items()}, {}
+    for start in sorted(docs):
+        reached = [] if start in group else [start]
+        while reached:
+            k = reached.pop()
+            group[k] = start
+            reached += [j for j in docs if j not in group and (fps[j] ^ fps[k]).bit_count() <= 3 and not group.update({j: start})]
+    return fps, group
+
+
+@pytest.fixture(scope="session")
+def near(spark, docs):
+    base = sentence(5, 400).split()
+    rows = {100_000 + k: " ".join(w if j % 397 != 3 * k else "other" for j, w in enumerate(base)) for k in range(20)}
+    return {r.doc_id: r.text for r in docs.collect()} | rows | {200_000: None, 200_001: "", 200_002: "one two"}
+
+
+def test_near_copies_are_grouped_as_by_all_pairs(spark, near):
+    df = spark.createDataFrame(list(near.items()), "doc_id bigint, text string")
+    fps, group = plain_components(near)
+    assert len(set(group.values())) < len(near) - 10
+    signed = lambda f: f - 2**64 if f >> 63 else f
+    got = {r.id: (r.fp, r.component) for r in simhash_golay.components(df).collect()}
+    assert got == {k: (signed(fps[k]), group[k]) for k in near}
+    assert sorted(r.doc_id for r in STAGE["simhash_near_dedup"](spark, df, SF).collect()) == sorted(set(group.values()))
 
 
 def test_every_link_of_three_bits_is_found(spark):
