@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm import (
+    alignment,
     bpe,
     bwt_dedup,
     context_tree,
@@ -23,6 +24,7 @@ from tallyflow.llm.common import bucket_of, documents, table
 
 #: Where the tokenizer file is read from, unless a caller gives another path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +230,14 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str, first: str = TOKENIZER, second: str = PIECES) -> DataFrame:
+    found = alignment.alignments(documents(spark, sf_dir), bpe.read_spec(first), alignment.read_model(second))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.col("groups").alias("groups_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii_boost": op2_pii_boost,
@@ -239,5 +249,6 @@ QUERIES = {
     "op8_bwt_dedup": op8_bwt_dedup,
     "op9_templates": op9_templates,
     "op10_context_tree": op10_context_tree,
+    "op13_alignment": op13_alignment,
 }
 SQL = {"op1_quality_rules": OP1_SQL, "op6_line_dedup": OP6_SQL}

@@ -174,4 +174,4 @@ def test_quality_votes(spark):
 
 def test_registered_once():
     assert set(corpus_pipeline.QUERIES) == {"pipeline"} and not set(Q.QUERIES) & {"pipeline"}
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
