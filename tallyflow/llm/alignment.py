@@ -7,7 +7,7 @@ turn; an interval without a shared end inside is a leaf, one group.
 The outermost divisions of a text are known without a search.  A blank that follows a character from which both
 vocabularies force it apart begins a token on both sides, so the piece between two such blanks is an interval of its own.
 Pieces are mostly words; each distinct one is encoded and divided once a task and remembered, whatever is left of a text
-without blanks is one long piece that goes through the same division.
+without blanks is one long piece that goes through the same division.  Intervals of one depth are divided together.
 
 How many documents hold a pair of ids linked is a shuffled sum over each document's distinct pairs.  Pairs that make up
 at least one in ``2 ** SHARE`` of them (so at most 2 ** SHARE) are broadcast with their counts; a document's other pairs
@@ -22,9 +22,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +34,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from tokenizers import Tokenizer
 
 from tallyflow.llm.bpe import Codec, Decoder
-from tallyflow.llm.common import checkpointed, small_batches
-from tallyflow.llm.fragments import BlankCuts, Fragments, spread
+from tallyflow.llm.common import checkpointed, one_thread_each, small_batches
+from tallyflow.llm.fragments import BlankCuts, Flat, Fragments, joined, spread
 
 SHARE = 20
 #: Distinct pairs that a task adds up before it hands them on.
@@ -48,38 +46,45 @@ SECOND = 32
 BLANK = "\N{LOWER ONE EIGHTH BLOCK}"
 
 
-def middle_cut(a: Sequence[int], b: Sequence[int], interval: tuple[int, int, int, int]) -> tuple[int, int] | None:
-    """The tokens of both sides that end at the shared end nearest to the interval's middle, none if there is none inside."""
-    a0, a1, b0, b1 = interval
-    middle = (a0 + a1 - 2) // 2
-    for away in range(a1 - a0):
-        for k in (middle - away, middle + away)[: 2 if away else 1]:
-            if a0 <= k < a1 - 1:
-                j = bisect_left(b, a[k], b0, b1 - 1)
-                if j < b1 - 1 and b[j] == a[k]:
-                    return k, j
-    return None
-
-
-def groups(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """Leaf groups (from, to on either side, ends exclusive), in order, of two rising lists of ends with one last end."""
-    out, open_ = [], [(0, len(a), 0, len(b))]
-    while open_:
-        a0, a1, b0, b1 = interval = open_.pop()
-        cut = middle_cut(a, b, interval)
-        if cut is None:
-            out.append(interval)
-        else:
-            open_ += [(cut[0] + 1, a1, cut[1] + 1, b1), (a0, cut[0] + 1, b0, cut[1] + 1)]
-    return out
-
-
-def links(a: Sequence[int], b: Sequence[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
-    """Tokens of a group whose bytes overlap: of two that overlap, the one that ends first gives way to its next."""
-    i, a1, j, b1 = group
-    while i < a1 and j < b1:
-        yield i, j
-        i, j = i + (a[i] <= b[j]), j + (b[j] <= a[i])
+def groups(a: np.ndarray, b: np.ndarray, intervals: np.ndarray) -> np.ndarray:
+    """Leaf groups, in order, of intervals of tokens that end where ``a`` and ``b`` (rising) say.
+
+    Intervals and groups are rows (from, to) of either side, ends exclusive; an interval's last ends are equal.  All
+    intervals of one depth are divided together.
+    """
+    leaves, open_ = [np.zeros((0, 4), dtype=np.int64)], intervals
+    while len(open_):
+        a0, a1, b0, b1 = open_.T
+        middle, widest = (a0 + a1 - 2) // 2, (a1 - a0).max()
+        cut = np.full((len(open_), 2), -1)
+        left = np.nonzero((a1 - a0 > 1) & (b1 - b0 > 1))[0]
+        for away in range(widest):
+            for k in (middle[left] - away, middle[left] + away)[: 2 if away else 1]:
+                inside = (k >= a0[left]) & (k < a1[left] - 1) & (cut[left, 0] < 0)
+                at = a[np.where(inside, k, 0)]
+                j = np.searchsorted(b, at)  # by bisect
+                hit = inside & (b[np.minimum(j, len(b) - 1)] == at)
+                cut[left[hit]] = np.stack([k[hit], j[hit]], axis=1)
+            # Tokens further away than the interval reaches are no cut, so what is left is a leaf.
+            left = left[(cut[left, 0] < 0) & (away + 1 < a1[left] - a0[left])]
+            if not len(left):
+                break
+        done = cut[:, 0] < 0
+        leaves.append(open_[done])
+        halves, (i, j) = open_[~done], cut[~done].T + 1
+        open_ = np.concatenate([np.stack([halves[:, 0], i, halves[:, 2], j], 1), np.stack([i, halves[:, 1], j, halves[:, 3]], 1)])
+    found = np.concatenate(leaves)
+    return found[np.argsort(found[:, 0])]
+
+
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of either side whose bytes overlap: one pair for each stretch without an end inside."""
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends)
+
+
+#: What stands behind an id: another of its side, the other side, another group.
+SEPARATORS = ",|;"
 
 
 class Aligner:
@@ -90,49 +95,85 @@ class Aligner:
         self.first = Tokenizer.from_str(first)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
-        self.size_of_first = np.diff(decoder.ends)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
-        self.bytes_of_second = [
+        spoken = [
             bytes([int(p[3:-1], 16)]) if self.second.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)
         ]
+        self.size_of_first, self.size_of_second = np.diff(decoder.ends), np.array([len(x) for x in spoken])
+        self.bytes_of_second, self.ends_of_second = np.frombuffer(b"".join(spoken), np.uint8), np.cumsum([0, *map(len, spoken)])
         # Characters that some piece has in front of a blank of its own.
-        joined = {x for p in pieces for x, y in zip(p, p[1:]) if y == BLANK}
-        self.cuts = BlankCuts(lambda c: codec.cut_after(c) and c not in joined and c != BLANK)
+        joined_to_blank = {x for p in pieces for x, y in zip(p, p[1:]) if y == BLANK}
+        self.cuts = BlankCuts(lambda c: codec.cut_after(c) and c not in joined_to_blank and c != BLANK)
+        self.ids = max(len(self.size_of_first), len(pieces))
+        shown = [f"{i}{x}".encode() for x in SEPARATORS for i in range(self.ids)]
+        self.bytes_shown, self.ends_shown = np.frombuffer(b"".join(shown), np.uint8), np.cumsum([0, *map(len, shown)])
         self.known = Fragments(self._aligned)
-        self.of_piece: list[tuple[int, int, int]] = []
-        self.shown: list[str | None] = []
-
-    def _aligned(self, piece: str) -> list[int]:
-        """The linked pairs of a piece, after a blank; notes how many tokens and groups it has, and its groups."""
-        one = self.first.encode(" " + piece, add_special_tokens=False).ids
-        two = self.second.encode(piece) if piece else [self.second.piece_to_id(BLANK)]
-        spoken = [self.bytes_of_second[i] for i in two]
-        if b"".join(spoken) != (" " + piece).encode():
-            self.of_piece.append((0, 0, 0))
-            self.shown.append(None)
-            return []
-        a, b = list(accumulate(self.size_of_first[one].tolist())), list(accumulate(map(len, spoken)))
-        found = groups(a, b)
-        self.of_piece.append((len(one), len(two), len(found)))
-        text = lambda ids: ",".join(map(str, ids))
-        self.shown.append(";".join(f"{text(one[g[0]:g[1]])}|{text(two[g[2]:g[3]])}" for g in found))
-        return [one[i] << SECOND | two[j] for g in found for i, j in links(a, b, g)]
-
-    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray]]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known.forget()
+        #: Of each piece the numbers of tokens of either side and of groups (-1: it is not given back).
+        self.numbers = [Flat(), Flat(), Flat()]
+        self.shown, self.shown_ends = Flat(np.uint8), Flat(np.int64, 0)
+
+    def _second_ids(self, pieces: list[str]) -> list[list[int]]:
+        # Behind nothing but its blank the model has no text to put a blank before.
+        return [x or [self.second.piece_to_id(BLANK)] for x in self.second.encode(pieces)]
+
+    def _aligned(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of pieces, each after a blank; notes how many tokens and groups they have, and the groups."""
+        spaced = [" " + p for p in pieces]
+        one, n_one = joined([e.ids for e in self.first.encode_batch_fast(spaced, add_special_tokens=False)])
+        two, n_two = joined(self._second_ids(pieces))
+        given, sizes = spread(self.bytes_of_second, self.ends_of_second, two)
+        whole = [s.encode() for s in spaced]
+        given_at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n_two)))].tolist()
+        given = given.tobytes()
+        back = np.array([given[s:e] == w for s, e, w in zip(given_at, given_at[1:], whole)])
+        # Pieces that the second side does not give back have no tokens.
+        one, n_one = one[np.repeat(back, n_one)], np.where(back, n_one, 0)
+        two, n_two = two[np.repeat(back, n_two)], np.where(back, n_two, 0)
+        a, b = np.cumsum(self.size_of_first[one]), np.cumsum(self.size_of_second[two])
+        a_upto, b_upto = np.concatenate(([0], np.cumsum(n_one))), np.concatenate(([0], np.cumsum(n_two)))
+        found = groups(a, b, np.stack([a_upto[:-1], a_upto[1:], b_upto[:-1], b_upto[1:]], axis=1)[back])
+        i, j = links(a, b)
+        n_groups = np.diff(np.searchsorted(found[:, 1], a_upto, side="right"))
+        for held, n in zip(self.numbers, (n_one, n_two, np.where(back, n_groups, -1))):
+            held.extend(n)
+        self._show(one, two, found, np.concatenate(([0], np.cumsum(n_groups))))
+        return one[i] << SECOND | two[j], np.diff(np.searchsorted(i, a_upto))
+
+    def _show(self, one: np.ndarray, two: np.ndarray, found: np.ndarray, groups_upto: np.ndarray) -> None:
+        """The groups as text: each id with what stands behind it."""
+        behind_one, behind_two = np.zeros((2, max(len(one), len(two))), dtype=np.int64)
+        behind_one[found[:, 1] - 1], behind_two[found[:, 3] - 1] = 1, 2
+        # A group's first ids stand behind all ids of the groups before it, its second ids behind its first ones too.
+        place_one = np.arange(len(one)) + np.repeat(found[:, 2], found[:, 1] - found[:, 0])
+        place_two = np.arange(len(two)) + np.repeat(found[:, 1], found[:, 3] - found[:, 2])
+        codes = np.zeros(len(one) + len(two), dtype=np.int64)
+        codes[place_one] = behind_one[: len(one)] * self.ids + one
+        codes[place_two] = behind_two[: len(two)] * self.ids + two
+        text, sizes = spread(self.bytes_shown, self.ends_shown, codes)
+        last = np.concatenate(([0], found[:, 1] + found[:, 3]))[groups_upto]  # ids up to each piece's end
+        self.shown_ends.extend(self.shown.n + np.concatenate(([0], np.cumsum(sizes)))[last][1:])
+        self.shown.extend(text)
+
+    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
         """Of each text the numbers of tokens of either side and of groups, the groups, and all linked pairs."""
         if self.known.full():
-            self.known.forget()
-            self.of_piece, self.shown = [], []
-        nothing = np.zeros(3, np.int64), "", np.zeros(0, np.int64)
-        found = [self.known.codes(self.cuts.pieces(t)) if t else None for t in texts]
-        sums, ends = np.array(self.of_piece, dtype=np.int64).reshape(-1, 3), np.array(self.known.ends)
-        pairs = np.array(self.known.values_of_all)
-        for codes in found:
-            shown = [] if codes is None else [self.shown[c] for c in codes.tolist()]
-            if not shown or None in shown:
-                yield nothing
+            self._forget()
+        pieces = [self.cuts.pieces(t) if t else [] for t in texts]
+        every = self.known.codes(pieces)
+        at = 0
+        for n in map(len, pieces):
+            codes = every[at : at + n]
+            at += n
+            numbers = np.array([x.all[codes].sum() for x in self.numbers])
+            if not n or (self.numbers[2].all[codes] < 0).any():
+                yield np.zeros(3, np.int64), b"", np.zeros(0, np.int64)
             else:
-                yield sums[codes].sum(axis=0), ";".join(shown), spread(pairs, ends, codes)[0]
+                shown, _ = spread(self.shown.all, self.shown_ends.all, codes)
+                yield numbers, shown[:-1].tobytes(), self.known.gathered(codes)[0]
 
 
 def read_model(path: str) -> bytes:
@@ -159,13 +200,14 @@ def aligned(docs: DataFrame, first: str, second: bytes, id_col: str = "doc_id",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread_each()
         aligner = Aligner(*shared.value)
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             numbers, digests, pairs, times = [], [], [], []
             for counts, shown, linked in aligner.align([t or "" for t in batch.column(1).to_pylist()]):
                 numbers.append((*counts.tolist(), len(linked)))
-                digests.append(hashlib.sha256(shown.encode()).hexdigest() if shown else "")
+                digests.append(hashlib.sha256(shown).hexdigest() if shown else "")
                 distinct, n = np.unique(linked, return_counts=True)
                 pairs.append(distinct.astype("<i8").tobytes())
                 times.append(n.astype("<i8").tobytes())

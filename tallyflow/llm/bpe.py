@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from tokenizers import Tokenizer
 
 from tallyflow.llm.common import small_batches
-from tallyflow.llm.fragments import BlankCuts, Fragments, spread
+from tallyflow.llm.fragments import BlankCuts, Fragments, joined, spread
 
 
 def byte_letters() -> list[str]:
@@ -63,8 +63,8 @@ class Codec:
         #: Letters that a blank is forced apart from, as bytes.
         self.apart = {b for b in range(256) if letters[b] + self.blank not in self.joined}
         self.cuts = BlankCuts(self.cut_after)
-        self.first = Fragments(self.fragment)
-        self.later = Fragments(lambda piece: self.fragment(" " + piece))
+        self.first = Fragments(lambda pieces: joined([self.start(p) for p in pieces]))
+        self.later = Fragments(lambda pieces: joined([self.fragment(" " + p) for p in pieces]))
 
     def cut_after(self, character: str) -> bool:
         """Whether a blank that follows this character may be cut off from it."""
@@ -92,41 +92,39 @@ class Codec:
             ids.extend([t.id for t in self.merge(word[start:])])
         return tuple(ids)
 
+    def start(self, piece: str) -> list[int] | tuple[int, ...]:
+        """Ids of a text's first piece, or of an added token behind a zero (no text's piece holds an added token)."""
+        token = self.added.get(piece[1:]) if piece[:1] == "\0" else None
+        return self.fragment(piece) if token is None else [token]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
         for held in (self.first, self.later):
             if held.full():
                 held.forget()
-        # A text's first pieces and added tokens are coded apart from the others: odd codes and even ones.
-        codes, counts = [], []
+        firsts, laters, parts_of = [], [], []
         for text in texts:
+            parts = self.added_pattern.split(text) if self.added_pattern else [text]
             n = 0
-            for part in self.added_pattern.split(text) if self.added_pattern else [text]:
-                if part in self.added:
-                    found = np.array([2 * self._special(part) + 1])
-                elif part:
-                    pieces = self.cuts.pieces(part)
-                    found = 2 * self.later.codes(pieces)
-                    found[0] = 2 * self.first[pieces[0]] + 1
-                else:
-                    continue
-                codes.append(found)
-                n += len(found)
-            counts.append(n)
-        of = np.concatenate([np.zeros(0, np.int64), *codes])
-        ends = np.concatenate([np.array(self.later.ends), np.array(self.first.ends[1:]) + len(self.later.values_of_all)])
-        values = np.concatenate([np.array(self.later.values_of_all), np.array(self.first.values_of_all)])
-        ids, sizes = spread(values, ends, of // 2 + of % 2 * (len(self.later.ends) - 1))
-        upto = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-        return ids, np.diff(upto)
-
-    def _special(self, token: str) -> int:
-        code = self.first.get("\0" + token)
-        if code is None:  # no text's first piece is coded under a name that starts so and has the token's form
-            code = self.first["\0" + token] = len(self.first.ends) - 1
-            self.first.values_of_all.append(self.added[token])
-            self.first.ends.append(len(self.first.values_of_all))
-        return code
+            for part in filter(None, parts):
+                head, *rest = ["\0" + part] if part in self.added else self.cuts.pieces(part)
+                firsts.append(head)
+                laters.append(rest)
+                n += 1
+            parts_of.append(n)
+        sizes = np.fromiter(map(len, laters), dtype=np.int64, count=len(laters)) + 1
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        at_first = np.zeros(upto[-1], dtype=bool)
+        at_first[upto[:-1]] = True
+        # Later pieces' codes come before first pieces' in the table that ids are taken from.
+        of = np.zeros(upto[-1], dtype=np.int64)
+        of[~at_first] = self.later.codes(laters)
+        of[at_first] = self.first.codes([firsts]) + self.later.ends.n - 1
+        later, first = self.later.values_of_all, self.first.values_of_all
+        ends = np.concatenate([self.later.ends.all, self.first.ends.all[1:] + later.n])
+        ids, each = spread(np.concatenate([later.all, first.all]), ends, of)
+        ids_upto = np.concatenate(([0], np.cumsum(each)))[upto]
+        return ids, np.diff(ids_upto[np.concatenate(([0], np.cumsum(parts_of, dtype=np.int64)))])
 
 
 class Decoder:

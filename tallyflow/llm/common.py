@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pickle
 import re
 import tempfile
@@ -32,6 +33,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def one_thread_each() -> None:
+    """Keep a task's tokenizer on the task's own core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def ship(spark: SparkSession, model: Any) -> Broadcast:
     """Broadcast an object of this package, with its class, for ``received``; its size must have a proven bound."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

@@ -6,42 +6,69 @@ are looked up in a dictionary that makes what is missing, and all the rest is nu
 
 from __future__ import annotations
 
-from array import array
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 #: Fragments, and values made of them, that a task remembers before it starts anew; only speed depends on them.
-REMEMBERED, REMEMBERED_VALUES = 500_000, 8_000_000
+REMEMBERED, REMEMBERED_VALUES = 600_000, 16_000_000
+
+
+class Flat:
+    """Numbers one after the other that grow at their end."""
+
+    def __init__(self, kind: type = np.int64, *first: int) -> None:
+        self.held, self.n = np.zeros(1024, dtype=kind), 0
+        self.extend(np.array(first, dtype=kind))
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            grown = np.zeros(max(2 * len(self.held), self.n + len(values)), dtype=self.held.dtype)
+            grown[: self.n] = self.held[: self.n]
+            self.held = grown
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Fragments(dict):
-    """Codes of fragments; ``make`` gives the values of a new one."""
+    """Codes of fragments; ``make`` gives the values of new ones, all in one, and how many each has."""
 
-    def __init__(self, make: Callable[[str], Iterable[int]]) -> None:
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.make = make
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.values_of_all, self.ends = array("q"), array("q", [0])
+        self.values_of_all, self.ends = Flat(), Flat(np.int64, 0)
 
-    def __missing__(self, piece: str) -> int:
-        self.values_of_all.extend(self.make(piece))
-        self[piece] = code = len(self.ends) - 1
-        self.ends.append(len(self.values_of_all))
-        return code
-
-    def codes(self, pieces: Sequence[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+    def full(self) -> bool:
+        return len(self) > REMEMBERED or self.values_of_all.n > REMEMBERED_VALUES
+
+    def codes(self, pieces: list[list[str]]) -> np.ndarray:
+        """The codes of all pieces of all lists, in order."""
+        every = list(chain.from_iterable(pieces))
+        new = list(set(every) - self.keys())
+        if new:
+            values, sizes = self.make(new)
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.ends.extend(self.values_of_all.n + np.cumsum(sizes, dtype=np.int64))
+            self.values_of_all.extend(values)
+        return np.fromiter(map(self.__getitem__, every), dtype=np.int64, count=len(every))
 
     def gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values of these fragments in order, and how many each has."""
-        ends, values = np.array(self.ends), np.array(self.values_of_all)
-        return spread(values, ends, codes)
+        return spread(self.values_of_all.all, self.ends.all, codes)
 
-    def full(self) -> bool:
-        return len(self) > REMEMBERED or len(self.values_of_all) > REMEMBERED_VALUES
+
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists one after the other, and how many each has."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum())), sizes
 
 
 def spread(values: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import bisect
 import collections
 import hashlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from conftest import odd_rows, sentence, write_tables
@@ -87,14 +88,14 @@ ALIGNER = alignment.Aligner(bpe.read_spec(Q.TOKENIZER), alignment.read_model(Q.P
 def test_pieces_between_blanks_give_what_whole_texts_give(texts):
     for text, (counts, shown, linked) in zip(texts, ALIGNER.align(texts)):
         a, b, groups, pairs = plain(text)
-        assert counts.tolist() == [len(a), len(b), len(groups)] and shown == ";".join(groups)
+        assert counts.tolist() == [len(a), len(b), len(groups)] and shown.decode() == ";".join(groups)
         assert [(p >> alignment.SECOND, p & (1 << alignment.SECOND) - 1) for p in linked.tolist()] == pairs
 
 
 @given(st.sets(st.integers(1, 60), min_size=1), st.sets(st.integers(1, 60), min_size=1))
 def test_division_ends_at_every_shared_end(x, y):
     a, b = sorted(x | {61}), sorted(y | {61})
-    found = alignment.groups(a, b)
+    found = alignment.groups(np.array(a), np.array(b), np.array([[0, len(a), 0, len(b)]])).tolist()
     assert [a[g[1] - 1] for g in found] == sorted((x & y) | {61}) == [b[g[3] - 1] for g in found]
     assert [g[0] for g in found] == [0] + [g[1] for g in found[:-1]] and [g[2] for g in found] == [0] + [g[3] for g in found[:-1]]
 
