@@ -13,7 +13,9 @@ from tallyflow.llm import (
     context_tree,
     line_dedup,
     lsa_vote,
+    packing,
     pii_boost,
+    prefix_trie,
     quality_rules,
     secret_automata,
     simhash_golay,
@@ -24,6 +26,7 @@ from tallyflow.llm.common import bucket_of, documents, table
 
 #: Where the tokenizer file is read from, unless a caller gives another path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -230,6 +233,17 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, tokenizer: str = WORDS) -> DataFrame:
+    found = packing.packed(documents(spark, sf_dir), bpe.read_spec(tokenizer), capacity=4096, end=1)
+    return found.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str, first: str = TOKENIZER, second: str = PIECES) -> DataFrame:
     found = alignment.alignments(documents(spark, sf_dir), bpe.read_spec(first), alignment.read_model(second))
     return found.select(
@@ -249,6 +263,8 @@ QUERIES = {
     "op8_bwt_dedup": op8_bwt_dedup,
     "op9_templates": op9_templates,
     "op10_context_tree": op10_context_tree,
+    "op11_packing": op11_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_alignment": op13_alignment,
 }
 SQL = {"op1_quality_rules": OP1_SQL, "op6_line_dedup": OP6_SQL}
