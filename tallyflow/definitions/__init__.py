@@ -51,8 +51,10 @@ class Between:
     end: str = ""
     occurrence: int = 1
 
-    def of(self, content: str) -> str:
-        return X.between(content, self.start, self.end, self.occurrence)
+    group = 1
+
+    def pattern(self) -> str:
+        return X.between(self.start, self.end, self.occurrence)
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,10 @@ class Section:
 
     header: str
 
-    def of(self, content: str) -> str:
-        return X.section(content, self.header)
+    group = 0
+
+    def pattern(self) -> str:
+        return X.section(self.header)
 
 
 @dataclass(frozen=True)
@@ -72,8 +76,10 @@ class RunOfLines:
     header: str
     line: str
 
-    def of(self, content: str) -> str:
-        return X.run_of_lines(content, self.header, self.line)
+    group = 0
+
+    def pattern(self) -> str:
+        return X.run_of_lines(self.header, self.line)
 
 
 @dataclass(frozen=True)

@@ -39,37 +39,43 @@ def literal(text: str) -> str:
 # of layouts; written as text, each becomes one expression in one call.
 
 
-def captured(text: str, pattern: str) -> str:
-    """All groups of one match, read in a single pass over the text.
+def all_groups(pattern: str) -> str:
+    """Replacement that leaves the groups of a match, with a separator between them."""
+    return GROUP_SEPARATOR.join(f"${i}" for i in range(1, group_count(pattern) + 1))
+
+
+def captured(text: str, pattern: str, groups: str) -> str:
+    """All groups of one match, read in a single pass over the text; ``groups`` comes from ``all_groups``.
 
     The text must match as a whole; group ``i`` is element ``i - 1``.
     """
-    joined = GROUP_SEPARATOR.join(f"${i}" for i in range(1, group_count(pattern) + 1))
-    replaced = f"regexp_replace({text}, {literal(pattern)}, {literal(joined)})"
-    return f"split({replaced}, {literal(GROUP_SEPARATOR)})"
+    return f"split(regexp_replace({text}, {pattern}, {groups}), {literal(GROUP_SEPARATOR)})"
 
 
 def records(text: str, pattern: str) -> str:
     """Every match of a record or line pattern, in order of appearance."""
-    return f"regexp_extract_all({text}, {literal(pattern)}, 0)"
+    return f"regexp_extract_all({text}, {pattern}, 0)"
+
+
+# Patterns of parts of a text.
 
 
-def between(text: str, start: str, end: str, occurrence: int = 1) -> str:
-    """Text after the n-th literal ``start`` up to ``end`` (or to the end)."""
+def between(start: str, end: str, occurrence: int = 1) -> str:
+    """Text after the n-th literal ``start`` up to ``end`` (or to the end), as group 1."""
     skip = f"(?:{quoted(start)}.*?){{{occurrence - 1}}}" if occurrence > 1 else ""
     body = r"(.*?)" if end else "(.*)"
     stop = rf"(?:{quoted(end)}|\z)" if end else ""
-    return f"regexp_extract({text}, {literal(f'(?s){skip}{quoted(start)}{body}{stop}')}, 1)"
+    return f"(?s){skip}{quoted(start)}{body}{stop}"
 
 
-def section(text: str, header: str) -> str:
+def section(header: str) -> str:
     """A header line and the lines below it up to the first blank line."""
-    return f"regexp_extract({text}, {literal(rf'(?ms)^{header}[^\n]*\n.*?(?=\n\n|\z)')}, 0)"
+    return rf"(?ms)^{header}[^\n]*\n.*?(?=\n\n|\z)"
 
 
-def run_of_lines(text: str, header: str, line: str) -> str:
+def run_of_lines(header: str, line: str) -> str:
     """A header line and the lines right below it that start with ``line``."""
-    return f"regexp_extract({text}, {literal(rf'(?ms)^{header}[^\n]*\n.*?(?=^(?!{line})|\z)')}, 0)"
+    return rf"(?ms)^{header}[^\n]*\n.*?(?=^(?!{line})|\z)"
 
 
 def number(text: str) -> str:

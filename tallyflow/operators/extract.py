@@ -1,9 +1,10 @@
 """Text snapshots to tagged points.
 
 One job, one scan: every file is matched to its entry by path, its records are
-found, each record is fanned out to points.  All of it is column expressions
-and two ``explode`` steps, so there is no shuffle, any file is handled by the
-task that read it, and the same function runs on a stream.
+found, each record is fanned out to points.  All of it is column expressions,
+one ``explode`` and broadcast joins with the catalog's own small tables, so there is
+no shuffle, any file is handled by the task that read it, and the same function
+runs on a stream.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.definitions import Definition, Entry, Field, Item
+from tallyflow.definitions import Definition
 from tallyflow.functions import template as TPL
 from tallyflow.functions import text as X
 from tallyflow.functions.tags import extended_fields
 from tallyflow.model import TAGS, has_column
+from tallyflow.operators import dispatch as D
 
 #: item name -> alternatives (OR) of rules (AND) of (field, regex)
 Rules = Mapping[str, Sequence[Sequence[tuple[str, str]]]]
@@ -55,34 +57,32 @@ def extract(
     rules: Rules | None = None,
     drop_fields: Sequence[str] = (),
     extended: Sequence[ExtendedParse] = (),
+    every: Mapping[str, int] | None = None,
+    interval: int = 60,
 ) -> DataFrame:
     """Points found in the snapshots.
 
     ``catalog`` is one definition, or one per value of the ``version`` column
     when snapshots of mixed system versions arrive together; either way the
-    input is scanned once.
+    input is scanned once.  ``every`` names items that are read in each N-th
+    collect interval only (of ``interval`` seconds); in the others their records
+    are not even looked for.
     """
-    entries = _entries(catalog, select)
-    sources = _with_optional_columns(snapshots)
-    matched = _match(sources, entries)
-    found = _find_records(matched, entries)
+    found = D.sources(catalog, select)
+    layouts = D.layouts(found, every or {})
+    slots = D.Slots(layouts)
+    matched = _match(_with_optional_columns(snapshots), found)
+    records = _find_records(matched, layouts, slots, interval)
     if rules:
-        found = found.where(_rules_hold(entries, rules))
-    return _fan_out(found, entries, extended, frozenset(drop_fields))
+        records = records.where(_rules_hold(layouts, slots, rules))
+    return _fan_out(records, layouts, slots, extended, frozenset(drop_fields))
 
 
 def match_path(snapshots: DataFrame, definition: Definition) -> DataFrame:
     """Snapshots a definition covers, with the path variables as ``path_tags``."""
-    entries = _entries(definition, None)
-    matched = _match(_with_optional_columns(snapshots), entries)
-    pairs = F.lit(None).cast(TAGS)
-    for i, (_, entry) in enumerate(entries):
-        columns: list[Column] = []
-        for at, name in enumerate(entry.variables):
-            columns += [F.lit(name), F.col("_match.groups")[at]]
-        made = F.create_map(*columns) if columns else F.create_map().cast(TAGS)
-        pairs = F.when(F.col("_match.entry") == i, made).otherwise(pairs)
-    return matched.withColumn("path_tags", pairs).drop("_match")
+    given = _with_optional_columns(snapshots)
+    matched = _match(given, D.sources(definition, None))
+    return matched.select(*given.columns, F.map_from_arrays("_variables", "_groups").alias("path_tags"))
 
 
 def decimate(snapshots: DataFrame, every: int, interval: int = 60) -> DataFrame:
@@ -125,46 +125,32 @@ def drop_stale(snapshots: DataFrame, max_age: int = 60) -> DataFrame:
     return fresh.withColumn("content", F.regexp_replace("content", r"(?m)^[ \t]*[^ \t\n]+[ \t]*", " "))
 
 
-def _entries(
-    catalog: Definition | Mapping[str, Definition], select: Sequence[str] | None
-) -> list[tuple[tuple[str, ...], Entry]]:
-    """Entries with the versions that use them; equal entries are shared."""
-    if isinstance(catalog, Definition):
-        chosen = catalog if select is None else catalog.select(select)
-        return [((), entry) for entry in chosen.entries]
-    users: dict[tuple[str, str], tuple[Entry, list[str]]] = {}
-    for version, definition in catalog.items():
-        if select is not None:
-            definition = definition.select([n for n in select if n in definition.item_names()])
-        for entry in definition.entries:
-            users.setdefault((entry.path, repr(entry)), (entry, []))[1].append(version)
-    return [(tuple(versions), entry) for entry, versions in users.values()]
-
-
 def _with_optional_columns(snapshots: DataFrame) -> DataFrame:
     if not has_column(snapshots, "extra_tags"):
         snapshots = snapshots.withColumn("extra_tags", F.create_map().cast(TAGS))
     return snapshots
 
 
-def _match(snapshots: DataFrame, entries: list[tuple[tuple[str, ...], Entry]]) -> DataFrame:
-    cases = []
-    for i, (versions, entry) in enumerate(entries):
-        applies = f"path RLIKE {X.literal(entry.regex)}"
-        if versions:
-            applies = f"version IN ({', '.join(map(X.literal, versions))}) AND {applies}"
-        groups = X.captured("path", entry.regex) if entry.variables else "CAST(array() AS array<string>)"
-        cases.append(f"WHEN {applies} THEN array(named_struct('entry', {i}, 'groups', {groups}))")
-    match = _of_interest(snapshots, entries).withColumn("_matches", F.expr(f"CASE {' '.join(cases)} END"))
-    return _unfold(match, "_matches", "_match")
+def _match(snapshots: DataFrame, found: Sequence[D.Source]) -> DataFrame:
+    """Snapshots of the catalog with the number of their entry, its variables and their values."""
+    split = _of_interest(snapshots, found).withColumn("_segments", F.split("path", "/"))
+    routed = split.withColumn("_sources", F.expr(f"array({D.path_tree(found)})")).drop("_segments")
+    routed = _unfold(routed, "_sources", "_source")
+    # As many rows as the catalog has entries, whatever the data.
+    joined = routed.join(F.broadcast(D.source_table(snapshots.sparkSession, found)), "_source")
+    matched = joined.where("path RLIKE _path")
+    if any(s.versions for s in found):
+        matched = matched.where("_versions IS NULL OR array_contains(_versions, version)")
+    groups = f"CASE WHEN _path_groups IS NULL THEN CAST(array() AS array<string>) ELSE {X.captured('path', '_path', '_path_groups')} END"
+    return matched.withColumn("_groups", F.expr(groups))
 
 
-def _of_interest(snapshots: DataFrame, entries: list[tuple[tuple[str, ...], Entry]]) -> DataFrame:
+def _of_interest(snapshots: DataFrame, found: Sequence[D.Source]) -> DataFrame:
     """Snapshots whose path starts like one of the entries'.
 
     A scan can use this filter, so row groups without such paths are not read.
     """
-    starts = sorted({entry.prefix for _, entry in entries})
+    starts = sorted({s.entry.prefix for s in found})
     shortest = [s for s in starts if not any(s != t and s.startswith(t) for t in starts)]
     return snapshots.where(F.expr(" OR ".join(f"startswith(path, {X.literal(s)})" for s in shortest)))
 
@@ -181,147 +167,75 @@ def _unfold(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.select(*others, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
 
 
-def _find_records(matched: DataFrame, entries: list[tuple[tuple[str, ...], Entry]]) -> DataFrame:
-    """One row per record: which item it is and its captured groups."""
-    cases = []
-    number = 0
-    for i, (_, entry) in enumerate(entries):
-        parts: list[str] = []
-        for item in entry.items:
-            scope = item.region.of("content") if item.region else "content"
-            found = X.records(scope, item.regex)
-            parts.append(f"transform({found}, r -> named_struct('item', {number}, 'captures', {X.captured('r', item.regex)}))")
-            number += 1
-        cases.append(f"WHEN {i} THEN " + (f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]))
-    return matched.select(
-        "host",
-        "collected_at",
-        "extra_tags",
-        F.col("_match.groups").alias("_groups"),
-        F.expr(f"CASE _match.entry {' '.join(cases)} END").alias("_found"),
-    ).transform(_unfold, "_found", "_record")
-
-
-def _numbered(entries: list[tuple[tuple[str, ...], Entry]]) -> list[tuple[int, Entry, Item]]:
-    flat = [(entry, item) for _, entry in entries for item in entry.items]
-    return [(n, entry, item) for n, (entry, item) in enumerate(flat)]
-
-
-def _environment(entry: Entry, item: Item) -> dict:
-    groups = {name: f"_groups[{i}]" for i, name in enumerate(entry.variables)}
-    captures = {name: f"_record.captures[{i}]" for i, name in enumerate(item.captures)}
-    return {
-        "key": lambda name: "host",
-        "subpath": groups.__getitem__,
-        "content": captures.__getitem__,
-        "extra_tag": lambda name: f"coalesce(try_element_at(extra_tags, {X.literal(name)}), host)",
-    }
-
-
-def _rules_hold(entries: list[tuple[tuple[str, ...], Entry]], rules: Rules) -> Column:
+def _find_records(matched: DataFrame, layouts: Sequence[D.Layout], slots: D.Slots, interval: int) -> DataFrame:
+    """One row per record: which layout it has, and its slots."""
+    kept = ["host", "collected_at", "extra_tags", "_groups", "_layout", "_pattern", "_record_groups"]
+    # As many rows as the catalog has items, whatever the data.
+    read = matched.join(F.broadcast(D.item_table(matched.sparkSession, layouts)), "_source")
+    if any(x.every > 1 for x in layouts):
+        read = read.where(F.floor(F.unix_seconds("collected_at") / F.lit(interval)) % F.col("_every") == 0)
+    scope = "content"
+    if any(x.item.region for x in layouts):
+        scope = "CASE WHEN _region IS NULL THEN content ELSE regexp_extract(content, _region, _region_group) END"
+    found = read.select(*kept, F.expr(X.records(scope, "_pattern")).alias("_found")).transform(_unfold, "_found", "_record")
+    captures = F.expr(X.captured("_record", "_pattern", "_record_groups")).alias("_captures")
+    return found.select("host", "collected_at", "extra_tags", "_groups", "_layout", captures).select(
+        "collected_at", "_layout", F.expr(slots.columns()).alias(D.SLOTS)
+    )
+
+
+def _rules_hold(layouts: Sequence[D.Layout], slots: D.Slots, rules: Rules) -> Column:
     """True for records no rule covers and for records whose rules match."""
-    cases = []
-    for n, entry, item in _numbered(entries):
-        env = _environment(entry, item)
-        name = TPL.render(item.name, env)
-        for ruled in sorted(set(item.names()) & set(rules)):
+    cases = {}
+    for layout in layouts:
+        env = slots.environment(layout)
+        named = []
+        for ruled in sorted(set(layout.item.names()) & set(rules)):
             alternatives = [
                 " AND ".join(f"{env['content'](f)} RLIKE {X.literal(X.from_posix(rx))}" for f, rx in alternative)
                 for alternative in rules[ruled]
             ]
-            holds = " OR ".join(f"({a})" for a in alternatives)
-            cases.append(f"WHEN _record.item = {n} AND {name} = {X.literal(ruled)} THEN {holds}")
-    return F.expr(f"CASE {' '.join(cases)} ELSE true END") if cases else F.lit(True)
+            named.append(f"WHEN {X.literal(ruled)} THEN {' OR '.join(f'({a})' for a in alternatives)}")
+        if named:
+            cases[layout.number] = f"CASE {TPL.render(layout.item.name, env)} {' '.join(named)} ELSE true END"
+    return D.numbered_case("_layout", cases, "true")
 
 
 def _fan_out(
-    found: DataFrame,
-    entries: list[tuple[tuple[str, ...], Entry]],
+    records: DataFrame,
+    layouts: Sequence[D.Layout],
+    slots: D.Slots,
     extended: Sequence[ExtendedParse],
     dropped: frozenset[str],
 ) -> DataFrame:
-    cases = []
-    for n, entry, item in _numbered(entries):
-        kept = [f for f in item.fields if f.name not in dropped]
-        if kept:
-            made = _points_of(entry, item, kept, [e for e in extended if e.item in item.names()])
-            cases.append(f"WHEN {n} THEN array({made})")
-    made = found.select("collected_at", F.expr(f"CASE _record.item {' '.join(cases)} END").alias("_made"))
-    shared = _unfold(made, "_made", "_s").select("collected_at", "_s", F.col("_s.points").alias("_points"))
-    rows = _unfold(shared, "_points", "p")
-
-    def part(name: str) -> Column:
-        return F.coalesce(F.col(f"p.{name}"), F.col(f"_s.{name}")).alias(name)
-
-    out = rows.select(
-        part("measurement"),
-        part("host"),
-        part("tags"),
+    table = D.LayoutTable(layouts, slots, dropped)
+    # As many rows as the catalog has fields, whatever the data.
+    points = records.join(F.broadcast(table.frame(records.sparkSession)), "_layout")
+    tags = F.expr(table.tag_map())
+    more = {}
+    for layout in layouts:
+        env = slots.environment(layout)
+        made = [e.tag_map(env["content"](e.field)) for e in extended if e.item in layout.item.names()]
+        if made:
+            more[layout.number] = f"map_concat({', '.join(made)})" if len(made) > 1 else made[0]
+    if more:
+        tags = F.map_concat(tags, D.numbered_case("_layout", more, TPL.NO_TAGS))
+    rendered = {name: F.expr(table.rendered(name)).alias(name) for name in D.RENDERED}
+    out = points.select(
+        rendered["measurement"],
+        rendered["host"],
+        tags.alias("tags"),
         F.col("collected_at").alias("ts"),
-        "p.ds_type",
-        "p.value",
-        part("plugin"),
-        part("plugin_instance"),
-        F.col("p.ds_type").alias("type"),
-        part("type_instance"),
-        part("item"),
-        part("field"),
-        "_s.first_value",
-        "_s.interval_gauge",
+        "ds_type",
+        F.expr(table.value()).alias("value"),
+        rendered["plugin"],
+        rendered["plugin_instance"],
+        F.col("ds_type").alias("type"),
+        rendered["type_instance"],
+        rendered["item"],
+        rendered["field"],
+        "first_value",
+        "interval_gauge",
     )
     out = out.where(F.col("value").isNotNull())
     return out.where(~F.col("field").isin(*sorted(dropped))) if dropped else out
-
-
-def _points_of(entry: Entry, item: Item, fields: list[Field], extended: list[ExtendedParse]) -> str:
-    """What the points of one record share, and the array of what they do not.
-
-    The fields are a constant array, so the expression does not grow with the
-    number of fields a layout has, and only templates that name the field are
-    rendered per point; all others are rendered once per record.
-    """
-    attrs = sorted({a for f in fields for a in f.attrs})
-    constants = []
-    for f in fields:
-        named = [f"'at', {f.index - 1}", f"'name', {X.literal(f.name)}", f"'ds_type', {X.literal(f.ds_type)}"]
-        named += [f"'a_{a}', {X.literal(f.attrs.get(a, ''))}" for a in attrs]
-        constants.append(f"named_struct({', '.join(named)})")
-    env = _environment(entry, item)
-    # A field's own name may be a template too; then all fields of the item share it.
-    names = {f.name for f in fields}
-    one_name = len(names) == 1
-    env["field"] = lambda a: f"f.a_{a}" if a != "name" else TPL.render(next(iter(names)), env) if one_name else "f.name"
-
-    templates = {
-        "measurement": item.measurement,
-        "host": item.host,
-        "tags": item.tags,
-        "plugin": item.plugin,
-        "plugin_instance": item.plugin_instance,
-        "type_instance": item.type_instance,
-        "item": item.name,
-        "field": "${field:name}",
-    }
-    shared, own = {}, {}
-    for name, template in templates.items():
-        used = {a for kind, a in TPL.variables(template) if kind == "field"} - ({"name"} if one_name else set())
-        if name == "tags":
-            lacking = any(f.attrs.get(a, "") == "" for f in fields for a in used - {"name"})
-            value = TPL.render_tags(template, env, optional=lacking)
-            if extended:
-                more = [e.tag_map(env["content"](e.field)) for e in extended]
-                value = f"map_concat({', '.join([value, *more])})"
-        else:
-            value = TPL.render(template, env)
-        missing = "CAST(NULL AS map<string,string>)" if name == "tags" else "CAST(NULL AS string)"
-        shared[name], own[name] = (missing, value) if used else (value, missing)
-    shared["first_value"] = "CAST(NULL AS double)" if item.first_value is None else f"{item.first_value}D"
-    shared["interval_gauge"] = "true" if entry.reset_on_read else "false"
-    own["ds_type"] = "f.ds_type"
-    own["value"] = X.number("get(_record.captures, f.at)")
-    shared["points"] = f"transform(array({', '.join(constants)}), f -> {_struct(own)})"
-    return _struct(shared)
-
-
-def _struct(parts: Mapping[str, str]) -> str:
-    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in parts.items()) + ")"

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from texts import bulk_file, counter_file, disk_report, mdt_jobs, ost_jobs, quot
 from tallyflow.definitions import burst_buffer, disk_array, gpfs, infiniband, lustre
 from tallyflow.model import SNAPSHOT_SCHEMA
 from tallyflow.operators import extract as E
+from tallyflow.operators.dispatch import plain_numbers
 from tallyflow.sources.points import metric_path
 
 AT = dt.datetime(2024, 1, 1)
@@ -294,8 +296,8 @@ def test_mixed_versions_in_one_scan(spark):
     got = {(r.host, r.measurement, r.tags["optype"]): r.value for r in p.collect()}
     assert got[("old", "md_stats", "samedir_rename")] == 2 and ("mid", "md_stats", "samedir_rename") not in got
     assert got[("new", "md_stats_sum", "open")] == 3 and not any(k[0] == "none" for k in got)
-    scans = p._jdf.queryExecution().executedPlan().toString().count("Scan")
-    assert scans == 1
+    plan = E.extract(snap, catalogs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") - plan.count("LocalTableScan") == 1  # the catalog's own tables are local
 
 
 def test_decimation_and_stale_output(spark):
@@ -320,3 +322,48 @@ def test_match_path(spark):
     rows = E.match_path(snap, lustre.definition("2.12", per_client=True)).collect()
     assert [r.path_tags for r in rows] == [
         {"fs_name": "scratch", "ost_index": "OST0012", "ost_exp_client": "a-b", "ost_exp_type": "tcp1"}]
+
+
+def test_items_at_different_rates(spark):
+    text = counter_file({"open": 1, "close": 2, "mknod": 3})
+    other = counter_file({"getattr": 4}, "reqs")
+    rows = [("n", path, AT + dt.timedelta(seconds=60 * i), content, {}) for i in range(12)
+            for path, content in ((f"{MD}/md_stats", text), (f"{OST}/stats", other))]
+    snap = spark.createDataFrame(rows, SNAPSHOT_SCHEMA)
+    every = {"md_stats_open": 3, "md_stats_mknod": 4}
+    p = E.extract(snap, lustre.definition("2.5"), every=every)
+    seen = {}
+    for r in p.collect():
+        seen.setdefault((r.measurement, r.tags["optype"]), []).append((r.ts - AT).seconds // 60)
+    seen = {k: sorted(v) for k, v in seen.items()}
+    assert seen[("md_stats", "open")] == [0, 3, 6, 9] and seen[("md_stats", "mknod")] == [0, 4, 8]
+    assert seen[("md_stats", "close")] == seen[("ost_stats_samples", "getattr")] == list(range(12))
+    with pytest.raises(ValueError, match="unknown items"):
+        E.extract(snap, lustre.definition("2.5"), every={"no_such_item": 2})
+
+
+def test_the_tree_finds_every_path_and_only_those(spark):
+    for release in lustre.RELEASES:
+        definition = lustre.definition(release, per_client=True)
+        made = {"fs_name": "fs1", "mdt_index": "MDT000a", "ost_index": "OST0001", "mdc_tag": "mdc-x", "client_uuid": "ffff"}
+        paths = []
+        for e in definition.entries:
+            path = e.path
+            for v in e.variables:
+                path = path.replace(f"{{{v}}}", made.get(v, "x1" if "client" in v else "tcp"))
+            paths.append(path)
+        wrong = [p + "/more" for p in paths] + ["/x" + p for p in paths] + [p.rsplit("/", 1)[0] for p in paths]
+        snap = spark.createDataFrame([("n", p, AT, "", {}) for p in paths + wrong], SNAPSHOT_SCHEMA)
+        regexes = [re.compile(e.regex) for e in definition.entries]
+        want = sorted(p for p in paths + wrong if any(r.match(p) for r in regexes))
+        assert sorted(r.path for r in E.match_path(snap, definition).collect()) == want
+
+
+def test_groups_of_digits():
+    assert plain_numbers(r"^(a|b) +([0-9]+) \(([0-9]+)\) [(]([0-9.]+)(?:([0-9]+))") == {2, 3, 5}
+
+
+def test_no_lambda_and_no_codegen_failure_in_the_hot_path(spark):
+    snap = snapshots(spark, {f"{MD}/md_stats": counter_file({"open": 1})})
+    plan = E.extract(snap, lustre.definition("2.12"))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Exchange" not in plan.replace("BroadcastExchange", "")

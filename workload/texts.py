@@ -473,3 +473,14 @@ def _(spark, sf):
 def _(spark, sf):
     """Read an item only every tenth collect interval."""
     return decimate(_stamped(spark, sf), 10, 60).select("event_id", F.unix_seconds("collected_at").alias("sec"))
+
+
+@query(
+    "extract_at_item_rates",
+    T_SQL + _MD + " SELECT 'md_stats' AS measurement, fs_name, mdt_index, optype, day, n::DOUBLE AS value FROM m"
+    f" WHERE (day / {DAY}) % (CASE optype WHEN 'open' THEN 3 WHEN 'close' THEN 2 ELSE 1 END) = 0",
+)
+def _(spark, sf):
+    """Items of one file read at different rates: every third day, every second day, every day."""
+    points = extract(_md_files(spark, sf), lustre.definition("2.5"), every={"md_stats_open": 3, "md_stats_close": 2}, interval=DAY)
+    return flat(points, ["fs_name", "mdt_index", "optype"])
