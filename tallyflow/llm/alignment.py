@@ -34,7 +34,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from tokenizers import Tokenizer
 
 from tallyflow.llm.bpe import Codec, Decoder
-from tallyflow.llm.common import checkpointed, one_thread_each, small_batches
+from tallyflow.llm.common import checkpointed, lend, made, one_thread_each, small_batches
 from tallyflow.llm.fragments import BlankCuts, Flat, Fragments, joined, spread
 
 SHARE = 20
@@ -192,7 +192,7 @@ def aligned(docs: DataFrame, first: str, second: bytes, id_col: str = "doc_id",
     ``times`` how often each is linked, both as little-endian 64-bit numbers.  ``row`` is unique once the table is written.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((first, second))  # the size of two vocabularies
+    lent = lend(docs.sparkSession, (first, second))  # the size of two vocabularies
     schema = StructType(
         [StructField("row", LongType()), StructField("id", docs.schema[id_col].dataType)]
         + [StructField(n, LongType()) for n in FIELDS]
@@ -201,7 +201,7 @@ def aligned(docs: DataFrame, first: str, second: bytes, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread_each()
-        aligner = Aligner(*shared.value)
+        aligner = made(lent, lambda given: Aligner(*given))
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             numbers, digests, pairs, times = [], [], [], []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tallyflow.llm.common import small_batches
+from tallyflow.llm.common import lend, made, small_batches
 from tallyflow.llm.fragments import BlankCuts, Fragments, joined, spread
 
 
@@ -158,11 +158,11 @@ def encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") ->
     if ids in docs.columns:
         raise ValueError(f"the table has a column {ids} already")
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    lent = lend(docs.sparkSession, spec)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = made(lent, Codec)
         for batch in batches:
             flat, sizes = codec.encode([t or "" for t in batch.column(at).to_pylist()])
             ends = np.concatenate(([0], np.cumsum(sizes)))

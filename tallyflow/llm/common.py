@@ -6,6 +6,7 @@ import os
 import pickle
 import re
 import tempfile
+from collections.abc import Callable
 from typing import Any
 
 from pyspark import Broadcast, cloudpickle
@@ -47,6 +48,19 @@ def received(shared: Broadcast) -> Any:
     return pickle.loads(shared.value)
 
 
+def lend(spark: SparkSession, given: Any) -> Broadcast:
+    """Broadcast plain values of which each worker process makes something once, by ``made``."""
+    return spark.sparkContext.broadcast({"given": given})
+
+
+def made(lent: Broadcast, make: Callable[[Any], Any]) -> Any:
+    """What ``make`` gives for the lent values; a worker process keeps it from task to task, as it keeps the broadcast."""
+    value = lent.value
+    if "made" not in value:
+        value["made"] = make(value["given"])
+    return value["made"]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names made from these that no column of the table has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from itertools import chain
 
 import numpy as np
 
-#: Fragments, and values made of them, that a task remembers before it starts anew; only speed depends on them.
+#: Fragments, and values made of them, that a worker remembers before it starts anew; only speed depends on them.
 REMEMBERED, REMEMBERED_VALUES = 600_000, 16_000_000
 
 
@@ -38,8 +38,8 @@ class Flat:
 class Fragments(dict):
     """Codes of fragments; ``make`` gives the values of new ones, all in one, and how many each has."""
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = REMEMBERED) -> None:
+        self.make, self.most = make, most
         self.forget()
 
     def forget(self) -> None:
@@ -47,18 +47,23 @@ class Fragments(dict):
         self.values_of_all, self.ends = Flat(), Flat(np.int64, 0)
 
     def full(self) -> bool:
-        return len(self) > REMEMBERED or self.values_of_all.n > REMEMBERED_VALUES
+        return len(self) > self.most or self.values_of_all.n > REMEMBERED_VALUES
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        self.new.append(piece)
+        return code
 
     def codes(self, pieces: list[list[str]]) -> np.ndarray:
         """The codes of all pieces of all lists, in order."""
-        every = list(chain.from_iterable(pieces))
-        new = list(set(every) - self.keys())
-        if new:
-            values, sizes = self.make(new)
-            self.update(zip(new, range(len(self), len(self) + len(new))))
+        self.new: list[str] = []
+        n = sum(map(len, pieces))
+        found = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=n)
+        if self.new:
+            values, sizes = self.make(self.new)
             self.ends.extend(self.values_of_all.n + np.cumsum(sizes, dtype=np.int64))
             self.values_of_all.extend(values)
-        return np.fromiter(map(self.__getitem__, every), dtype=np.int64, count=len(every))
+        return found
 
     def gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values of these fragments in order, and how many each has."""

@@ -31,12 +31,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tallyflow.llm.common import checkpointed, one_thread_each, small_batches
+from tallyflow.llm.bpe import byte_letters
+from tallyflow.llm.common import checkpointed, lend, made, one_thread_each, small_batches
 from tallyflow.llm.fragments import Fragments, joined
 
 #: Characters that Python takes for white space and a normalizer's pattern does not.
 NO_BLANKS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile(r"[^\x20\x09-\x0d]+")
+#: Latin letters that have no other form in the normalizer than their lower case, and at most one mark behind them:
+#: the splitting pattern takes the letters, then the mark.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:?!]?)")
+
+
+#: Distinct words that a worker remembers.
+REMEMBERED_WORDS = 1_000_000
 
 
 class WordCodec:
@@ -46,7 +54,20 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Fragments(lambda w: joined([e.ids for e in self.tokenizer.encode_batch_fast(w, add_special_tokens=False)]))
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+        self.words = Fragments(lambda words: joined([self.ids(w) for w in words]), REMEMBERED_WORDS)
+
+    def ids(self, word: str) -> list[int]:
+        plain = PLAIN.fullmatch(word)
+        if plain is None:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        letters, mark = plain.groups()
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        tokens = self.merge(letters)
+        return [t.id for t in (tokens + self.merge(mark) if mark else tokens)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if self.words.full():
@@ -64,7 +85,7 @@ def pieces(docs: DataFrame, spec: str, capacity: int, end: int, id_col: str = "d
     One pass without a shuffle; task and nth hold once the table is written.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    lent = lend(docs.sparkSession, spec)  # the size of a vocabulary
     numbers = ("start", "length", "crc", "task", "nth")
     schema = StructType(
         [StructField("id", docs.schema[id_col].dataType), StructField("piece", IntegerType())]
@@ -73,7 +94,7 @@ def pieces(docs: DataFrame, spec: str, capacity: int, end: int, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread_each()
-        codec, seen, task = WordCodec(shared.value), Counter(), TaskContext.get().partitionId()
+        codec, seen, task = made(lent, WordCodec), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple[int, ...]] = []
             for k, ids in enumerate(codec.encode([t or "" for t in batch.column(1).to_pylist()])):

@@ -110,3 +110,10 @@ def test_plans_do_not_grow_with_the_number_of_pieces():
     made = packing.plan(counts, 4096)
     total = sum(x * n for x, n in counts.items())
     assert len(made) < 3 * 4096 and sum(n for _, n in made) <= -(-total // 4096) * 1.001
+
+
+def test_every_plain_letter_gives_the_ids_of_the_library():
+    letters = [chr(c) for c in range(0x41, 0x250) if packing.PLAIN.fullmatch(chr(c))]
+    words = [a + b + m for a, b in zip(letters, letters[7:] + letters[:7]) for m in ("", ".", "!")] + letters
+    assert len(letters) > 400
+    assert all(CODEC.ids(w) == LIBRARY.encode(w, add_special_tokens=False).ids for w in words)
