@@ -82,6 +82,18 @@ def series_key(df: DataFrame) -> Column:
     return F.xxhash64(*parts, F.sort_array(F.map_entries("tags")))
 
 
+def series_hashes(df: DataFrame, by: Sequence[str] | None) -> list[Column]:
+    """Two 64-bit hashes that stand for a series: those columns or tags, or the measurement, the host and all tags."""
+    if by is not None:
+        parts = tag_columns(df, by)
+    else:
+        parts = [F.col(k) for k in ("measurement", "host") if has_column(df, k)]
+        parts.append(F.sort_array(F.map_entries(F.coalesce(F.col("tags"), F.create_map().cast(TAGS)))))
+    # A hash skips nulls, so which parts are null is hashed too.
+    nulls = F.concat(*[F.when(p.isNull(), "0").otherwise("1") for p in parts])
+    return [F.xxhash64(F.lit(seed), nulls, *parts) for seed in (1, 2)]
+
+
 def epoch_seconds(ts: Column | str) -> Column:
     """Seconds since the epoch with their fraction, as a double."""
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / F.lit(1e6)

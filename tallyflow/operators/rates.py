@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from tallyflow.model import epoch_seconds, has_column, with_series
+from tallyflow.model import epoch_seconds, has_column, series_hashes
 
 #: What to do when a counter is lower than before.
 RESET_POLICIES = ("keep", "null", "zero_base")
@@ -52,14 +53,17 @@ def rate(
     are read, pass through.  The first point of a series has no rate unless a
     first value is known (the argument, or the ``first_value`` column).
 
-    One series may hold a large share of all points.  The window is therefore
-    over (series, time chunk), and the last point of each chunk is carried into
-    the series' next chunk as one extra row, so the work of a hot series spreads
-    and the result is the same as over the whole series.  The carry comes from a
-    second, column-pruned read that is reduced to one row per chunk before it is
-    shuffled.  ``chunk`` is in seconds: an hour folds sixty points of the usual
-    interval into one; take less for a hotter series, more for sparse ones.  None
-    turns the split, and with it the second read, off.
+    One series may hold a large share of all points.  Points are therefore shuffled
+    once by (series, time chunk) and sorted there, so a hot series spreads over as
+    many tasks as it has chunks.  What a chunk cannot rate is its first point: only
+    each chunk's first and last point meet again, by series, and give the seams
+    their rates.  Both steps read the same shuffle, so the input is read once.
+    ``chunk`` is in seconds: an hour leaves two of sixty points of the usual interval
+    to the seams; take less for a hotter series, more for sparse ones.  None turns
+    the split off.
+
+    A series is known by 128 bits of hash of its identity, so that sorting compares
+    numbers and never long tag sets.
     """
     counters, gauges = points, None
     if has_column(points, "ds_type"):
@@ -69,54 +73,32 @@ def rate(
         counters = points.where(is_counter)
         gauges = points.where(~F.coalesce(is_counter, F.lit(False)))
 
-    rows, keys = with_series(counters, by)
-    whole_tags = "_series_tags" in keys and has_column(points, "tags")
-    if whole_tags:
-        rows = rows.drop("tags")  # the series key holds them; they are shuffled once
-    rows = rows.withColumn("_carried", F.lit(False))
-    if chunk is not None:
-        rows = _with_carried_tails(rows, keys, int(chunk))
-        keys = [*keys, "_chunk"]
-    # Sorting starts with a number, so long tag sets are compared only on a tie.
-    rows = rows.withColumn("_order", F.xxhash64(*keys))
-    w = Window.partitionBy("_order", *keys).orderBy("ts", "value")
+    series = ["_series", "_series_too"]
+    rows = counters.select("*", *[c.alias(n) for c, n in zip(series_hashes(counters, by), series)])
+    keys = [*series, "_chunk"]
+    rows = rows.withColumn("_chunk", F.lit(0) if chunk is None else F.floor(F.unix_seconds("ts") / F.lit(int(chunk))))
     first = F.lit(float(first_value)) if first_value is not None else None
     if first is None and has_column(points, "first_value"):
         first = F.col("first_value")
-    rated = rows.select(
-        "*",
-        rate_of(
-            F.col("value"),
-            epoch_seconds("ts"),
-            F.lag("value").over(w),
-            epoch_seconds(F.lag("ts").over(w)),
-            on_reset=on_reset,
-            first_value=first,
-            interval=interval,
-        ).alias("_rate"),
-    )
-    rated = rated.where(~F.col("_carried") & F.col("_rate").isNotNull())
-    rated = rated.withColumn("value", F.col("_rate"))
-    if whole_tags:
-        rated = rated.withColumn("tags", F.map_from_entries("_series_tags"))
-    rated = rated.select(*points.columns)
-    return rated if gauges is None else rated.unionByName(gauges)
-
-
-def _with_carried_tails(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    rows = rows.withColumn("_chunk", F.floor(F.unix_seconds("ts") / F.lit(seconds)))
-    # The row that the chunk's own window has last: of several at the last time, the one of greatest value.
-    tails = rows.groupBy(*keys, "_chunk").agg(F.max(F.struct("ts", "value")).alias("_last"))
-    tails = tails.select(*keys, "_chunk", "_last.ts", "_last.value")
-    following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    carried = tails.select(
-        *keys,
-        "ts",
-        "value",
-        following.alias("_chunk"),
-        F.lit(True).alias("_carried"),
-    ).where(F.col("_chunk").isNotNull())
-    return rows.unionByName(carried, allowMissingColumns=True)
+
+    def rated(of: DataFrame, within: WindowSpec, wanted: Column) -> DataFrame:
+        before, before_at = F.lag("value").over(within), F.lag("ts").over(within)
+        known = of.select("*", before.alias("_before"), before_at.alias("_before_at")).where(wanted)
+        made = rate_of(
+            F.col("value"), epoch_seconds("ts"), F.col("_before"), epoch_seconds("_before_at"),
+            on_reset=on_reset, first_value=first, interval=interval,
+        )
+        return known.withColumn("value", made).where(F.col("value").isNotNull()).select(*points.columns)
+
+    in_chunk = Window.partitionBy(*keys).orderBy("ts", "value")
+    if chunk is None:
+        out = rated(rows, in_chunk, F.lit(True))
+    else:
+        inner = rated(rows, in_chunk, F.col("_before_at").isNotNull())
+        ends = rows.select("*", F.lag("ts").over(in_chunk).isNull().alias("_first"), F.lead("ts").over(in_chunk).isNull().alias("_last"))
+        ends = ends.where("_first OR _last")
+        out = inner.unionByName(rated(ends, Window.partitionBy(*series).orderBy("ts", "value"), F.col("_first")))
+    return out if gauges is None else out.unionByName(gauges)
 
 
 def per_interval(points: DataFrame, seconds: float = 60.0, value: str = "value") -> DataFrame:

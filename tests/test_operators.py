@@ -264,3 +264,28 @@ def test_read_snapshot_files(spark, tmp_path):
     row = other.where("path = '/show vd c all'").first()
     assert row.host == "h" and row.extra_tags == {"extrahost": "arr"} and row.collected_at == T0
     assert as_snapshots(other.select("path", "content")).columns == other.columns
+
+
+def test_rates_read_their_input_once_and_mend_every_seam(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(s, t * 600 + rng.randrange(600), float(rng.randrange(1000))) for s in range(4) for t in range(200) if s < 3 or t % 30 == 0]
+    rows += [(0, 5, 1.0), (0, 5, 7.0)]
+    made = spark.createDataFrame(rows, "s int, sec bigint, value double").select(
+        F.lit("m").alias("measurement"), F.lit("h").alias("host"), F.create_map(F.lit("k"), F.col("s").cast("string")).alias("tags"),
+        F.timestamp_seconds("sec").alias("ts"), F.lit("derive").alias("ds_type"), "value",
+    )
+    made.write.parquet(f"{tmp_path}/points")
+    want = {}
+    for s in range(4):
+        own = sorted((t, v) for k, t, v in rows if k == s)
+        for (t0, v0), (t1, v1) in zip(own, own[1:]):
+            if t1 > t0:
+                want[str(s), t1, round((v1 - v0) / (t1 - t0), 9)] = 1
+    for chunk in (3600, 700, 10**7, None):
+        df = R.rate(spark.read.parquet(f"{tmp_path}/points"), chunk=chunk)
+        got = {(r.tags["k"], int(r.ts.timestamp()), round(r.value, 9)): 1 for r in df.collect()}
+        assert got == want
+    df = R.rate(spark.read.parquet(f"{tmp_path}/points").drop("ds_type"))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
