@@ -38,6 +38,16 @@ def rate_of(
     return rate
 
 
+def counters_and_gauges(points: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Points that count up, and those that pass through (none if the table does not tell)."""
+    if not has_column(points, "ds_type"):
+        return points, None
+    is_counter = F.col("ds_type") == "derive"
+    if has_column(points, "interval_gauge"):
+        is_counter &= ~F.coalesce(F.col("interval_gauge"), F.lit(False))
+    return points.where(is_counter), points.where(~F.coalesce(is_counter, F.lit(False)))
+
+
 def rate(
     points: DataFrame,
     by: Sequence[str] | None = None,
@@ -46,6 +56,7 @@ def rate(
     first_value: float | None = None,
     interval: float = 60.0,
     chunk: int | None = 3600,
+    forget_after: float | None = None,
 ) -> DataFrame:
     """Replace each counter value by its per-second rate.
 
@@ -62,17 +73,13 @@ def rate(
     to the seams; take less for a hotter series, more for sparse ones.  None turns
     the split off.
 
+    With ``forget_after`` a reading that comes so many seconds or more after the last
+    one is the first of a new series.
+
     A series is known by 128 bits of hash of its identity, so that sorting compares
     numbers and never long tag sets.
     """
-    counters, gauges = points, None
-    if has_column(points, "ds_type"):
-        is_counter = F.col("ds_type") == "derive"
-        if has_column(points, "interval_gauge"):
-            is_counter &= ~F.coalesce(F.col("interval_gauge"), F.lit(False))
-        counters = points.where(is_counter)
-        gauges = points.where(~F.coalesce(is_counter, F.lit(False)))
-
+    counters, gauges = counters_and_gauges(points)
     series = ["_series", "_series_too"]
     rows = counters.select("*", *[c.alias(n) for c, n in zip(series_hashes(counters, by), series)])
     keys = [*series, "_chunk"]
@@ -84,6 +91,9 @@ def rate(
     def rated(of: DataFrame, within: WindowSpec, wanted: Column) -> DataFrame:
         before, before_at = F.lag("value").over(within), F.lag("ts").over(within)
         known = of.select("*", before.alias("_before"), before_at.alias("_before_at")).where(wanted)
+        if forget_after is not None:
+            recent = epoch_seconds("ts") - epoch_seconds("_before_at") < F.lit(float(forget_after))
+            known = known.withColumns({c: F.when(recent, F.col(c)) for c in ("_before", "_before_at")})
         made = rate_of(
             F.col("value"), epoch_seconds("ts"), F.col("_before"), epoch_seconds("_before_at"),
             on_reset=on_reset, first_value=first, interval=interval,

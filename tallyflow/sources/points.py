@@ -142,6 +142,22 @@ def replace_rollup(spark: SparkSession, rolled: DataFrame, path: str, *, hot_tag
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("measurement", "date").parquet(path)
 
 
+def upsert_rollup(spark: SparkSession, rolled: DataFrame, path: str, *, hot_tags: Sequence[str] = HOT_TAGS) -> None:
+    """Append rows whose windows the table does not have yet; otherwise put them in place of what it has for them.
+
+    Which windows it has is read from two columns of the days concerned, so new windows cost what they hold and not what
+    their day holds already.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        new = stored_rollups(rolled, hot_tags).select("measurement", "date", "window_start").distinct()
+        known = read_rollups(spark, path).select("measurement", "date", "window_start")
+        if not known.join(new, ["measurement", "date", "window_start"], "left_semi").isEmpty():
+            replace_rollup(spark, rolled, path, hot_tags=hot_tags)
+            return
+    write_rollup(rolled, path, hot_tags=hot_tags)
+
+
 def _with_tag_map(rolled: DataFrame) -> DataFrame:
     names = [c for c in rolled.columns if c not in ("measurement", "window_start", "sum")]
     pairs: list[Column] = []

@@ -8,10 +8,8 @@ restarted driver goes on from the last finished batch.
 
 from __future__ import annotations
 
-import hashlib
-import re
 import sys
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,12 +21,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyflow.definitions import Definition, MathEntry
-from tallyflow.model import TAGS, epoch_seconds, has_column, tag_columns, with_series
+from tallyflow.model import TAGS, epoch_seconds, has_column, series_hashes, tag_columns, with_series
 from tallyflow.operators import extract as E
 from tallyflow.operators.metric_math import apply_math
-from tallyflow.operators.rates import RESET_POLICIES
+from tallyflow.operators.rates import RESET_POLICIES, counters_and_gauges, rate
+from tallyflow.operators.rollup import DEFAULT_INTERVAL, DEFAULT_PERIODS, Rollup, rollup, rollup_many
 from tallyflow.operators.summary import latest
-from tallyflow.operators.rollup import DEFAULT_INTERVAL, DEFAULT_PERIODS, rollup
+from tallyflow.sources.points import upsert_rollup
+from tallyflow.streaming.keyed_table import BUCKET, KeyedTable, job_of
 
 # The state function travels with the query, so workers need not have this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -183,68 +183,135 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str, *, partition_
     return writer.start()
 
 
-def stream_latest(points: DataFrame, by: Sequence[str], path: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    """Keep a small table with the newest point of every series.
+def stream_latest(
+    points: DataFrame, by: Sequence[str], path: str, checkpoint: str, *, once: bool = False, buckets: int = 64
+) -> StreamingQuery:
+    """Keep a table with the newest point of every series (see ``KeyedTable``).
 
-    Each batch is reduced to one row per series and merged with the table's
-    newest version into the next one.  A version's folder names its number, the
-    query (by its checkpoint) and the batch, and counts once its success mark is
-    there.  So a repeated batch is seen and left out, another query with another
-    checkpoint goes on from what the table holds, and a read that fails stops the
-    query instead of counting as an empty table.  The last few versions stay for
-    readers that are still at them.
+    Each batch is reduced to one row per series and merged into the buckets that it falls into, so a batch's cost follows
+    the batch and not the table.  Several streams may keep one table.
     """
-    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        versions = _versions(spark, path)
-        if any(v[1:] == (job, number) for v in versions):
-            return
         rows, keys = with_series(batch, list(by))
-        fresh = rows.select(*keys, "ts", "value")
-        if versions:
-            fresh = fresh.unionByName(spark.read.parquet(_folder(path, *versions[-1])).select(*keys, "ts", "value"))
-        after = (versions[-1][0] if versions else 0) + 1
-        latest(fresh, keys).write.mode("overwrite").parquet(_folder(path, after, job, number))
-        files = _files(spark, path)
-        for old in versions[: -KEPT_VERSIONS + 1]:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(path, *old)), True)
-
-    writer = points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        fresh = latest(rows.select(*keys, "ts", "value"), keys)
+        KeyedTable(spark, path, buckets).merge(fresh, keys, lambda both: latest(both, keys), job_of(spark, checkpoint), number)
+
+    return _each_batch(points, merge, checkpoint, once)
+
+
+def latest_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the table ``stream_latest`` keeps."""
+    return KeyedTable(spark, path).read()
+
+
+def _each_batch(stream: DataFrame, do, checkpoint: str, once: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(do).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
-#: Finished versions of a latest table that are kept.
-KEPT_VERSIONS = 4
+def stream_rollups(
+    points: DataFrame,
+    rollups: Iterable[Rollup],
+    path: str,
+    checkpoint: str,
+    *,
+    interval: int = DEFAULT_INTERVAL,
+    periods: int = DEFAULT_PERIODS,
+    watermark: str | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """All standing rollups of a catalog as one stream into the rollup table.
 
+    One fan-out to all rollups, one shuffle and one state store.  A window is written when the watermark has passed its
+    end (by default one window behind), in the shape that the panels read.  A batch whose windows the table does not have
+    is appended; one that is repeated, after a failure or from a new checkpoint, takes the place of its windows.
+    """
+    timed = points.withWatermark("ts", watermark or f"{interval * periods} seconds")
+    rolled = rollup_many(timed, rollups, interval=interval, periods=periods)
 
-def _folder(path: str, version: int, job: str, batch: int) -> str:
-    return f"{path}/v{version:012d}-{job}-{batch}"
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()  # it is looked at more than once, and state must not be
+        try:
+            if not held.isEmpty():
+                upsert_rollup(batch.sparkSession, held, path)
+        finally:
+            held.unpersist()
 
+    return _each_batch(rolled, write, checkpoint, once)
 
-def _files(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+#: Hashes that stand for a series in the table of last readings.
+_SERIES = ["_key", "_key_too"]
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, int]]:
-    """(version, query, batch) of every finished version, oldest first; none if the table does not exist yet."""
-    files, folder = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.exists(folder):
-        return []
-    found = []
-    for status in files.listStatus(folder):
-        m = re.fullmatch(r"v(\d+)-([0-9a-f]+)-(\d+)", status.getPath().getName())
-        if m and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append((int(m[1]), m[2], int(m[3])))
-    return sorted(found)
 
+def stream_rates(
+    points: DataFrame,
+    path: str,
+    state: str,
+    checkpoint: str,
+    by: Sequence[str] | None = None,
+    *,
+    on_reset: str = "keep",
+    first_value: float | None = None,
+    interval: float = 60.0,
+    chunk: int | None = 3600,
+    forget_after: float | None = None,
+    once: bool = False,
+    buckets: int = 64,
+) -> StreamingQuery:
+    """Per-second rates of counters, written to a table with all columns that the points have.
+
+    The last reading of every series is kept in a table (see ``KeyedTable``) that can be read at any time.  A batch meets
+    the last readings of its own series there and is then rated as a table is, so a hot series is split over tasks and no
+    series goes through Python.  Readings not after the last one are dropped; other points pass through.  ``forget_after``
+    makes a series that was silent for so many seconds a new one; so jobs that come and go can be forgotten.
+
+    A batch's rates are one folder that a repeated batch writes anew, before the last readings are committed; so every
+    reading is rated once.
+    """
 
-def latest_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the table ``stream_latest`` keeps."""
-    versions = _versions(spark, path)
-    if not versions:
-        raise ValueError(f"no latest table at {path}")
-    return spark.read.parquet(_folder(path, *versions[-1]))
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        table, job = KeyedTable(spark, state, buckets), job_of(spark, checkpoint)
+        manifest = table.manifest()
+        if manifest.jobs.get(job, -1) >= number:
+            return
+        counters, gauges = counters_and_gauges(batch)
+        rows = counters.select("*", *[c.alias(n) for c, n in zip(series_hashes(counters, by), _SERIES)])
+        rows = table.bucketed(rows, _SERIES, manifest).persist()
+        try:
+            touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())  # at most one row for each bucket
+            known = table.rows_of(manifest, touched)
+            rows = rows.drop(BUCKET)
+            if known is not None:
+                last = known.select(*_SERIES, F.col("ts").alias("_last"))
+                rows = rows.join(last, _SERIES, "left").where("_last IS NULL OR ts > _last").drop("_last")
+            given = rows.withColumn("_known", F.lit(False))
+            if known is not None:
+                given = given.unionByName(known.withColumn("_known", F.lit(True)))
+            rated = rate(
+                given, _SERIES, on_reset=on_reset, first_value=first_value, interval=interval, chunk=chunk, forget_after=forget_after
+            )
+            out = rated.where(~F.col("_known")).select(*batch.columns)
+            out = out if gauges is None else out.unionByName(gauges)
+            out.write.mode("overwrite").parquet(f"{path}/job={job}/batch={number}")
+            table.merge(_last_readings(rows), _SERIES, _last_readings, job, number)
+        finally:
+            rows.unpersist()
+
+    return _each_batch(points, merge, checkpoint, once)
+
+
+def _last_readings(rows: DataFrame) -> DataFrame:
+    """Each series' last row; of several at one time the one of greatest value."""
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in _SERIES]), F.struct("ts", "value")).alias("r")
+    return rows.groupBy(*_SERIES).agg(newest).select("r.*", *_SERIES)
+
+
+def rated_table(spark: SparkSession, path: str) -> DataFrame:
+    """What ``stream_rates`` has written."""
+    return spark.read.parquet(path).drop("job", "batch")

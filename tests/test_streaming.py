@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ from tallyflow.operators import rollup as U
 from tallyflow.operators import summary as S
 from tallyflow.operators.extract import extract
 from tallyflow.operators.metric_math import apply_math
+from tallyflow.sources import points as P
 from tallyflow.sources.snapshots import read_snapshots, stream_snapshots
 from tallyflow.streaming import jobs as J
+from tallyflow.streaming.keyed_table import KeyedTable
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -115,3 +118,76 @@ def test_extract(spark, tmp_path):
     batch = extract(read_snapshots(spark, root, layout=layout), d)
     flat = lambda df: sorted((r.host, r.measurement, r.tags["optype"], r.value) for r in df.collect())
     assert flat(out) == flat(batch) and len(flat(out)) == 6
+
+
+def wait(query):
+    assert query.awaitTermination(180)
+
+
+def test_latest_costs_what_the_batch_holds(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), 8)
+    newest = lambda df: S.latest(df, ["job"])
+    at = lambda rows: spark.createDataFrame([(j, T0 + dt.timedelta(seconds=s), float(v)) for j, s, v in rows], "job string, ts timestamp, value double")
+    assert table.merge(at([(f"j{k}", 0, k) for k in range(100)]), ["job"], newest, "a", 0)
+    first = table.manifest()
+    assert table.merge(at([("j7", 5, -7)]), ["job"], newest, "a", 1) and not table.merge(at([("j7", 9, 0)]), ["job"], newest, "a", 1)
+    changed = [b for b, folder in table.manifest().folders.items() if first.folders[b] != folder]
+    assert len(first.folders) == 8 and len(changed) == 1
+    assert {r.job: r.value for r in table.read().collect()} == {f"j{k}": float(k) if k != 7 else -7.0 for k in range(100)}
+    for k in range(2, 9):
+        table.merge(at([("j7", 10 + k, k)]), ["job"], newest, "a", k)
+    folders = {p.name for p in (tmp_path / "t" / "data").iterdir()}
+    assert len(list((tmp_path / "t" / "manifests").glob("*.json"))) == 4 and len(folders) <= 6
+
+
+def test_two_writers_at_once_lose_nothing(spark, tmp_path):
+    newest = lambda df: S.latest(df, ["job"])
+
+    def write(name):
+        table = KeyedTable(spark, str(tmp_path / "t"), 4)
+        for k in range(6):
+            rows = [(f"{name}{i}", T0, float(k)) for i in range(k * 5, k * 5 + 5)] + [("both", T0 + dt.timedelta(seconds=k), float(k))]
+            table.merge(spark.createDataFrame(rows, "job string, ts timestamp, value double"), ["job"], newest, name, k)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, ("a", "b")))
+    table = KeyedTable(spark, str(tmp_path / "t"))
+    assert table.manifest().version == 12 and table.manifest().jobs == {"a": 5, "b": 5}
+    got = {r.job: r.value for r in table.read().collect()}
+    assert got == {f"{n}{i}": float(i // 5) for n in "ab" for i in range(30)} | {"both": 5.0}
+
+
+def test_a_new_checkpoint_is_another_stream(spark, source, tmp_path):
+    _, stream = source
+    for name in ("one", "two"):
+        wait(J.stream_latest(stream, ["measurement", "job"], str(tmp_path / "t"), str(tmp_path / name), once=True))
+    jobs = KeyedTable(spark, str(tmp_path / "t")).manifest().jobs
+    assert sorted(jobs.values()) == [4, 4]
+
+
+def test_rollups_of_a_catalog(spark, source, tmp_path):
+    batch, stream = source
+    rollups = [U.Rollup("m", ("job",)), U.Rollup("n", ()), U.Rollup("n", ("job",), only=("job", ("a",)))]
+    path = str(tmp_path / "t")
+    closed = batch.agg(F.max("ts") - F.expr("interval 60 seconds")).first()[0]
+    expected = U.rollup_many(batch, rollups).where(F.col("window_start") + F.expr("interval 240 seconds") <= F.lit(closed))
+    flat = lambda df: sorted((r.measurement, str(sorted(r.tags.items())), r.window_start, r["sum"]) for r in df.collect())
+    for checkpoint in ("one", "two"):  # the second starts from nothing and meets its own windows
+        wait(J.stream_rollups(stream, rollups, path, str(tmp_path / checkpoint), watermark="60 seconds", once=True))
+        assert flat(P.read_rollups(spark, path)) == flat(expected) and expected.count() > 30
+
+
+@pytest.mark.parametrize("case", ["keep", "zero_base", "forget"])
+def test_rates_with_a_table_of_last_readings(spark, source, tmp_path, case):
+    batch, stream = source
+    more = lambda df: df.withColumns({"plugin": F.lit("p"), "type_instance": F.col("measurement")})
+    options = {"on_reset": "zero_base", "first_value": 0} if case == "zero_base" else {"forget_after": 60, "first_value": 3} if case == "forget" else {}
+    places = [str(tmp_path / x) for x in ("out", "state", "cp")]
+    wait(J.stream_rates(more(stream), *places, once=True, **options))
+    out = J.rated_table(spark, places[0])
+    expected = R.rate(more(batch), **options)
+    assert sorted(out.columns) == sorted(expected.columns)
+    flat = lambda df: {(r.measurement, r.tags["job"], r.ts, r.plugin, r.type_instance): r.value for r in df.collect()}
+    assert out.count() == expected.count() and flat(out) == pytest.approx(flat(expected))
+    last = KeyedTable(spark, places[1]).read()
+    assert last.count() == 2 and {r.ts for r in last.collect()} == {batch.agg(F.max("ts")).first()[0]}

@@ -346,7 +346,7 @@ def _(spark, sf):
     return flat(rollup(points(spark, sf, JOBS), "error", ["fs_name", "rack"], interval=HOURS))
 
 
-_CATALOG_TAGS = {
+CATALOG_TAGS = {
     "fs_name": "fs_name", "optype": "optype", "user_id": "user_id", "group_id": "host", "project_id": "k_tag",
     "exp_client": "exp_client", "job_id": "job_id", "uid": "uid", "fqdn": "host", "ost_index": "ost_index",
     "mdt_index": "mdt_index", "field": "field", "size": "size",
@@ -359,7 +359,8 @@ CATALOG_MEASUREMENT = (
 )
 
 
-def _catalog_sql() -> str:
+def catalog_sql(name: str | None = None) -> str:
+    """All standing rollups; as one more WITH term of that name, if it has one."""
     parts = []
     for r in catalog():
         where = f"optype IN {r.only[1]}" if r.only else "true"
@@ -368,16 +369,20 @@ def _catalog_sql() -> str:
             f"SELECT '{r.name}' AS measurement, {label} AS tags, CAST(floor(sec / 14400) AS BIGINT) * 14400 AS window_start,"
             f" round(sum(value) / 4, 6) AS sum FROM p WHERE measurement = '{r.measurement}' AND {where} GROUP BY ALL"
         )
-    return points_sql(_CATALOG_TAGS, measurement=CATALOG_MEASUREMENT) + " " + " UNION ALL ".join(parts)
+    terms, union = points_sql(CATALOG_TAGS, measurement=CATALOG_MEASUREMENT), " UNION ALL ".join(parts)
+    return f"{terms}, {name} AS ({union})" if name else f"{terms} {union}"
 
 
-@query("rollup_catalog", _catalog_sql())
+def tag_text():
+    """A tag map as text, tags in order."""
+    return F.concat_ws(",", F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e.key, F.lit("="), e.value))))
+
+
+@query("rollup_catalog", catalog_sql())
 def _(spark, sf):
     """All standing rollups from one scan and one shuffle."""
-    p = points(spark, sf, _CATALOG_TAGS, measurement=CATALOG_MEASUREMENT)
-    out = rollup_many(p, catalog(), interval=HOURS)
-    pairs = F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e.key, F.lit("="), e.value)))
-    return flat(out.withColumn("tags", F.concat_ws(",", pairs)))
+    p = points(spark, sf, CATALOG_TAGS, measurement=CATALOG_MEASUREMENT)
+    return flat(rollup_many(p, catalog(), interval=HOURS).withColumn("tags", tag_text()))
 
 
 # --------------------------------------------------------------- aggregation

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyflow.definitions import MathEntry, lustre
 from tallyflow.model import tag_columns
+from tallyflow.operators.rollup import Rollup
+from tallyflow.plans import panels
+from tallyflow.plans.rollup_catalog import TOTAL_BYTES, catalog
 from tallyflow.session import shared_folder
+from tallyflow.sources.points import read_rollups
 from tallyflow.streaming import jobs as J
-from workload.operators import HOURS, f32, f32_sql, r6
+from workload.operators import CATALOG_MEASUREMENT, CATALOG_TAGS, F32_AVG, HOURS, catalog_sql, f32, f32_sql, flat, r6, summary_flat, tag_text
 from workload.registry import query
 from workload.tables import DIMENSIONS, EVENTS_SQL, load, points_sql
 
@@ -26,10 +30,13 @@ def _stream(spark, sf) -> DataFrame:
     return table.withColumn("k", number).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _points(spark, sf, tags: list[str], ds_type: str = "gauge", value: str = "value") -> DataFrame:
-    pairs = [c for t in tags for c in (F.lit(t), F.expr(DIMENSIONS[t]))]
-    return _stream(spark, sf).select(
-        F.col("event_type").alias("measurement"),
+def _points(
+    spark, sf, tags: list[str] | dict[str, str], ds_type: str = "gauge", value: str = "value", measurement: str = "event_type", stream=None
+) -> DataFrame:
+    named = {t: t for t in tags} if isinstance(tags, list) else tags
+    pairs = [c for t, d in named.items() for c in (F.lit(t), F.expr(DIMENSIONS[d]))]
+    return (_stream(spark, sf) if stream is None else stream).select(
+        F.expr(measurement).alias("measurement"),
         F.expr(DIMENSIONS["host"]).alias("host"),
         F.create_map(*pairs).alias("tags"),
         "ts",
@@ -109,3 +116,99 @@ def _(spark, sf):
     J.stream_latest(_points(spark, sf, ["job_id"]), ["job_id"], f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
     out = J.latest_table(spark, f"{folder}/table")
     return out.select("job_id", F.unix_seconds("ts").alias("sec"), "value")
+
+
+#: Pieces of time in which events arrive for the queries below.
+ARRIVALS = 4
+
+
+def _arrive(spark, sf, run) -> None:
+    """Events arrive one piece of time after the other; ``run(stream)`` starts the query anew for each, on its checkpoint."""
+    folder = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    table = load(spark, sf, "events")
+    first, last = table.agg(F.min(F.col("ts").cast("timestamp")), F.max(F.col("ts").cast("timestamp"))).first()
+    if first is None:
+        return
+    span = (last - first).total_seconds() or 1.0
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - F.lit(first.timestamp())
+    piece = F.least(F.floor(at / F.lit(span) * ARRIVALS), F.lit(ARRIVALS - 1))
+    for k in range(ARRIVALS):
+        table.where(piece == k).write.parquet(f"{folder}/piece={k}")
+        stream = spark.readStream.schema(table.schema).parquet(f"{folder}/piece=*")
+        number = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+        run(stream.withColumn("k", number).withColumn("ts", F.col("ts").cast("timestamp"))).awaitTermination()
+
+
+@query(
+    "stream_rollup_catalog",
+    f"{catalog_sql('catalog')}, w AS (SELECT max(epoch_us(ts)) / 1e6 - {SPAN} AS mark FROM p)"
+    f" SELECT catalog.* FROM catalog, w WHERE window_start + {SPAN} <= mark",
+)
+def _(spark, sf):
+    """All standing rollups as one stream, over several micro-batches and restarts, read back from the rollup table."""
+    folder = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+
+    def run(stream):
+        p = _points(spark, sf, CATALOG_TAGS, measurement=CATALOG_MEASUREMENT, stream=stream)
+        return J.stream_rollups(p, catalog(), f"{folder}/table", f"{folder}/checkpoint", interval=HOURS, once=True)
+
+    _arrive(spark, sf, run)
+    return flat(read_rollups(spark, f"{folder}/table").withColumn("tags", tag_text())).select("measurement", "tags", "window_start", "sum")
+
+
+@query(
+    "stream_throughput_per_job",
+    points_sql(["fs_name", "job_id", "optype"], measurement="'ost_jobstats_bytes'")
+    + f", w AS (SELECT max(epoch_us(ts)) / 1e6 - {SPAN} AS mark FROM p),"
+    f" r AS (SELECT job_id, CAST(floor(sec / {SPAN}) AS BIGINT) * {SPAN} AS ts, sum(value) / 4 AS value FROM p"
+    f" WHERE fs_name = 'fs1' AND optype IN ('sum_read_bytes', 'sum_write_bytes') GROUP BY ALL)"
+    f" SELECT job_id, {F32_AVG} AS avg, round(max(value), 6) AS max, round(arg_max(value, ts), 6) AS current"
+    f" FROM r, w WHERE ts + {SPAN} <= mark GROUP BY job_id",
+)
+def _(spark, sf):
+    """A panel answered from the table that the stream of rollups keeps."""
+    folder = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    rollups = [Rollup("ost_jobstats_bytes", ("fs_name", "job_id"), only=TOTAL_BYTES)]
+
+    def run(stream):
+        p = _points(spark, sf, ["fs_name", "job_id", "optype"], measurement="'ost_jobstats_bytes'", stream=stream)
+        return J.stream_rollups(p, rollups, f"{folder}/table", f"{folder}/checkpoint", interval=HOURS, once=True)
+
+    _arrive(spark, sf, run)
+    return summary_flat(panels.throughput_per_job(read_rollups(spark, f"{folder}/table"), "fs1"))
+
+
+@query("stream_latest_merged", points_sql(["job_id"]) + " SELECT job_id, arg_max(sec, ts) AS sec, arg_max(value, ts) AS value FROM p GROUP BY ALL")
+def _(spark, sf):
+    """The newest point of every series, kept over several batches and restarts."""
+    folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    _arrive(spark, sf, lambda stream: J.stream_latest(
+        _points(spark, sf, ["job_id"], stream=stream), ["job_id"], f"{folder}/table", f"{folder}/checkpoint", once=True, buckets=8))
+    out = J.latest_table(spark, f"{folder}/table")
+    return out.select("job_id", F.unix_seconds("ts").alias("sec"), "value")
+
+
+@query(
+    "stream_extract_rates",
+    f"WITH {EVENTS_SQL}, c AS (SELECT {DIMENSIONS['host']} AS host, 'MDT000' || (k % 2) AS mdt_index, sec, ts, epoch_us(ts) / 1e6 AS moment, (event_id + 1)::DOUBLE AS v FROM e),"
+    " d AS (SELECT *, (v - lag(v) OVER w) / (moment - lag(moment) OVER w) AS rate FROM c WINDOW w AS (PARTITION BY host, mdt_index ORDER BY ts))"
+    f" SELECT host, mdt_index, 'fs-' || mdt_index AS plugin, 'open' AS type_instance, 'md_stats_open' AS item, sec, {f32_sql('rate')} AS rate FROM d WHERE rate IS NOT NULL",
+)
+def _(spark, sf):
+    """Text to points to rates as streams, over several batches; identifiers stay with the points."""
+    folder = f"{shared_folder(spark)}/rates-{uuid.uuid4().hex}"
+    content = "concat('snapshot_time 1.2 secs.usecs\nopen                      ', event_id + 1, ' samples [reqs]\n')"
+
+    def run(stream):
+        snap = stream.select(
+            F.expr(DIMENSIONS["host"]).alias("host"),
+            F.expr("concat('/proc/fs/lustre/mdt/fs-MDT000', k % 2, '/md_stats')").alias("path"),
+            F.col("ts").alias("collected_at"),
+            F.expr(content).alias("content"),
+        )
+        p = J.stream_extract(snap, lustre.definition("2.12").select(["md_stats_open"]))
+        return J.stream_rates(p, f"{folder}/rates", f"{folder}/last", f"{folder}/checkpoint", once=True, buckets=8)
+
+    _arrive(spark, sf, run)
+    out = J.rated_table(spark, f"{folder}/rates")
+    return out.select("host", *tag_columns(out, ["mdt_index"]), "plugin", "type_instance", "item", F.unix_seconds("ts").alias("sec"), f32("value").alias("rate"))
