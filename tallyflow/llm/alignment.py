@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tallyflow.llm.bpe import Codec, Decoder
+from tallyflow.llm.bpe import Codec, Decoder, blank_cut
 from tallyflow.llm.common import checkpointed, lend, made, one_thread_each, small_batches
 from tallyflow.llm.fragments import BlankCuts, Flat, Fragments, joined, spread
 
 SHARE = 20
+#: Distinct pieces that a worker remembers; each takes some 300 bytes with its groups and links.
+REMEMBERED_PIECES = 300_000
 #: Distinct pairs that a task adds up before it hands them on.
 HELD = 1 << 20
 #: Bits of a pair that hold the second side's id.
@@ -91,7 +93,7 @@ class Aligner:
     """Aligns texts; ``first`` is a byte-level tokenizer file's content, ``second`` a model of pieces."""
 
     def __init__(self, first: str, second: bytes) -> None:
-        codec, decoder = Codec(first), Decoder(first)
+        allowed, decoder = blank_cut(Codec(first).apart), Decoder(first)
         self.first = Tokenizer.from_str(first)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
@@ -103,11 +105,11 @@ class Aligner:
         self.bytes_of_second, self.ends_of_second = np.frombuffer(b"".join(spoken), np.uint8), np.cumsum([0, *map(len, spoken)])
         # Characters that some piece has in front of a blank of its own.
         joined_to_blank = {x for p in pieces for x, y in zip(p, p[1:]) if y == BLANK}
-        self.cuts = BlankCuts(lambda c: codec.cut_after(c) and c not in joined_to_blank and c != BLANK)
+        self.cuts = BlankCuts(lambda c: allowed(c) and c not in joined_to_blank and c != BLANK)
         self.ids = max(len(self.size_of_first), len(pieces))
         shown = [f"{i}{x}".encode() for x in SEPARATORS for i in range(self.ids)]
         self.bytes_shown, self.ends_shown = np.frombuffer(b"".join(shown), np.uint8), np.cumsum([0, *map(len, shown)])
-        self.known = Fragments(self._aligned)
+        self.known = Fragments(self._aligned, REMEMBERED_PIECES)
         self._forget()
 
     def _forget(self) -> None:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import add
 
 import numpy as np
@@ -40,6 +40,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def blank_cut(apart: set[int]) -> Callable[[str], bool]:
+    """Whether a blank behind a character may be cut off from it, given the bytes that blanks are forced apart from."""
+    return lambda c: not c.isspace() and c.encode("utf-8", "surrogatepass")[-1] in apart
+
+
 class Codec:
     """Encodes with one tokenizer file of the byte-level kind, given by its content."""
 
@@ -62,14 +67,10 @@ class Codec:
         self.added_pattern = re.compile("(" + "|".join(whole) + ")") if whole else None
         #: Letters that a blank is forced apart from, as bytes.
         self.apart = {b for b in range(256) if letters[b] + self.blank not in self.joined}
-        self.cuts = BlankCuts(self.cut_after)
+        self.cuts = BlankCuts(blank_cut(self.apart))
         self.first = Fragments(lambda pieces: joined([self.start(p) for p in pieces]))
         self.later = Fragments(lambda pieces: joined([self.fragment(" " + p) for p in pieces]))
 
-    def cut_after(self, character: str) -> bool:
-        """Whether a blank that follows this character may be cut off from it."""
-        return not character.isspace() and character.encode("utf-8", "surrogatepass")[-1] in self.apart
-
     def parts(self, text: str) -> list[str]:
         """What the splitting pattern makes of a fragment, in the vocabulary's letters."""
         if text[:1] == " " and text.isascii():
