@@ -98,6 +98,16 @@ def aggregate(points: DataFrame, spec: Aggregation, *, interval: int | None = No
 CPU_AVERAGE = Aggregation(plugin="cpu", type="cpu", by=("host", "type_instance"), functions=("average",))
 MAX_TEMPERATURE = Aggregation(plugin="sensors", type="temperature", by=("host",), functions=("maximum",))
 
+# Job statistics of all metadata or all data targets of a server, brought together.
+JOB_TARGETS = {"MDS": "^.+-MDT[0-9a-fA-F]+$", "OSS": "^.+-OST[0-9a-fA-F]+$"}
+JOB_SUMS = {
+    name: Aggregation(
+        plugin=f"/{targets}/", plugin_instance="/^jobstat.*/", type="derive", functions=("sum", "average"),
+        set_plugin=name, set_plugin_instance="jobstat-sum",
+    )
+    for name, targets in JOB_TARGETS.items()
+}
+
 
 @dataclass(frozen=True)
 class RouteRule:
@@ -113,24 +123,65 @@ class Chain:
     rules: tuple[RouteRule, ...] = field(default_factory=tuple)
 
 
+def job_sums(*, keep: bool = False) -> Chain:
+    """Job statistics of all targets of a server as sum and average; the targets' own are dropped unless kept."""
+    return Chain(tuple(
+        RouteRule({"plugin": JOB_TARGETS[name], "plugin_instance": "jobstat.*"}, into, stop=not keep) for name, into in JOB_SUMS.items()
+    ))
+
+
 def route(points: DataFrame, chain: Chain | Sequence[RouteRule]) -> DataFrame:
     """Aggregated points together with the originals no rule stopped.
 
     Rules apply in order; a point stopped by one rule is not seen by later ones.
+    What each rule takes is a bit of one number per point, so all rules share one
+    scan, one fan-out to the rules that take a point and one grouped aggregate,
+    which is partial before its shuffle.  Originals that stay pass by in a scan of
+    their own and are never shuffled.
     """
     rules = chain.rules if isinstance(chain, Chain) else tuple(chain)
-    open_to = F.lit(True)
-    parts: list[DataFrame] = []
-    for rule in rules:
-        hit = matches(rule.match)
-        parts.append(aggregate(points.where(open_to & hit), rule.into))
-        if rule.stop:
-            open_to = open_to & ~F.coalesce(hit, F.lit(False))
-    kept = points.where(open_to)
-    out = kept
-    for part in parts:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    stops = [F.when(F.coalesce(matches(r.match), F.lit(False)), i) for i, r in enumerate(rules) if r.stop]
+    stopped_at = F.coalesce(*stops, F.lit(len(rules)))
+    kept = points.where(stopped_at == len(rules))
+    if not rules:
+        return kept
+    if len(rules) > 30:
+        raise ValueError("a chain has at most 30 rules")
+    bits = [F.when(matches(r.match) & matches(r.into.conditions()), 1 << i).otherwise(0) for i, r in enumerate(rules)]
+    # Rules up to the one that stops the point see it.
+    seen = F.array(*[F.lit((2 << min(i, 29)) - 1) for i in range(len(rules) + 1)])[stopped_at]
+    taken = reduce(lambda a, b: a.bitwiseOR(b), bits).bitwiseAND(seen)
+    return kept.unionByName(_aggregated(points, taken, [r.into for r in rules]), allowMissingColumns=True)
+
+
+def _aggregated(points: DataFrame, taken: Column, specs: Sequence[Aggregation]) -> DataFrame:
+    """Points aggregated by each specification whose bit they have in ``taken``."""
+    fixed = [s.type is not None and s.type == s.type.strip("/") for s in specs]
+    grouped_by = [list(s.by) if f or "type" in s.by else [*s.by, "type"] for s, f in zip(specs, fixed)]
+    keys = sorted({k for by in grouped_by for k in by})
+    functions = sorted({f for s in specs for f in s.functions})
+
+    def copy(i: int) -> Column:
+        shown = [F.col(k).cast("string") if k in grouped_by[i] else F.lit(None).cast("string") for k in keys]
+        return F.struct(F.lit(i).alias("_rule"), *[c.alias(f"_{k}") for c, k in zip(shown, keys)])
+
+    some = points.select("ts", "value", taken.alias("_taken"), *keys).where(F.col("_taken") != 0)
+    copies = F.array_compact(F.array(*[F.when(F.col("_taken").bitwiseAND(F.lit(1 << i)) != 0, copy(i)) for i in range(len(specs))]))
+    rows = some.select("ts", "value", F.explode(copies).alias("c")).select("ts", "value", "c.*")
+    summed = rows.groupBy("_rule", *[f"_{k}" for k in keys], "ts").agg(*[FUNCTIONS[f](F.col("value")).alias(f) for f in functions])
+
+    def results(s: Aggregation) -> Column:
+        parts = [F.struct(F.lit(s.set_plugin).alias("plugin"), F.lit(s.label(f)).alias("plugin_instance"), F.lit(f).alias("function"), F.col(f).alias("value")) for f in s.functions]
+        return F.array(*parts)
+
+    listed, kind = F.lit(None), F.col("_type") if "type" in keys else F.lit(None).cast("string")
+    for i, s in enumerate(specs):
+        listed = F.when(F.col("_rule") == i, results(s)).otherwise(listed)
+        if fixed[i]:
+            kind = F.when(F.col("_rule") == i, F.lit(s.type)).otherwise(kind)
+    shown = [k for k in keys if k not in ("plugin", "plugin_instance", "type")]
+    out = summed.select(*[F.col(f"_{k}").alias(k) for k in shown], "ts", kind.alias("type"), F.explode(listed).alias("r"))
+    return out.select(*shown, "ts", "type", "r.plugin", "r.plugin_instance", "r.function", "r.value")
 
 
 def as_points(aggregated: DataFrame, measurement: Column) -> DataFrame:

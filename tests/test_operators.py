@@ -289,3 +289,23 @@ def test_rates_read_their_input_once_and_mend_every_seam(spark, tmp_path):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_rules_of_a_chain_share_one_scan_and_one_shuffle(spark, tmp_path):
+    rows = [(h, f"fs0-{t}000{i}", pi, "derive", "open", T0, float(v)) for v, (h, t, i, pi) in enumerate(
+        (h, t, i, pi) for h in ("a", "b") for t in ("OST", "MDT") for i in range(3) for pi in ("jobstats-1", "stats"))]
+    schema = "host string, plugin string, plugin_instance string, type string, type_instance string, ts timestamp, value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    for keep in (False, True):
+        got = A.route(df, A.job_sums(keep=keep)).collect()
+        own = [r for r in got if r.function is None]
+        assert len(own) == (24 if keep else 12)
+        want = {(n, h, f): v for n, t in (("MDS", "MDT"), ("OSS", "OST")) for h in "ab"
+                for vs in [[r[6] for r in rows if r[0] == h and t in r[1] and r[2] != "stats"]] for f, v in (("sum", sum(vs)), ("average", sum(vs) / 3))}
+        assert {(r.plugin, r.host, r.function): r.value for r in got if r.function} == want
+    plan = A.route(df, A.job_sums())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 2
+    with pytest.raises(ValueError, match="at most 30"):
+        A.route(df, [A.RouteRule({"plugin": "x"}, A.CPU_AVERAGE)] * 31)
+    assert A.route(df, []).count() == 24

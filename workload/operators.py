@@ -475,6 +475,35 @@ def _(spark, sf):
     return _at_seconds(out).select("plugin", "plugin_instance", "host", "type_instance", "sec", "value")
 
 
+_TARGETS_SQL = (
+    f"WITH {EVENTS_SQL}, p AS (SELECT {DIMENSIONS['host']} AS host, 'fs0-' || CASE WHEN k % 5 = 0 THEN {DIMENSIONS['mdt_index']} ELSE {DIMENSIONS['ost_index']} END AS plugin,"
+    f" CASE WHEN k % 7 = 0 THEN 'stats' ELSE 'jobstats-' || {DIMENSIONS['job_id']} END AS plugin_instance, 'derive' AS type,"
+    " event_type AS type_instance, CAST(floor(sec / 3600) AS BIGINT) * 3600 AS sec, value FROM e)"
+)
+
+
+@query(
+    "route_job_sums",
+    _TARGETS_SQL
+    + ", j AS (SELECT CASE WHEN plugin LIKE '%MDT%' THEN 'MDS' ELSE 'OSS' END AS plugin, host, type_instance, sec, value FROM p WHERE plugin_instance LIKE 'jobstat%')"
+    + " SELECT plugin, 'jobstat-sum' AS plugin_instance, 'sum' AS function, host, type_instance, sec, " + f32_sql("sum(value)") + " AS value FROM j GROUP BY ALL"
+    + " UNION ALL SELECT plugin, 'jobstat-sum', 'average', host, type_instance, sec, " + F32_AVG + " FROM j GROUP BY ALL"
+    + " UNION ALL SELECT plugin, plugin_instance, NULL, host, type_instance, sec, " + f32_sql("value") + " FROM p WHERE plugin_instance = 'stats'",
+)
+def _(spark, sf):
+    """Job statistics of a server's targets are replaced by their sum and average; all else passes."""
+    e = events(spark, sf)
+    target = f"concat('fs0-', CASE WHEN k % 5 = 0 THEN {DIMENSIONS['mdt_index']} ELSE {DIMENSIONS['ost_index']} END)"
+    p = e.select(
+        F.expr(DIMENSIONS["host"]).alias("host"), F.expr(target).alias("plugin"),
+        F.expr(f"CASE WHEN k % 7 = 0 THEN 'stats' ELSE concat('jobstats-', {DIMENSIONS['job_id']}) END").alias("plugin_instance"),
+        F.lit("derive").alias("type"), F.col("event_type").alias("type_instance"),
+        F.timestamp_seconds(F.floor(F.unix_seconds("ts") / HOURS) * HOURS).alias("ts"), "value",
+    )
+    out = A.route(p, A.job_sums())
+    return _at_seconds(out).select("plugin", "plugin_instance", "function", "host", "type_instance", "sec", "value")
+
+
 # ------------------------------------------------------------- series tables
 
 _BUCKETED = (
