@@ -90,31 +90,63 @@ def bucket(
     )
     if fill is None:
         return found
-    step_of = F.expr(f"interval {step}")
-    # Each bucket also emits the empty ones up to the series' next bucket, so the
-    # gaps are filled in one pass and nothing is joined back.
-    w = Window.partitionBy(*keys).orderBy("bucket")
-    low = F.col("bucket") if start is None else _floor(start, step)
-    high = F.col("bucket") if end is None else _floor(end, step)
-    first = F.when(F.lag("bucket").over(w).isNull(), low).otherwise(F.col("bucket"))
-    last = F.coalesce(F.lead("bucket").over(w) - step_of, high)
-    spans = found.withColumn("_first", first).withColumn("_last", last)
-    slots = spans.select(*keys, F.col("bucket").alias("_own"), value, F.sequence("_first", "_last", step_of).alias("_slots"))
-    full = slots.select(*keys, "_own", value, F.explode("_slots").alias("bucket"))
-    own = F.col("bucket") >= F.col("_own") if fill == "previous" else F.col("bucket") == F.col("_own")
+    seconds = _seconds(step)
+    timed = found.select(*keys, F.unix_seconds("bucket").alias("_at"), value)
+    # Without keys all buckets are one series, so its blocks are put into blocks once more.
+    blocks = [FILL_BLOCK * seconds] if keys else [FILL_BLOCK * seconds, FILL_BLOCK**2 * seconds]
+    following = _with_following(timed, keys, blocks)
+    high = F.col("_at") if end is None else F.unix_seconds(_floor(end, step))
+    spans = following.withColumn("_last", F.coalesce(F.col("_following") - seconds, high)).drop("_following")
+    if start is not None:
+        low = F.unix_seconds(_floor(start, step))
+        before = timed.groupBy(*keys).agg(F.min("_at").alias("_first")).where(F.col("_first") > low)
+        nothing = F.lit(None).cast(timed.schema[value].dataType)
+        spans = spans.unionByName(before.select(*keys, low.alias("_at"), nothing.alias(value), (F.col("_first") - seconds).alias("_last")))
+    # A span is unfolded in two steps, so no array is longer than a block, however long a series was silent.
+    pieces = spans.select("*", F.explode(F.sequence("_at", "_last", F.lit(FILL_BLOCK * seconds))).alias("_piece"))
+    upto = F.least(F.col("_last"), F.col("_piece") + (FILL_BLOCK - 1) * seconds)
+    full = pieces.select(*keys, "_at", value, F.explode(F.sequence("_piece", upto, F.lit(seconds))).alias("_slot"))
+    own = F.lit(True) if fill == "previous" else F.col("_slot") == F.col("_at")
     filled = F.when(own, F.col(value))
     if fill not in ("null", "previous"):
         filled = F.coalesce(filled, F.lit(float(fill)))
-    return full.select(*keys, "bucket", filled.alias(value))
+    return full.select(*keys, F.timestamp_seconds("_slot").alias("bucket"), filled.alias(value))
+
+
+#: Steps of a block when empty buckets are filled.
+FILL_BLOCK = 4096
+
+
+def _with_following(rows: DataFrame, keys: Sequence[str], blocks: Sequence[int]) -> DataFrame:
+    """Rows with the next row's ``_at`` in their series, null behind the last.
+
+    A series is cut into blocks of time that are sorted on their own; what a block cannot tell is what follows its last
+    row.  Only each block's first and last rows meet again, in the larger blocks that come next in ``blocks`` and at last
+    by series.
+    """
+    if not blocks:
+        return rows.withColumn("_following", F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at")))
+    cut = rows.withColumn("_block", F.floor(F.col("_at") / F.lit(blocks[0])))
+    w = Window.partitionBy(*keys, "_block").orderBy("_at")
+    seen = cut.select("*", F.lead("_at").over(w).alias("_following"), F.lag("_at").over(w).isNull().alias("_opens")).drop("_block")
+    inner = seen.where(F.col("_following").isNotNull()).select(*rows.columns, "_following")
+    ends = seen.where(F.col("_following").isNull() | F.col("_opens"))
+    closes = F.col("_following").isNull().alias(f"_closes{len(blocks)}")
+    met = _with_following(ends.select(*rows.columns, closes), keys, blocks[1:])
+    return inner.unionByName(met.where(f"_closes{len(blocks)}").select(*rows.columns, "_following"))
 
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
+def _seconds(step: str) -> int:
+    count, unit = step.split()
+    return int(count) * _UNITS[unit.rstrip("s")]
+
+
 def _floor(ts: Column, step: str) -> Column:
     """Start of the epoch-aligned step a time falls in."""
-    count, unit = step.split()
-    seconds = F.lit(int(count) * _UNITS[unit.rstrip("s")])
+    seconds = F.lit(_seconds(step))
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / seconds) * seconds)
 
 

@@ -309,3 +309,34 @@ def test_rules_of_a_chain_share_one_scan_and_one_shuffle(spark, tmp_path):
     with pytest.raises(ValueError, match="at most 30"):
         A.route(df, [A.RouteRule({"plugin": "x"}, A.CPU_AVERAGE)] * 31)
     assert A.route(df, []).count() == 24
+
+
+@pytest.mark.parametrize("by", [["j"], []])
+@pytest.mark.parametrize("fill", ["null", "previous", 0])
+def test_fill_over_blocks_equals_a_plain_walk(spark, monkeypatch, by, fill):
+    monkeypatch.setattr(S, "FILL_BLOCK", 4)
+    rng = random.Random(9)
+    rows = [(j, s * 60, float(s)) for j in "ab" for s in sorted(rng.sample(range(-30, 200), 40))]
+    df = spark.createDataFrame(rows, "j string, s bigint, value double").select("j", F.timestamp_seconds("s").alias("ts"), "value")
+    for low, high in ((None, None), (-40 * 60, 230 * 60)):
+        bounds = {} if low is None else {"start": F.timestamp_seconds(F.lit(low)), "end": F.timestamp_seconds(F.lit(high))}
+        got = {(r.j if by else "", int(r.bucket.timestamp())): r.value for r in S.bucket(df, "1 minute", by, fn="sum", fill=fill, **bounds).collect()}
+        want = {}
+        for j in "ab" if by else [""]:
+            own = {}
+            for k, s, v in rows:
+                if k == j or not by:
+                    own[s] = own.get(s, 0.0) + v
+            last = None
+            for s in range(min(own) if low is None else low, (max(own) if high is None else high) + 1, 60):
+                last = own.get(s, last)
+                want[j, s] = own.get(s, {"null": None, "previous": last}.get(fill, fill))
+        assert got == want
+
+
+def test_a_series_that_is_silent_for_a_year_is_filled_by_the_second(spark):
+    year = 365 * 86400
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", year, 2.0)], "j string, s bigint, value double").select("j", F.timestamp_seconds("s").alias("ts"), "value")
+    for by in (["j"], []):
+        filled = S.bucket(df, "1 second", by, fn="sum", fill="previous")
+        assert filled.agg(F.count("*"), F.sum("value")).first() == (year + 1, year + 2.0)
