@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.definitions import MathEntry
 from tallyflow.definitions.disk_array import LATENCY_COLUMNS, SIZE_COLUMNS
+from tallyflow.definitions.lustre import QUEUE_STATS, SERVICES
 from tallyflow.model import has_column, tag
 from tallyflow.operators import aggregate as A
 from tallyflow.operators import summary as S
@@ -226,6 +227,38 @@ def service_mean(points: DataFrame, service: str, request: str, **span: str | No
     return apply_math(points, [MathEntry(f"{m}_sum", "/", f"{m}_samples", f"{m}_mean", f"{request}_mean")])
 
 
+#: Services whose statistics the panels of either kind of server show.
+SERVER_SERVICES = {
+    "MDS": ("mdt", "mdt_readpage", "mdt_setattr", "mdt_fld", "mdt_out", "mdt_seqm", "mdt_seqs", "ldlm_canceld", "ldlm_cbd"),
+    "OSS": ("ost", "ost_io", "ost_create", "ost_seq", "ldlm_canceld", "ldlm_cbd"),
+}
+_STATISTIC = "^(.+?)_stats_(.+)_(samples|min|max|sum)$"
+
+
+def service_statistics(server: str) -> list[str]:
+    """Measurements of a kind of server's services, which prune a stored table."""
+    requests = {s: [r for listed in (QUEUE_STATS, SERVICES[s][1]) for rs in listed.values() for r in rs] for s in SERVER_SERVICES[server]}
+    return [f"{s}_stats_{r}_{what}" for s, rs in requests.items() for r in rs for what in ("samples", "min", "max", "sum")]
+
+
+def service_table(points: DataFrame, server: str, window: str, **span: str | None) -> DataFrame:
+    """Least, greatest and mean value of every statistic of every service of an ``MDS`` or ``OSS``, per host and window.
+
+    All panels of the dashboard at once: one scan and one shuffle.  A mean is what was summed over what was counted in
+    the window, null where nothing was counted.
+    """
+    found = in_range(points.where(F.col("measurement").isin(service_statistics(server))), "ts", **_bounds(span))
+    part = lambda k: F.regexp_extract("measurement", _STATISTIC, k)
+    named = found.select("host", "ts", "value", part(1).alias("service"), part(2).alias("statistic"), part(3).alias("what"))
+    of = lambda what: F.when(F.col("what") == what, F.col("value"))
+    return (
+        named.groupBy("host", "service", "statistic", F.window("ts", window).alias("w"))
+        .agg(F.min(of("min")).alias("min"), F.max(of("max")).alias("max"), F.sum(of("sum")).alias("_sum"), F.sum(of("samples")).alias("_samples"))
+        .select("host", "service", "statistic", F.col("w.start").alias("window_start"), "min", "max",
+                F.when(F.col("_samples") > 0, F.col("_sum") / F.col("_samples")).alias("mean"))
+    )
+
+
 # ------------------------------------------------------- locks and recovery
 
 
@@ -261,6 +294,36 @@ def gauge_table(points: DataFrame, measurement: str, by: Sequence[str], **span:
     return _table(select_points(points, measurement, **_bounds(span)), by)
 
 
+# What the server panels show, by identifier.
+SERVER_PANELS = {
+    "memory": ({"plugin": "memory"}, ("used", "buffered", "cached", "free", "slab_recl", "slab_unrecl")),
+    "load": ({"plugin": "load"}, ("shortterm", "midterm", "longterm")),
+    "root": ({"plugin": "df", "plugin_instance": "root"}, ("free", "used", "reserved")),
+    "uptime": ({"plugin": "uptime"}, ()),
+    "users": ({"plugin": "users"}, ()),
+}
+
+
+def server_table(points: DataFrame, panels: Sequence[str] = tuple(SERVER_PANELS), **span: str | None) -> DataFrame:
+    """Average, maximum and current of memory by category, load by term, root usage, uptime and users of each server.
+
+    Points are known by their identifier (plugin and instances), so all panels come out of one scan.
+    """
+    panel = F.lit(None).cast("string")
+    for name in panels:
+        wanted, shown = SERVER_PANELS[name]
+        mine = F.lit(True)
+        for part, value in wanted.items():
+            mine &= F.col(part) == value
+        if shown:
+            mine &= F.col("type_instance").isin(*shown)
+        panel = F.when(mine, F.lit(name)).otherwise(panel)
+    plugins = sorted({SERVER_PANELS[name][0]["plugin"] for name in panels})
+    found = in_range(points.where(F.col("plugin").isin(*plugins)), "ts", **_bounds(span)).withColumn("panel", panel)
+    part = F.coalesce("type_instance", F.lit("")).alias("part")
+    return S.series_summary(found.where("panel IS NOT NULL").select("panel", "host", part, "ts", "value"), ["panel", "host", "part"])
+
+
 # --------------------------------------------------------------- disk arrays
 
 

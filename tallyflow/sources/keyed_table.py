@@ -73,15 +73,20 @@ class KeyedTable:
     def bucketed(self, rows: DataFrame, keys: list[str], manifest: Manifest) -> DataFrame:
         return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(manifest.buckets)).cast("int"))
 
-    def merge(self, rows: DataFrame, keys: list[str], combined: Callable[[DataFrame], DataFrame], job: str, batch: int) -> bool:
-        """Put rows in; ``combined`` makes one row per key of old and new ones.  False if the batch is in already."""
+    def merge(
+        self, rows: DataFrame, keys: list[str], combined: Callable[[DataFrame], DataFrame], job: str | None = None, batch: int = 0
+    ) -> bool:
+        """Put rows in; ``combined`` makes one row per key of old and new ones.  False if the job's batch is in already.
+
+        Without a job nothing is remembered, so putting the same rows in twice must do no harm.
+        """
         base = self.manifest()
         fresh = self.bucketed(rows, keys, base).persist()
         try:
             # At most one row for each bucket.
             open_ = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())
             written: dict[int, str] = {}
-            while base.jobs.get(job, -1) < batch:
+            while job is None or base.jobs.get(job, -1) < batch:
                 if open_:
                     folder = uuid.uuid4().hex
                     new = fresh.where(F.col(BUCKET).isin(open_))
@@ -91,7 +96,7 @@ class KeyedTable:
                         BUCKET
                     ).parquet(f"{self.path}/data/{folder}")
                     written |= {b: folder for b in open_}
-                after = Manifest(base.version + 1, base.buckets, base.folders | written, base.jobs | {job: batch})
+                after = Manifest(base.version + 1, base.buckets, base.folders | written, base.jobs if job is None else base.jobs | {job: batch})
                 if self._create_once(self._manifest(after.version), after.text()):
                     self._forget_old()
                     return True

@@ -8,6 +8,7 @@ restarted driver goes on from the last finished batch.
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
@@ -27,8 +28,8 @@ from tallyflow.operators.metric_math import apply_math
 from tallyflow.operators.rates import RESET_POLICIES, counters_and_gauges, rate
 from tallyflow.operators.rollup import DEFAULT_INTERVAL, DEFAULT_PERIODS, Rollup, rollup, rollup_many
 from tallyflow.operators.summary import latest
-from tallyflow.sources.points import upsert_rollup
-from tallyflow.streaming.keyed_table import BUCKET, KeyedTable, job_of
+from tallyflow.sources.keyed_table import BUCKET, KeyedTable, job_of
+from tallyflow.sources.points import in_range, read_points, upsert_rollup, write_points
 
 # The state function travels with the query, so workers need not have this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -244,6 +245,91 @@ def stream_rollups(
     return _each_batch(rolled, write, checkpoint, once)
 
 
+def stream_points(
+    points: DataFrame,
+    path: str,
+    rollups: Iterable[Rollup],
+    rollup_path: str,
+    clock: str,
+    checkpoint: str,
+    *,
+    delay: int = DEFAULT_INTERVAL * DEFAULT_PERIODS,
+    interval: int = DEFAULT_INTERVAL,
+    periods: int = DEFAULT_PERIODS,
+    once: bool = False,
+) -> StreamingQuery:
+    """Store points as they come, and keep their rollups right when some come late.
+
+    A window is closed once a point has come that is ``delay`` seconds or more behind its end.  Each batch is stored
+    first.  Then two kinds of windows are computed from the stored points and put in place in the rollup table: those that
+    the batch closes, and those closed before in which it has points, its late ones.  So a late point costs a new
+    computation of its window, and none is dropped; ``delay`` decides when a window is first shown, not what it holds.
+
+    ``clock`` is a table with the newest time seen.  A repeated batch finds there what it knew, and writes the same files
+    and windows again.
+    """
+    specs, width = list(rollups), interval * periods
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        job, held = job_of(spark, checkpoint), batch.persist()
+        try:
+            newest = held.agg(F.max(F.unix_seconds("ts"))).first()[0]
+            if newest is None:
+                return
+            write_points(held, f"{path}/job={job}/batch={number}", mode="overwrite")
+            before, now = _tick(KeyedTable(spark, clock, 1), newest, job, number)
+            windows = _closed_windows(held, before, now, width, delay)
+            first, last = windows.agg(F.min("_window"), F.max("_window")).first()
+            if first is None:
+                return
+            stored = in_range(read_points(spark, path).drop("job", "batch"), "ts", _utc(first), _utc(last + width))
+            of_windows = stored.withColumn("_window", _window(width)).join(windows, "_window", "left_semi").drop("_window")
+            upsert_rollup(spark, rollup_many(of_windows, specs, interval=interval, periods=periods), rollup_path)
+        finally:
+            held.unpersist()
+
+    return _each_batch(points, store, checkpoint, once)
+
+
+def stored_points_table(spark: SparkSession, path: str) -> DataFrame:
+    """The points that ``stream_points`` has stored."""
+    return read_points(spark, path).drop("job", "batch")
+
+
+def _window(width: int) -> Column:
+    return F.floor(F.unix_seconds("ts") / F.lit(width)) * F.lit(width)
+
+
+def _utc(seconds: int) -> str:
+    return f"{dt.datetime.fromtimestamp(seconds, dt.timezone.utc):%Y-%m-%d %H:%M:%S}"
+
+
+def _closed_windows(points: DataFrame, before: int | None, now: int, width: int, delay: int) -> DataFrame:
+    """(_window) of closed windows that the points fall into, and of all that closed since ``before``."""
+    closed_upto = (now - delay) // width * width - width  # start of the last closed window
+    touched = points.select(_window(width).alias("_window")).where(F.col("_window") <= closed_upto)
+    if before is None:
+        return touched.distinct()
+    since = (before - delay) // width * width
+    closing = points.sparkSession.range(since, closed_upto + 1, width).select(F.col("id").alias("_window"))
+    return touched.union(closing).distinct()
+
+
+def _tick(clock: KeyedTable, newest: int, job: str, batch: int) -> tuple[int | None, int]:
+    """The newest time seen before this batch and with it; a repeated batch gets what it got before."""
+    spark = clock.spark
+    rows = lambda *r: spark.createDataFrame([("clock", *r)], "name string, now bigint, before bigint")
+    known = clock.read().first() if clock.manifest().folders else None
+    if clock.manifest().jobs.get(job, -1) >= batch:
+        return known["before"], known["now"]
+    before = known["now"] if known else None
+    now = max(newest, before) if before is not None else newest
+
+    clock.merge(rows(now, before), ["name"], lambda both: rows(now, before), job, batch)
+    return before, now
+
+
 #: Hashes that stand for a series in the table of last readings.
 _SERIES = ["_key", "_key_too"]
 

@@ -16,9 +16,10 @@ from tallyflow.operators import summary as S
 from tallyflow.operators.extract import extract
 from tallyflow.operators.metric_math import apply_math
 from tallyflow.sources import points as P
+from tallyflow.sources import tag_catalog
+from tallyflow.sources.keyed_table import KeyedTable
 from tallyflow.sources.snapshots import read_snapshots, stream_snapshots
 from tallyflow.streaming import jobs as J
-from tallyflow.streaming.keyed_table import KeyedTable
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -191,3 +192,35 @@ def test_rates_with_a_table_of_last_readings(spark, source, tmp_path, case):
     assert out.count() == expected.count() and flat(out) == pytest.approx(flat(expected))
     last = KeyedTable(spark, places[1]).read()
     assert last.count() == 2 and {r.ts for r in last.collect()} == {batch.agg(F.max("ts")).first()[0]}
+
+
+def test_late_points_change_their_windows(spark, tmp_path):
+    folder, places = tmp_path / "in", [str(tmp_path / x) for x in ("points", "rollups", "clock", "cp")]
+    arrivals = ((0, 60), (3000,), (10, 3060), (6000,), (5, 3001))
+    rollups = [U.Rollup("m", ("job",))]
+    for i, seconds in enumerate(arrivals):
+        rows = [("m", "h", {"job": "a"}, T0 + dt.timedelta(seconds=s), "gauge", 4.0) for s in seconds]
+        spark.createDataFrame(rows, POINT_SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(POINT_SCHEMA).parquet(str(folder))
+        wait(J.stream_points(stream, places[0], rollups, *places[1:], once=True))
+        seen = [s for some in arrivals[: i + 1] for s in some]
+        want = {}
+        for s in seen:
+            if s // 240 * 240 + 480 <= max(seen):
+                want[s // 240 * 240] = want.get(s // 240 * 240, 0.0) + 1.0
+        table = P.read_rollups(spark, places[1]).collect() if want else []
+        assert {(r.window_start - T0).total_seconds(): r["sum"] for r in table} == want and len(table) == len(want)
+    assert J.stored_points_table(spark, places[0]).count() == 8
+
+
+def test_tag_catalog(spark, tmp_path):
+    rows = [("m", f"h{k % 2}", {"job": f"j{k}", "none": ""}, T0 + dt.timedelta(days=k), "gauge", 1.0) for k in range(6)]
+    df, path = spark.createDataFrame(rows, POINT_SCHEMA), str(tmp_path / "t")
+    for _ in range(2):  # adding twice changes nothing
+        for k in range(3):
+            tag_catalog.record(df.where(f"dayofyear(ts) % 3 = {k}"), path)
+    table = tag_catalog.read_catalog(spark, path)
+    assert table.count() == 8 and [r.job for r in tag_catalog.listed_values(table, "m", "job").collect()] == [f"j{k}" for k in range(6)]
+    assert [r.job for r in tag_catalog.listed_values(table, "m", "job", start="2024-01-03", end="2024-01-04").collect()] == ["j2", "j3"]
+    listed = {r.tag: (r.n_values, r.first_day.day, r.last_day.day) for r in tag_catalog.listed_tags(table).collect()}
+    assert listed == {"fqdn": (2, 1, 6), "job": (6, 1, 6)}

@@ -19,6 +19,7 @@ from tallyflow.operators.status import EXPECTED, StatusRule, freshness, host_sta
 from tallyflow.plans.rollup_catalog import catalog
 from tallyflow.session import shared_folder
 from tallyflow.sources import points as P
+from tallyflow.sources.tag_catalog import listed_values, read_catalog, record
 from workload.registry import query
 from workload.tables import DIMENSIONS, EVENTS_SQL, events, load, points, points_sql
 
@@ -718,3 +719,32 @@ def _(spark, sf):
     by = ["fs_name", "ost_index"]
     targets = p.select(*tag_columns(p, by)).distinct()
     return missing_series(p, targets, _OST_EXPECTED, by).select(*by, "measurement")
+
+
+# -------------------------------------------------------------- tag catalog
+
+_DAYS = "strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day"
+
+
+@query(
+    "tag_catalog",
+    points_sql(["fs_name", "job_id"])
+    + f" SELECT measurement, 'fs_name' AS tag, fs_name AS tag_value, {_DAYS} FROM p GROUP BY ALL"
+    + f" UNION ALL SELECT measurement, 'job_id', job_id, {_DAYS} FROM p GROUP BY ALL"
+    + f" UNION ALL SELECT measurement, 'fqdn', host, {_DAYS} FROM p GROUP BY ALL",
+)
+def _(spark, sf):
+    """Tag values with their first and last day, kept over several loads of points."""
+    path, p = f"{shared_folder(spark)}/tags-{uuid.uuid4().hex}", points(spark, sf, ["fs_name", "job_id"])
+    for third in range(3):
+        record(p.where(F.pmod(F.xxhash64("ts", "host"), F.lit(3)) == third), path)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return read_catalog(spark, path).select("measurement", "tag", "tag_value", day("first_day"), day("last_day"))
+
+
+@query("tag_values_listed", points_sql(["job_id"]) + " SELECT DISTINCT job_id FROM p WHERE measurement = 'click'")
+def _(spark, sf):
+    """Values of a tag from the catalog: no point is read."""
+    path = f"{shared_folder(spark)}/tags-{uuid.uuid4().hex}"
+    record(points(spark, sf, ["fs_name", "job_id"]), path)
+    return listed_values(read_catalog(spark, path), "click", "job_id")

@@ -296,6 +296,26 @@ def _(spark, sf):
     return Q.service_mean(p, "mdt", "req_qdepth").select("host", F.unix_seconds("ts").alias("sec"), f32("value").alias("value"))
 
 
+for _server in Q.SERVER_SERVICES:
+    _names = Q.service_statistics(_server)
+    _list = ", ".join(f"'{n}'" for n in _names)
+    _m = f"element_at(array({_list}), CAST(pmod(event_id * 7 + k, {len(_names)}) AS INT) + 1)"
+    _m_sql = f"[{_list}][((event_id * 7 + k) % {len(_names)}) + 1]"
+
+    @query(
+        f"service_table_{_server.lower()}",
+        f"WITH {EVENTS_SQL}, p AS (SELECT {_m_sql} AS measurement, {DIMENSIONS['host']} AS host, CAST(floor(sec / 86400) AS BIGINT) * 86400 AS window_start, value FROM e),"
+        " n AS (SELECT host, window_start, value, regexp_extract(measurement, '^(.+?)_stats_(.+)_([a-z]+)$', 1) AS service,"
+        " regexp_extract(measurement, '^(.+?)_stats_(.+)_([a-z]+)$', 2) AS statistic, regexp_extract(measurement, '^(.+?)_stats_(.+)_([a-z]+)$', 3) AS what FROM p)"
+        " SELECT host, service, statistic, window_start, min(value) FILTER (what = 'min') AS min, max(value) FILTER (what = 'max') AS max,"
+        " CAST(CAST(CASE WHEN sum(value) FILTER (what = 'samples') > 0 THEN sum(value) FILTER (what = 'sum') / sum(value) FILTER (what = 'samples') END AS FLOAT) AS DOUBLE) AS mean"
+        " FROM n GROUP BY ALL",
+    )
+    def _(spark, sf, server=_server, m=_m):
+        out = Q.service_table(points(spark, sf, [], measurement=m), server, "1 day")
+        return out.withColumn("window_start", F.unix_seconds("window_start")).withColumn("mean", f32("mean"))
+
+
 # ------------------------------------------------------- locks and recovery
 
 _LOCK_TAGS = {"fs_name": "fs_name", "mdt_index": "ost_index", "optype": "mdop"}
@@ -374,6 +394,32 @@ for _m in ("memory", "df_root", "load", "uptime", "users"):
         return summary_flat(Q.gauge_table(points(spark, sf, {"fqdn": "host", "state": "mdop"}, measurement=_SERVER), m, ["fqdn", "state"]))
 
 
+_PLUGIN = "CASE event_type WHEN 'click' THEN 'memory' WHEN 'view' THEN 'df' WHEN 'signup' THEN 'load' WHEN 'error' THEN 'uptime' ELSE 'users' END"
+_PLUGIN_INSTANCE = "CASE WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'root' ELSE 'boot' END ELSE '' END"
+_PARTS = {
+    "click": ("used", "buffered", "cached", "free", "slab_recl", "slab_unrecl", "other"), "view": ("free", "used", "reserved"),
+    "signup": ("shortterm", "midterm", "longterm"),
+}
+_TYPE_INSTANCE = "CASE event_type " + " ".join(
+    f"WHEN '{e}' THEN CASE k % {len(p)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(p)) + " END" for e, p in _PARTS.items()
+) + " ELSE '' END"
+
+
+@query(
+    "server_table",
+    f"WITH {EVENTS_SQL}, p AS (SELECT {_PLUGIN} AS plugin, {_PLUGIN_INSTANCE} AS instance, {_TYPE_INSTANCE} AS part, {DIMENSIONS['host']} AS host, ts, value FROM e),"
+    " r AS (SELECT CASE plugin WHEN 'df' THEN 'root' ELSE plugin END AS panel, host, part, ts, value FROM p WHERE part <> 'other' AND (plugin <> 'df' OR instance = 'root'))"
+    + _summary_sql(["panel", "host", "part"]),
+)
+def _(spark, sf):
+    """Memory by category, load by term, root usage, uptime and users of every server, by identifier and in one scan."""
+    p = events(spark, sf).select(
+        F.expr(DIMENSIONS["host"]).alias("host"), F.expr(_PLUGIN).alias("plugin"), F.expr(_PLUGIN_INSTANCE).alias("plugin_instance"),
+        F.expr(_TYPE_INSTANCE).alias("type_instance"), "ts", "value",
+    )
+    return summary_flat(Q.server_table(p))
+
+
 @query(
     "cluster_status",
     f"WITH {EVENTS_SQL}, l AS (SELECT concat('user', user_id) AS host, arg_max(value, ts) FILTER (event_type = 'view') AS idle, arg_max(value, ts) FILTER (event_type = 'click') AS load,"

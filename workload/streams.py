@@ -122,8 +122,11 @@ def _(spark, sf):
 ARRIVALS = 4
 
 
-def _arrive(spark, sf, run) -> None:
-    """Events arrive one piece of time after the other; ``run(stream)`` starts the query anew for each, on its checkpoint."""
+def _arrive(spark, sf, run, *, shuffled: bool = False) -> None:
+    """Events arrive one piece of time after the other; ``run(stream)`` starts the query anew for each, on its checkpoint.
+
+    ``shuffled``: pieces of any time, so that most points come late.
+    """
     folder = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
     table = load(spark, sf, "events")
     first, last = table.agg(F.min(F.col("ts").cast("timestamp")), F.max(F.col("ts").cast("timestamp"))).first()
@@ -132,6 +135,8 @@ def _arrive(spark, sf, run) -> None:
     span = (last - first).total_seconds() or 1.0
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - F.lit(first.timestamp())
     piece = F.least(F.floor(at / F.lit(span) * ARRIVALS), F.lit(ARRIVALS - 1))
+    if shuffled:
+        piece = F.pmod(F.xxhash64("event_id"), F.lit(ARRIVALS))
     for k in range(ARRIVALS):
         table.where(piece == k).write.parquet(f"{folder}/piece={k}")
         stream = spark.readStream.schema(table.schema).parquet(f"{folder}/piece=*")
@@ -212,3 +217,24 @@ def _(spark, sf):
     _arrive(spark, sf, run)
     out = J.rated_table(spark, f"{folder}/rates")
     return out.select("host", *tag_columns(out, ["mdt_index"]), "plugin", "type_instance", "item", F.unix_seconds("ts").alias("sec"), f32("value").alias("rate"))
+
+
+@query(
+    "stream_late_points",
+    points_sql(["fs_name", "job_id"])
+    + f", w AS (SELECT max(sec) - {SPAN} AS mark FROM p) SELECT fs_name, job_id, CAST(floor(sec / {SPAN}) AS BIGINT) * {SPAN} AS window_start, round(sum(value) / 4, 6) AS sum"
+    f" FROM p, w WHERE measurement = 'click' AND CAST(floor(sec / {SPAN}) AS BIGINT) * {SPAN} + {SPAN} <= mark GROUP BY ALL",
+)
+def _(spark, sf):
+    """Three of four points come late; their windows are computed anew, so the table holds every point."""
+    folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    rollups = [Rollup("click", ("fs_name", "job_id"))]
+
+    def run(stream):
+        p = _points(spark, sf, ["fs_name", "job_id"], stream=stream)
+        places = (f"{folder}/points", rollups, f"{folder}/rollups", f"{folder}/clock", f"{folder}/checkpoint")
+        return J.stream_points(p, *places, delay=SPAN, interval=HOURS, once=True)
+
+    _arrive(spark, sf, run, shuffled=True)
+    out = read_rollups(spark, f"{folder}/rollups")
+    return out.select(*tag_columns(out, ["fs_name", "job_id"]), F.unix_seconds("window_start").alias("window_start"), r6("sum").alias("sum"))
