@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.definitions import MathEntry
-from tallyflow.model import with_series
+from tallyflow.model import has_column, with_series
 
 
 def apply_math(
@@ -26,12 +26,17 @@ def apply_math(
     shuffle serves any number of entries.  An output needs both operands, and a
     ratio over zero has no value.  With ``window`` operands are aligned within
     that span instead of at equal times, which is what a stream needs.
+
+    Where points carry their identifier, operands also agree in plugin and plugin
+    instance, and the derived point is named by them and its entry's type instance.
     """
     operands = sorted({m for e in entries for m in (e.left, e.right)})
     used = points.where(F.col("measurement").isin(*operands))
     feeds = _feeds(entries)[F.col("measurement")].alias("_feeds")
     source, keys = with_series(used, list(by) if by is not None else None)
     keys = [k for k in keys if k != "measurement"]
+    names = [c for c in ("plugin", "plugin_instance") if has_column(points, c) and c not in keys] if by is None else []
+    keys += names
     time = F.window("ts", window).alias("at") if window else F.col("ts").alias("at")
     sides = source.select(*keys, time, "value", feeds)
     sides = sides.select(*keys, "at", "value", F.explode_outer("_feeds").alias("feed")).select(*keys, "at", "value", "feed.*")
@@ -47,10 +52,24 @@ def apply_math(
         (F.col("at.start") if window else F.col("at")).alias("ts"),
         F.lit("gauge").alias("ds_type"),
         value.alias("value"),
+        *([F.lit("gauge").alias("type"), _type_instances(entries).alias("type_instance")] if names else []),
     )
     return out.where(F.col("value").isNotNull())
 
 
+def with_math(points: DataFrame, entries: Sequence[MathEntry], **options) -> DataFrame:
+    """The points and those derived from them, in one table; a derived point lacks what only its operands have.
+
+    Only operands are shuffled, so the points pass by in a scan of their own.  Store text as points first.
+    """
+    return points.unionByName(apply_math(points, entries, **options), allowMissingColumns=True)
+
+
+def _type_instances(entries: Sequence[MathEntry]) -> Column:
+    named = [c for e in entries for c in (F.lit(e.output), F.lit(e.type_instance))]
+    return F.create_map(*named)[F.col("output")]
+
+
 def _feeds(entries: Sequence[MathEntry]) -> Column:
     """Constant map: measurement -> outputs it feeds, with the side it is on."""
     unknown = {e.operation for e in entries} - {"-", "/"}

@@ -8,7 +8,8 @@ not, and on stored tables both prune the scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,42 @@ def _rolled(
     )
 
 
+#: Step, fill and function of the panel that is shown over time just now.
+_OVER_TIME: ContextVar[tuple | None] = ContextVar("_OVER_TIME", default=None)
+
+
+def over_time(panel: Callable[..., DataFrame], step: str, fill: str | float | None = None, fn: str = "mean") -> Callable[..., DataFrame]:
+    """The panel with one value per series and time bucket in place of its table or its points.
+
+    ``over_time(throughput_per_job, "1 minute", "null")(rollups, "fs0", start=...)``; ``fill`` as in ``bucket``.  With
+    bounds, empty buckets span all of them.
+    """
+
+    def shown(*args, **options) -> DataFrame:
+        wanted = (step, fill, fn, options.get("start"), options.get("end"))
+        token = _OVER_TIME.set(wanted)
+        try:
+            out = panel(*args, **options)
+        finally:
+            _OVER_TIME.reset(token)
+        # A panel that gives its points has not been through _table.
+        return out if "bucket" in out.columns else _bucketed(out, [c for c in out.columns if c not in ("ts", "value")], wanted)
+
+    return shown
+
+
+def _bucketed(series: DataFrame, by: Sequence[str], wanted: tuple) -> DataFrame:
+    step, fill, fn, start, end = wanted
+    # ``end`` does not count any more.
+    bounds = {"start": F.lit(start).cast("timestamp") if start else None, "end": F.lit(end).cast("timestamp") - F.expr("interval 1 microsecond") if end else None}
+    return S.bucket(series, step, by, fn=fn, fill=fill, **bounds)
+
+
 def _table(series: DataFrame, by: Sequence[str], column: str = "current") -> DataFrame:
-    """Average, maximum and current per series, largest current first."""
+    """Average, maximum and current per series, largest current first; or buckets, see ``over_time``."""
+    shown = _OVER_TIME.get()
+    if shown is not None:
+        return _bucketed(series, by, shown)
     return S.top(S.series_summary(series, by), column=column, ties=by)
 
 

@@ -28,12 +28,7 @@ def read_snapshots(
     unless ``at`` is given.  With a definition, files whose names it never uses
     are not listed, let alone read.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if definition is not None:
-        names = definition.file_names()
-        if all("/" not in n and "\n" not in n and "|" not in n for n in names):
-            reader = reader.option("pathGlobFilter", "{" + ",".join(names) + "}")
-    files = reader.text(root).select(
+    files = _reader(spark.read, definition).text(root).select(
         F.col("value").alias("content"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_modification_time").alias("_modified"),
@@ -46,13 +41,13 @@ def stream_snapshots(
     root: str,
     *,
     host: str | None = None,
+    definition: Definition | None = None,
     extra_tags: dict[str, str] | None = None,
     layout: str | None = None,
     max_files: int = 10000,
 ) -> DataFrame:
-    """The same rows, continuously, as new files appear below the root."""
-    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
-    files = reader.option("maxFilesPerTrigger", max_files).text(root).select(
+    """The same rows, continuously, as new files appear below the root; with a definition only files it uses."""
+    files = _reader(spark.readStream, definition).option("maxFilesPerTrigger", max_files).text(root).select(
         F.col("value").alias("content"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_modification_time").alias("_modified"),
@@ -60,6 +55,15 @@ def stream_snapshots(
     return _named(files, root, host=host, at=None, extra_tags=extra_tags, layout=layout)
 
 
+def _reader(reader, definition: Definition | None):
+    """A reader of whole files that lists only names which the definition uses."""
+    reader = reader.option("wholetext", True).option("recursiveFileLookup", True)
+    names = [] if definition is None else definition.file_names()
+    if names and all("/" not in n and "\n" not in n and "|" not in n for n in names):
+        reader = reader.option("pathGlobFilter", "{" + ",".join(names) + "}")
+    return reader
+
+
 def _named(files: DataFrame, root: str, *, host, at, extra_tags, layout) -> DataFrame:
     base = root.rstrip("/").split("://", 1)[-1]
     plain = F.regexp_replace(F.url_decode(F.regexp_replace("_file", r"\+", "%2B")), r"^[a-z0-9]+:/*", "/")

@@ -316,6 +316,36 @@ for _server in Q.SERVER_SERVICES:
         return out.withColumn("window_start", F.unix_seconds("window_start")).withColumn("mean", f32("mean"))
 
 
+# ----------------------------------------------------------------- over time
+
+_OVER = ("2024-01-02", "2024-01-05")
+
+
+def _over_sql(by: str, measurement: str, wanted: str, where: str) -> str:
+    """Buckets of four hours from the first to the last of the bounds, empty ones shown, for every series that has any."""
+    lo, hi = (f"epoch(TIMESTAMP '{t}')::BIGINT" for t in _OVER)
+    return (
+        f"{points_sql(['fs_name', 'job_id', 'exp_client', 'optype'], measurement=measurement)}, r AS (SELECT {by}, CAST(floor(sec / {SPAN}) AS BIGINT) * {SPAN} AS bucket, round(sum(value) / 4, 6) AS value"
+        f" FROM p WHERE measurement = '{wanted}' AND fs_name = '{FS}' AND {where} AND sec >= {lo} AND sec < {hi} GROUP BY ALL),"
+        f" s AS (SELECT DISTINCT {by} FROM r), g AS (SELECT {by}, unnest(range({lo}, {hi}, {SPAN})) AS bucket FROM s)"
+        f" SELECT {by}, bucket, value FROM g LEFT JOIN r USING ({by}, bucket)"
+    )
+
+
+for _name, _panel, _by, _r, _where in (
+    ("job", Q.throughput_per_job, "job_id", Rollup("ost_jobstats_bytes", ("fs_name", "job_id"), only=TOTAL_BYTES), "optype IN ('sum_read_bytes', 'sum_write_bytes')"),
+    ("client", Q.throughput_per_client, "exp_client", Rollup("exp_ost_stats_bytes", ("exp_client", "fs_name", "optype")), "optype = 'sum_read_bytes'"),
+):
+
+    @query(f"throughput_per_{_name}_over_time", _over_sql(_by, f"'{_r.measurement}'", _r.measurement, _where))
+    def _(spark, sf, panel=_panel, r=_r, by=_by):
+        """A table panel shown over time, empty buckets too."""
+        rolled = _rolled(spark, sf, ["fs_name", "job_id", "exp_client", "optype"], f"'{r.measurement}'", [r])
+        more = ["sum_read_bytes"] if "optype" in r.tags else []
+        out = Q.over_time(panel, "4 hours", "null", "sum")(rolled, FS, *more, start=_OVER[0], end=_OVER[1])
+        return out.select(by, F.unix_seconds("bucket").alias("bucket"), r6("value").alias("value"))
+
+
 # ------------------------------------------------------- locks and recovery
 
 _LOCK_TAGS = {"fs_name": "fs_name", "mdt_index": "ost_index", "optype": "mdop"}

@@ -17,11 +17,11 @@ from tallyflow.definitions import burst_buffer, disk_array, gpfs, infiniband, lu
 from tallyflow.functions.tags import PROCNAME_UID
 from tallyflow.model import tag_columns
 from tallyflow.operators.extract import ExtendedParse, decimate, drop_stale, extract, match_path
-from tallyflow.operators.metric_math import apply_math
+from tallyflow.operators.metric_math import apply_math, with_math
 from tallyflow.operators.rates import rate
 from tallyflow.operators.rollup import rollup
 from tallyflow.session import shared_folder
-from tallyflow.sources.points import read_points, write_points
+from tallyflow.sources.points import metric_path, read_points, write_points
 from workload.operators import f32, f32_sql, r6
 from workload.registry import query
 from workload.tables import DIMENSIONS, EVENTS_SQL, events
@@ -484,3 +484,16 @@ def _(spark, sf):
     """Items of one file read at different rates: every third day, every second day, every day."""
     points = extract(_md_files(spark, sf), lustre.definition("2.5"), every={"md_stats_open": 3, "md_stats_close": 2}, interval=DAY)
     return flat(points, ["fs_name", "mdt_index", "optype"])
+
+
+@query(
+    "extract_with_math",
+    T_SQL + _CAPACITY + " SELECT 'server/' || fs_name || '-' || ost_index || '-kbytesinfo/gauge-' || kind AS path, day, v::DOUBLE AS value"
+    " FROM (SELECT *, 'kbytestotal' AS kind, total AS v FROM c UNION ALL SELECT *, 'kbytesfree', free FROM c UNION ALL SELECT *, 'kbytesused', total - free FROM c)",
+)
+def _(spark, sf):
+    """Points as they are in the text and those derived from them, all named by their identifier."""
+    d, path = lustre.definition("2.12"), f"{shared_folder(spark)}/points-{uuid.uuid4().hex}"
+    write_points(extract(_capacity_files(spark, sf), d), path)
+    out = with_math(read_points(spark, path), d.math)
+    return out.select(metric_path(out).alias("path"), F.unix_seconds("ts").alias("day"), "value")
