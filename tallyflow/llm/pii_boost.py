@@ -17,6 +17,9 @@ however long a run of digits or letters is.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +54,10 @@ PRECISION, SUPPORT = 0.95, 20
 TREES, LEVELS, RATE = 12, 3, 0.3
 #: Running sums add up this many lengths at a time, so that they stay cheap for any number of matches.
 STRIDE = 128
+#: Steps of a search by halves in an array, enough for any text's spans.
+HALVES = [1 << k for k in range(26, -1, -1)]
+#: Names of spans by number: base kinds, generators, and base-like spans that fail their check and are added all the same.
+NAMES = [*BASE, *MORE, *(f"like_{k}" for k in BASE)]
 
 
 def _passes(kind: str, word: Column) -> Column:
@@ -129,13 +136,14 @@ def candidates(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         return F.transform(blocks, lambda b: total(F.slice(c(f"step_{k}"), b * STRIDE + 1, F.lit(STRIDE))))
 
     df = df.select("*", *[sums(k).alias(f"sum_{k}") for k in KINDS])
+    # What lies before each block is added up once.
+    upto = lambda k: F.transform(f"sum_{k}", lambda _, b: total(F.slice(c(f"sum_{k}"), F.lit(1), b)))
+    df = df.select("*", *[upto(k).alias(f"upto_{k}") for k in KINDS])
 
     def spans(n: int, k: str) -> Column:
         def span(word: Column, i: Column) -> Column:
             block = F.floor(i / STRIDE).cast("int")
-            start = total(F.slice(c(f"sum_{k}"), F.lit(1), block)) + total(
-                F.slice(c(f"step_{k}"), block * STRIDE + 1, i % STRIDE + 1)
-            )
+            start = F.get(c(f"upto_{k}"), block) + total(F.slice(c(f"step_{k}"), block * STRIDE + 1, i % STRIDE + 1))
             return F.struct(
                 start.cast("long").alias("start"),
                 (start + F.length(word)).cast("long").alias("end"),
@@ -146,15 +154,32 @@ def candidates(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
         return F.coalesce(F.transform(c(f"word_{k}"), span), F.array().cast(SPANS))
 
-    return df.select("id", "fold", F.concat(*[spans(n, k) for n, k in enumerate(KINDS)]).alias("found"))
+    df = df.select("id", "fold", *[spans(n, k).alias(f"spans_{k}") for n, k in enumerate(KINDS)])
+    places = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+    return df.select(
+        "id", "fold", F.concat(*[f"spans_{k}" for k in KINDS]).alias("found"),
+        *[F.transform(F.filter(f"spans_{k}", lambda x: x["ok"]), places).alias(f"base_{k}") for k in BASE],
+    )
 
 
 _F = ", ".join(f"{name}: int" for name in FEATURES)
 SPANS = f"array<struct<start: bigint, end: bigint, kind: int, ok: boolean, f: struct<{_F}>>>"
 
 
-def _touches_base(found: Column, x: Column) -> Column:
-    return F.exists(found, lambda b: b["ok"] & (b["start"] < x["end"]) & (x["start"] < b["end"]))
+def _touches_base(x: Column) -> Column:
+    """Whether a span overlaps a base span.
+
+    Base spans of one kind lie apart and in order, so of those that start before the span's end the last one reaches
+    furthest.  It is found by halves.
+    """
+
+    def touches(k: str) -> Column:
+        base = F.col(f"base_{k}")
+        further = lambda n, p: (n + p <= F.size(base)) & (F.get(base, n + p - 1)["start"] < x["end"])
+        n = F.aggregate(F.array(*map(F.lit, HALVES)), F.lit(0), lambda n, p: F.when(further(n, p), n + p).otherwise(n))
+        return F.when(F.size(base) > 0, F.coalesce(F.get(base, n - 1)["end"] > x["start"], F.lit(False))).otherwise(F.lit(False))
+
+    return reduce(or_, map(touches, BASE))
 
 
 def _tree(node, f: Column) -> Column:
@@ -185,7 +210,7 @@ class Ensemble:
 def fit(found: DataFrame) -> Ensemble:
     """Learn from all candidates; a candidate counts as personal if it is or overlaps a base span."""
     outcome = F.transform(
-        "found", lambda x: F.struct(_touches_base(F.col("found"), x).cast("double").alias("label"), x["f"].alias("f"))
+        "found", lambda x: F.struct(_touches_base(x).cast("double").alias("label"), x["f"].alias("f"))
     )
     flat = found.select("fold", F.explode(outcome).alias("x")).select("fold", "x.label", "x.f.*")
     table = checkpointed(flat.groupBy((F.col("fold") == 0).alias("held"), "label", *FEATURES).agg(F.count("*").alias("n")))
@@ -214,14 +239,15 @@ def fit(found: DataFrame) -> Ensemble:
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, base, added, spans = both): arrays of (start, end, kind), by start and then kind as listed; kind is its number
-    in KINDS, places count code points, the end is exclusive."""
+    in NAMES, places count code points, the end is exclusive."""
     found = candidates(docs, id_col, text)
     ensemble = fit(found)
     names = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     base = F.transform(F.filter("found", lambda x: x["ok"]), names)
     if ensemble.thresholds:
-        extra = F.filter("found", lambda x: ensemble.selects(x) & ~_touches_base(F.col("found"), x))
-        added = F.transform(extra, names)
+        extra = F.filter("found", lambda x: ensemble.selects(x) & ~_touches_base(x))
+        kind = lambda x: F.when(x["kind"] < len(BASE), x["kind"] + len(KINDS)).otherwise(x["kind"])
+        added = F.transform(extra, lambda x: F.struct(x["start"].alias("start"), kind(x).alias("kind"), x["end"].alias("end")))
     else:
         added = F.filter(base, lambda x: F.lit(False))
     return found.select("id", base.alias("base"), added.alias("added")).select(

@@ -154,7 +154,7 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_boost.spans(documents(spark, sf_dir))
-    names = F.array(*map(F.lit, pii_boost.KINDS))
+    names = F.array(*map(F.lit, pii_boost.NAMES))
 
     def digest(spans: str):
         part = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])
