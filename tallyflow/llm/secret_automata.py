@@ -4,7 +4,9 @@ Credentials with a known shape (``BASE``) are found by their patterns.  A bounde
 their characters become classes, the class strings become a prefix tree with counts, and states whose futures are
 statistically compatible (Hoeffding bound, red-blue order) are merged until none is left to merge.  A second automaton is
 learned from long ordinary tokens in the same way.  Every candidate token is scored by the log-likelihood ratio of both
-automata per character, and those above the threshold are reported besides the base spans.
+automata per character.  One in ``HELD_OUT`` of either sample does not teach but sets the threshold: credentials there
+stand without the keyword that betrayed them, and the threshold is where they and ordinary tokens are told apart best.
+Candidates from there on are reported besides the base spans.
 
 The texts are read once: base spans and candidates leave it as small rows, which learning and scoring work on.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,9 +40,10 @@ ADDED = "format"
 SAMPLE, ENOUGH = 800, 20
 #: Bound on chance agreement when two states are compared.
 ALPHA = 0.05
-#: Log-likelihood ratio per character (natural logarithm) from which a candidate is reported.
-THRESHOLD = 0.7
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: One in so many labelled words sets the threshold and does not teach.
+HELD_OUT = 4
+#: As long as the shortest credential that a keyword gives away.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 
@@ -156,21 +160,40 @@ class Automaton:
         return total
 
 
+def best_threshold(credentials: list[float], ordinary: list[float]) -> tuple[float, float, float]:
+    """(threshold, recall, precision) of the best F1 over held-out scores; of equal ones the middle of the range."""
+    scores = sorted({*credentials, *ordinary})
+    cuts = [scores[0] - 1, *((a + b) / 2 for a, b in zip(scores, scores[1:])), scores[-1] + 1]
+
+    def rated(cut: float) -> tuple[float, float]:
+        hits, wrong = sum(x >= cut for x in credentials), sum(x >= cut for x in ordinary)
+        return hits / len(credentials), hits / max(1, hits + wrong)
+
+    f1 = lambda x: 2 * x[0] * x[1] / (x[0] + x[1] or 1)
+    best = max(f1(rated(c)) for c in cuts)
+    tied = [c for c in cuts if f1(rated(c)) == best]
+    return tied[len(tied) // 2], *rated(tied[len(tied) // 2])
+
+
 class Formats:
-    """Scores candidates: credential automaton against ordinary one."""
+    """Scores candidates: credential automaton against ordinary one, with a threshold from held-out words."""
 
     def __init__(self, credentials: list[str], ordinary: list[str]) -> None:
-        self.ready = min(len(credentials), len(ordinary)) >= ENOUGH
+        held = lambda w: zlib.crc32(w.encode()) % HELD_OUT == 0
+        teach = [[w for w in words if not held(w)] for words in (credentials, ordinary)]
+        apart = [[w for w in words if held(w)] for words in (credentials, ordinary)]
+        self.ready = min(map(len, teach)) >= ENOUGH and min(map(len, apart)) > 0
         if self.ready:
-            self.credential = Automaton([classes(w) for w in credentials])
-            self.ordinary = Automaton([classes(w) for w in ordinary])
+            self.credential, self.ordinary = (Automaton([classes(w) for w in words]) for words in teach)
+            self.threshold, self.recall, self.precision = best_threshold(*([self.score(w) for w in words] for words in apart))
 
     def score(self, word: str) -> float:
-        if not self.ready:
-            return -math.inf
         form = classes(word)
         return (self.credential.log_likelihood(form) - self.ordinary.log_likelihood(form)) / (len(form) + 1)
 
+    def reports(self, word: str) -> bool:
+        return self.ready and self.score(word) >= self.threshold
+
 
 SPAN = "array<struct<kind: string, start: bigint, end: bigint, word: string>>"
 
@@ -216,7 +239,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         formats = received(shared)
         for batch in batches:
             more = [
-                [x for x in row if formats.score(x["word"]) >= THRESHOLD] if row else [] for row in batch.column(2).to_pylist()
+                [x for x in row if formats.reports(x["word"])] if row else [] for row in batch.column(2).to_pylist()
             ]
             column = pa.array(more, batch.schema.field(2).type)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], ["id", "base", "added"])

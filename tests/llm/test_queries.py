@@ -203,3 +203,43 @@ def test_quality_votes(spark):
 def test_registered_once():
     assert set(corpus_pipeline.QUERIES) == {"pipeline"} and not set(Q.QUERIES) & {"pipeline"}
     assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
+
+
+def test_credentials_without_a_keyword_are_found_by_their_format(spark, tmp_path):
+    import random
+
+    from tallyflow.llm import secret_automata as A
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    credential = lambda: "".join(rng.choice(letters) for _ in range(24))
+    word = lambda: "".join(rng.choice(("ther", "ing", "ation", "ent", "ser", "ver")) for _ in range(5))
+    docs = [(k, f"{sentence(k, 5)} token={credential()} {word()} {word()}") for k in range(300)]
+    bare = {1000 + k: credential() for k in range(40)}
+    docs += [(k, f"{sentence(k, 5)} {w} {word()} {sentence(k + 1, 5)}") for k, w in bare.items()]
+    folder = write_tables(spark, tmp_path, spark.createDataFrame(docs, "doc_id bigint, text string"))
+    formats = A.fit(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").transform(
+        lambda df: df.mapInArrow(A._found, f"id bigint, base {A.SPAN}, more {A.SPAN}")))
+    assert formats.recall > 0.95 and formats.precision > 0.95
+    found = {r.doc_id: r.spans for r in Q.op4_secret_automata(spark, folder).collect()}
+    text = dict(docs)
+    hits = sum(f"format:{text[k].index(w)}:{text[k].index(w) + 24}" in found[k] for k, w in bare.items())
+    assert hits >= 38 and sum(s.count("format") for s in found.values()) <= hits + 2
+
+
+def test_the_threshold_tells_held_out_words_apart():
+    from tallyflow.llm.secret_automata import best_threshold
+
+    assert best_threshold([3, 4, 5], [-2, -1, 0]) == (1.5, 1.0, 1.0)
+    threshold, recall, precision = best_threshold([1, 2, 3, -1], [0, -1, -2])
+    assert recall == 0.75 and precision == 1.0 and 0 < threshold < 1
+
+
+def test_merged_states_are_those_of_a_plain_count():
+    from tallyflow.llm.secret_automata import Automaton
+
+    a = Automaton(["ab" * n for n in range(1, 40)] * 3)
+    assert len({id(s) for s in a.next}) >= 2 and a.log_likelihood("abab") > a.log_likelihood("abba") > -60
+    # What a merged automaton gives to all strings of up to two symbols adds up to one at most.
+    total = sum(math.exp(a.log_likelihood(w)) for w in ("", "a", "b", "aa", "ab", "ba", "bb"))
+    assert 0 < total <= 1.0001
