@@ -367,3 +367,67 @@ def test_no_lambda_and_no_codegen_failure_in_the_hot_path(spark):
     snap = snapshots(spark, {f"{MD}/md_stats": counter_file({"open": 1})})
     plan = E.extract(snap, lustre.definition("2.12"))._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def path_of(template, **made):
+    for name, value in {"fs_name": "fs1", "mdt_index": "MDT0003", "ost_index": "OST0007", **made}.items():
+        template = template.replace(f"{{{name}}}", value)
+    return template
+
+
+@pytest.mark.parametrize("release", sorted(lustre.RELEASES))
+def test_every_release_reads_its_own_files(spark, release):
+    """Counter lines, histograms, quota and single numbers where and as each release writes them."""
+    r, d = lustre.RELEASES[release], lustre.definition(release)
+    entries = {e.path: e for e in d.entries}
+    ops = {op: 10 + k for k, op in enumerate(r.md_ops)}
+    timed = {op: (n, 1, 9, 5 * n, 25 * n) for op, n in ops.items()}
+    files = {path_of(r.md_stats): timed_file(timed) if r.timed else counter_file(ops)}
+    stats = next(p for p in entries if p.endswith("/stats") and "obdfilter" in p and "exports" not in p)
+    ost_ops = {op: 20 + k for k, op in enumerate(lustre.OST_OPS)}
+    bytes_lines = "read_bytes                7 samples [bytes] 4096 1048576 70\nwrite_bytes               8 samples [bytes] 4096 1048576 80\n"
+    timed_ops = {op: (n, 1, 9, 5 * n, 25 * n) for op, n in ost_ops.items()}
+    files[path_of(stats)] = (timed_file(timed_ops) if r.timed else counter_file(ost_ops)) + bytes_lines
+    kind = "block_discontiguous_rpc"
+    rows = {"1": (5, 50, 50, 6, 60, 60), "4K": (7, 50, 100, 8, 40, 100)}
+    files[path_of(r.bulk)] = bulk_file({"pages per bulk r/w": rows, "discontiguous blocks": rows})
+    quota = [(p, e) for p, e in entries.items() if p.endswith("acct_user")]
+    for k, (p, _) in enumerate(quota):
+        files[path_of(p)] = quota_file({"0": (k + 1, k + 100), "500": (2, 3)})
+    numbers = {p: 1000 + k for k, p in enumerate(p for p, e in entries.items() if e.items[0].pattern == "(.+)" and {*e.variables} <= {"fs_name", "mdt_index", "ost_index"})}
+    files |= {path_of(p): f"{n}\n" for p, n in numbers.items()}
+    out = E.extract(snapshots(spark, files), d).cache()
+
+    assert values(out, "md_stats", "optype") == ops
+    if r.timed:
+        assert values(out, "md_stats_sum", "optype") == {op: 5 * n for op, n in ops.items()}
+        assert values(out, "ost_stats_max_latency", "optype") == {op: 9 for op in ost_ops}
+    assert values(out, "ost_stats_samples", "optype") == {**ost_ops, "read": 7, "write": 8}
+    assert values(out, "ost_stats_bytes", "optype") == {"read": 70, "write": 80}
+    pages = values(out, "ost_brw_stats_rpc_bulk_samples", "field", "size")
+    assert pages == {("read_sample", "1_pages"): 5, ("write_sample", "1_pages"): 6, ("read_sample", "4K_pages"): 7, ("write_sample", "4K_pages"): 8}
+    name, unit = ("blk_discontiguous_rpc", "blks") if r.old_block_names else (kind, "blocks")
+    shares = values(out, f"ost_brw_stats_{name}_percentage", "field", "size")
+    assert shares[("write_percentage", f"4K_{unit}")] == 40 and len(shares) == 4
+    seen = {(row.measurement, row.tags["user_id"], row.tags["optype"], row.value) for row in out.where("measurement LIKE '%acctuser%'").collect()}
+    assert len(seen) >= (6 if len(quota) >= 2 else 4 if quota else 0)
+    got = sorted(row.value for row in out.where("field NOT LIKE '%usage%' AND value >= 1000").collect())
+    assert got == sorted(float(n) for n in numbers.values())
+
+
+@pytest.mark.parametrize("version", sorted(disk_array.RELEASES))
+def test_every_disk_array_release_reads_its_report(spark, version):
+    zeros = lambda n: [0] * n
+    wide = version == "11.6"
+    text = disk_report(
+        "Physical",
+        {"5": ([9, 18, 2, 0, 0, 12, 6] + [1] * wide, zeros(7 + wide))},
+        {rw: {"5": [3] + zeros(12)} for rw in ("Read", "Write")},
+        {rw: {"5": zeros(11) + [4]} for rw in ("Read", "Write")},
+        unmap={"5": ((5, 6), (7, 8))} if wide else None,
+    )
+    p = E.extract(snapshots(spark, {"show pd c all": text}), disk_array.definition(version)).cache()
+    rate = values(p, "pd_rate", "controller", "type")
+    assert rate[("0", "iops")] == 9 and rate[("0", "W_KiBps")] == 6 and rate[("1", "R_KiBps")] == 0
+    assert values(p, "pd_latency", "type", "latency")[("write", "avg")] == 3
+    assert values(p, "pd_iosize", "type", "iosize")[("read", "gt4MiB")] == 4
