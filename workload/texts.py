@@ -383,6 +383,54 @@ def _(spark, sf):
     return shown.select("measurement", "host", t["disk_index"].alias("disk_index"), owner.alias("controller"), kind.alias("kind"), F.unix_seconds("ts").alias("day"), "value")
 
 
+def _columns_sql(measurement: str, owner: str, columns, value: str) -> str:
+    """One row per column of a table, the n-th with ``value`` + n."""
+    names, places = list(columns), list(range(len(columns)))
+    return f"SELECT '{measurement}' AS measurement, host, disk_index, '{owner}' AS owner, unnest({names}) AS kind, day, ({value} + unnest({places}))::DOUBLE AS value FROM d"
+
+
+@query(
+    "extract_every_column",
+    T_SQL + _DISKS + " " + " UNION ALL ".join([
+        _columns_sql("vd_latency", "read", disk_array.LATENCY_COLUMNS["vd"], "n"),
+        _columns_sql("vd_latency", "write", disk_array.LATENCY_COLUMNS["vd"], "n * 100"),
+        _columns_sql("vd_iosize", "read", disk_array.SIZE_COLUMNS, "n * 2000"),
+        _columns_sql("vd_iosize", "write", disk_array.SIZE_COLUMNS, "n * 30000"),
+        _columns_sql("vd_qdepth", "0", disk_array.DEPTH_COLUMNS, "a"),
+        _columns_sql("vd_qdepth", "1", disk_array.DEPTH_COLUMNS, "b * 100"),
+        _columns_sql("vd_rate", "0", disk_array.RATE_COLUMNS, "a * 7"),
+        _columns_sql("vd_rate", "1", disk_array.RATE_COLUMNS, "b * 9"),
+    ]),
+)
+def _(spark, sf):
+    """Every column of every table of a disk report holds another number, so a column read as its neighbour shows."""
+    count = lambda c: F.count(F.when(F.col("controller") == c, 1))
+    per = tagged(spark, sf).groupBy("host", "disk_index", "day").agg(count("0").alias("a"), count("1").alias("b"), F.count("*").alias("n"))
+    cells = lambda value, columns: ", ".join(f"lpad({value} + {k}, 12, ' ')" for k in range(len(columns)))
+    row = lambda *parts: "'    ', disk_index, " + ", '|', ".join(parts) + (", '|\n'" if len(parts) > 1 else ", ' \n'")
+    latency, size = disk_array.LATENCY_COLUMNS["vd"], disk_array.SIZE_COLUMNS
+    tables = {
+        "Counters": row(cells("a * 7", disk_array.RATE_COLUMNS), cells("b * 9", disk_array.RATE_COLUMNS)),
+        "Read Latency": row(cells("n", latency)), "Write Latency": row(cells("n * 100", latency)),
+        "Read IO Size": row(cells("n * 2000", size)), "Write IO Size": row(cells("n * 30000", size)),
+        "Qdepth": row(cells("a", disk_array.DEPTH_COLUMNS)), "Qdepth ": row(cells("b * 100", disk_array.DEPTH_COLUMNS)),
+    }
+    names = {title: f"_t{k}" for k, title in enumerate(tables)}
+    grouped = per.groupBy("host", "day").agg(
+        *[F.array_join(F.array_sort(F.collect_list(F.expr(f"concat({line})"))), "").alias(names[t]) for t, line in tables.items()]
+    )
+    content = ", ".join(f"'Virtual Disk {t.strip()}:  Elapsed time = 1.2 seconds\n  Idx ...\n------\n', {names[t]}, '\n'" for t in tables)
+    snap = grouped.select(
+        F.lit("collector").alias("host"), F.lit("show vd c all").alias("path"), F.col("day").alias("collected_at"),
+        F.expr(f"concat({content})").alias("content"), F.create_map(F.lit("extrahost"), "host").alias("extra_tags"),
+    )
+    points = extract(snap, disk_array.definition("11.0"))
+    t = F.col("tags")
+    kind = F.coalesce(t["latency"], t["iosize"], t["qdepth"], t["type"])
+    owner = F.when(F.col("measurement").isin("vd_rate", "vd_qdepth"), t["controller"]).otherwise(t["type"])
+    return points.select("measurement", "host", t["disk_index"].alias("disk_index"), owner.alias("owner"), kind.alias("kind"), F.unix_seconds("ts").alias("day"), "value")
+
+
 # ----------------------------------------------------- other systems' output
 
 
