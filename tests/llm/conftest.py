@@ -38,7 +38,9 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def write_tables(spark, folder, docs, labels=(), benchmark=()):
+def write_tables(spark, folder, docs, labels=(), benchmark=(), conversations=()):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    spark.createDataFrame(list(conversations), schema).write.parquet(f"{folder}/conversations.parquet")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(benchmark), "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
