@@ -19,7 +19,8 @@ put through the hash one after the other, as a stream.
 Defined cases: null roles and texts are empty; turns of equal number go by role and text; rows without a conversation's id
 belong to none and are left out; repeated rows are turns of their own; a conversation may be turnless once rebuilt; an
 empty table gives an empty result; other columns are not read.  Texts stay where they are numbered: past that a turn is
-24 bytes, and one conversation's turns are one row.
+24 bytes.  Of a conversation GATHERED turns and one more are one row, and all of them only where another conversation
+begins with the same GATHERED turns.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from tallyflow.llm.common import checkpointed
 
 #: Bytes of a turn in a sequence.
 TURN = 16
+#: Turns of a conversation that are gathered in any case.
+GATHERED = 4096
 #: Conversations and turns that a block holds (one more conversation if it is longer).
 BLOCK_ROWS, BLOCK_TURNS = 4096, 1 << 18
 
@@ -50,37 +53,64 @@ def numbered(conversations: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     # The role's length keeps role and text apart.
-    turn = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))
+    turn = F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
     return rows.select("conv_id", F.row_number().over(order).alias("pos"), turn.alias("turn"), F.length("text").alias("chars"))
 
 
-def sequences(turns: DataFrame) -> DataFrame:
+def rebuilt(conversations: DataFrame, family: int = 100, shared: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Conversations (conv_id, size), and their turns (conv_id, pos, turn, chars): the first h turns of the family's first
+    conversation, then the own ones after the first h.
+
+    A family is ``family`` ids in a row; h is crc32 of the id's decimals modulo ``shared``.
+    """
+    c = F.col
+    turns = checkpointed(numbered(conversations))
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("own"))
+    # At most ``family`` conversations meet a head, and a head brings at most ``shared`` - 1 turns.
+    heads = turns.where((c("conv_id") % family == 0) & (c("pos") < shared)).withColumnRenamed("conv_id", "head")
+    known = sizes.where(c("conv_id") % family == 0).select(c("conv_id").alias("head"), c("own").alias("head_size"))
+    h = (F.crc32(c("conv_id").cast("string")) % shared).cast("int")
+    convs = sizes.withColumns({"h": h, "head": c("conv_id") - c("conv_id") % family}).join(known, "head", "left")
+    convs = convs.withColumn("first", F.least("h", F.coalesce("head_size", F.lit(0))).cast("int"))
+    convs = checkpointed(convs.select("conv_id", "head", "h", "first", (c("first") + F.greatest(c("own") - c("h"), F.lit(0))).alias("size")))
+    before = convs.join(heads, "head").where(c("pos") <= c("first")).select("conv_id", "pos", "turn", "chars")
+    own = turns.join(convs, "conv_id").where(c("pos") > c("h")).select("conv_id", (c("pos") - c("h") + c("first")).alias("pos"), "turn", "chars")
+    return convs.select("conv_id", "size"), before.unionByName(own)
+
+
+def gathered(turns: DataFrame) -> DataFrame:
     """(conv_id, turns): an array of (pos, turn, chars) in order."""
-    gathered = F.array_sort(F.collect_list(F.struct("pos", "turn", "chars")))
-    return turns.groupBy("conv_id").agg(gathered.alias("turns"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "turn", "chars"))).alias("turns"))
 
 
-def rebuilt(conversations: DataFrame, family: int = 100, shared: int = 6) -> DataFrame:
-    """(conv_id, turns): the first h turns of the family's first conversation, then the own ones after the first h.
+def split(convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences (conv_id, turns) for the trie, and the turns that are left over.
 
-    A family is ``family`` ids in a row; h is crc32 of the id's decimals modulo ``shared``.
+    A conversation of more than GATHERED turns whose first GATHERED no other one has branches off no later than there:
+    what follows is a chain of its own.  One more turn of it goes into the trie, the others stay rows and are never
+    gathered.  Only conversations that begin like another for so long are gathered as a whole.
     """
-    own = sequences(numbered(conversations))
-    h = (F.crc32(F.col("conv_id").cast("string")) % shared).cast("int")
-    head = F.col("conv_id") - F.col("conv_id") % family
-    # At most ``family`` conversations meet a head, and a head brings at most ``shared`` - 1 turns.
-    heads = own.where(F.col("conv_id") % family == 0).select(
-        F.col("conv_id").alias("head"), F.slice("turns", 1, shared - 1).alias("first")
-    )
-    joined = own.withColumns({"h": h, "head": head}).join(heads, "head", "left")
-    first = F.coalesce(F.slice("first", F.lit(1), F.col("h")), F.array().cast(own.schema["turns"].dataType))
-    rest = F.slice("turns", F.col("h") + 1, F.size("turns"))
-    return joined.select("conv_id", F.concat(first, rest).alias("turns"))
+    c = F.col
+    short = gathered(turns.where(c("pos") <= GATHERED + 1))
+    sequences = convs.select("conv_id").join(short, "conv_id", "left")
+    empty = F.array().cast(short.schema["turns"].dataType)
+    sequences = sequences.select("conv_id", F.coalesce("turns", empty).alias("turns"))
+    long = convs.where(c("size") > GATHERED + 1)
+    if long.isEmpty():
+        return sequences, turns.where("false").select("conv_id", "pos", F.lit(0).cast("bigint").alias("size"))
+    sequences = checkpointed(sequences)
+    start = F.sha2(F.array_join(F.transform(F.slice("turns", 1, GATHERED), lambda t: F.hex(t["turn"])), ""), 256)
+    starts = sequences.where(F.size("turns") > GATHERED).select("conv_id", start.alias("start"))
+    alone = starts.groupBy("start").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id")).where("n = 1")
+    chains = checkpointed(long.join(alone.select("conv_id"), "conv_id", "left_semi"))
+    whole = long.join(chains.select("conv_id"), "conv_id", "left_anti").select("conv_id")
+    sequences = sequences.join(whole, "conv_id", "left_anti").unionByName(gathered(turns.join(whole, "conv_id", "left_semi")))
+    return sequences, turns.where(c("pos") > GATHERED).join(chains, "conv_id").select("conv_id", "pos", "size")
 
 
 def sorted_sequences(convs: DataFrame) -> DataFrame:
     """(conv_id, sequence, chars), written in the order of sequences, equal ones by id."""
-    codes = F.unhex(F.array_join(F.col("turns.turn"), "")).alias("sequence")
+    codes = F.unhex(F.array_join(F.transform("turns", lambda t: F.hex(t["turn"])), "")).alias("sequence")
     rows = checkpointed(convs.select("conv_id", codes, F.col("turns.chars").alias("chars")))
     # The id is part of the range, so copies of one conversation are dealt to many tasks.
     return checkpointed(rows.repartitionByRange("sequence", "conv_id").sortWithinPartitions("sequence", "conv_id"))
@@ -294,9 +324,10 @@ def hashes_of_parts(parts: DataFrame) -> DataFrame:
     return ordered.select("key", "ids").mapInArrow(run, "key binary, streamed string")
 
 
-def trie(convs: DataFrame) -> DataFrame:
-    """The nodes of conversations (conv_id, turns), one row each."""
-    made = checkpointed(partial_nodes(sorted_sequences(convs)))
+def trie(conversations: DataFrame, family: int = 100, shared: int = 6) -> DataFrame:
+    """The nodes of the rebuilt conversations, one row each."""
+    sequences, rest = split(*rebuilt(conversations, family, shared))
+    made = checkpointed(partial_nodes(sorted_sequences(sequences)))
     whole = made.where("part IS NULL")
     sums = [F.sum(c).alias(c) for c in ("n_convs", "saved_tokens", "n_leaves")]
     # Only nodes on a block's edges come in more than one row.
@@ -307,7 +338,20 @@ def trie(convs: DataFrame) -> DataFrame:
     parents = nodes.select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     found = nodes.join(ends, "key", "left").join(streamed, "key", "left").join(children, "key", "left").join(parents, "parent", "left")
     nobody: Column = F.sha2(F.lit(""), 256)
-    return found.select(
+    of_trie = found.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).cast("bigint").alias("n_children"),
         "n_leaves", "saved_tokens", F.coalesce("ends", "streamed", nobody).alias("ends_sha256"),
     )
+    # A chain's first turn is in the trie as if it were its end; the rest of the chain has one member and no branch.
+    opens = rest.where(F.col("pos") == GATHERED + 1).select("conv_id", F.col("pos").cast("bigint").alias("depth"), F.lit(True).alias("goes_on"))
+    of_trie = of_trie.join(opens, ["conv_id", "depth"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", F.when(F.col("goes_on"), F.lit(1)).otherwise(F.col("n_children")).cast("bigint").alias("n_children"),
+        "n_leaves", "saved_tokens", F.when(F.col("goes_on"), nobody).otherwise(F.col("ends_sha256")).alias("ends_sha256"),
+    )
+    one, none, last = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.col("pos") == F.col("size")
+    chains = rest.where(F.col("pos") > GATHERED + 1).select(
+        "conv_id", F.col("pos").cast("bigint").alias("depth"), F.col("conv_id").alias("parent_conv_id"), one.alias("n_convs"),
+        F.when(last, none).otherwise(one).alias("n_children"), one.alias("n_leaves"), none.alias("saved_tokens"),
+        F.when(last, F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(nobody).alias("ends_sha256"),
+    )
+    return of_trie.unionByName(chains)

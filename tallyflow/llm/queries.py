@@ -241,7 +241,7 @@ def op11_packing(spark: SparkSession, sf_dir: str, tokenizer: str = WORDS) -> Da
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str, first: str = TOKENIZER, second: str = PIECES) -> DataFrame:

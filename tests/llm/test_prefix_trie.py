@@ -72,10 +72,11 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("block", [1, 3, prefix_trie.BLOCK_ROWS])
+@pytest.mark.parametrize("block, most", [(1, 2), (3, 40), (3, 0), (prefix_trie.BLOCK_ROWS, prefix_trie.GATHERED)])
 @pytest.mark.parametrize("case", CASES)
-def test_nodes(spark, tmp_path, monkeypatch, case, block):
+def test_nodes(spark, tmp_path, monkeypatch, case, block, most):
     monkeypatch.setattr(prefix_trie, "BLOCK_ROWS", block)
+    monkeypatch.setattr(prefix_trie, "GATHERED", most)
     if block > 3:
         monkeypatch.setattr(prefix_trie, "BLOCK_TURNS", 50)
     rows = made(CASES[case])
