@@ -229,8 +229,8 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = docs.where(~held_out)
     tree = context_tree.fit(context_tree.counted(training))
     scores = context_tree.score(docs, tree, keep=("doc_id", "text"))
-    found = unigram.scored(scores, training, keep=("doc_id", "score"))
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = unigram.scored(scores, training, keep=("doc_id", "score", "bits_per_byte"))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op11_packing(spark: SparkSession, sf_dir: str, tokenizer: str = WORDS) -> DataFrame:

@@ -190,7 +190,8 @@ def test_word_model_and_tree_scores(spark, texts):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(words), n)
         assert r.n_known == sum(counts[w] > 0 for w in words) and r.base_score == pytest.approx(base)
-        assert r.score < 0
+        n_bytes = len((texts[r.doc_id] or "").encode()) + 1
+        assert r.score < 0 and r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / n_bytes)
 
 
 def test_quality_votes(spark):
