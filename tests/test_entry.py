@@ -14,7 +14,9 @@ SAMPLE = (
     "select_points", "metric_path", "points_sink_round_trip", "counter_rate", "math_ratio", "rollup_by_user",
     "rollup_catalog", "route_chain", "bucket_previous_fill", "top_series", "distribution_cumulative",
     "host_status", "missing_series", "throughput_per_user", "disk_histogram_pd_latency_read",
-    "extract_with_rules", "extract_sections", "drop_stale", "stream_rate",
+    "extract_with_rules", "extract_sections", "drop_stale", "stream_rate", "extract_with_math", "extract_every_column",
+    "extract_at_item_rates", "route_job_sums", "service_table_mds", "server_table", "tag_catalog",
+    "throughput_per_job_over_time", "stream_latest_merged", "stream_extract_rates", "stream_throughput_per_job",
 )
 
 
