@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -34,3 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="tallyflow-")
+
+
+def few_files(rows: DataFrame, by: Sequence[str], within: Sequence[Column | str]) -> DataFrame:
+    """Rows dealt so that each task writes to few partitions of a table partitioned ``by`` these columns.
+
+    Rebalancing needs adaptive execution.  A stream with state has none, and there the hint does nothing: every task would
+    write a file for every partition.  Such rows are dealt by ranges instead, which ``within`` lets split a large partition.
+    """
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return rows.hint("rebalance", *by)
+    return rows.repartitionByRange(*by, *within)

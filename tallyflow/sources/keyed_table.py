@@ -19,6 +19,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.session import few_files
+
 #: Versions that stay for readers which are still at them.
 KEPT_VERSIONS = 4
 BUCKET = "_bucket"
@@ -92,9 +94,8 @@ class KeyedTable:
                     new = fresh.where(F.col(BUCKET).isin(open_))
                     old = self.rows_of(base, open_)
                     both = new if old is None else new.unionByName(self.bucketed(old, keys, base))
-                    combined(both.drop(BUCKET)).transform(self.bucketed, keys, base).hint("rebalance", BUCKET).write.partitionBy(
-                        BUCKET
-                    ).parquet(f"{self.path}/data/{folder}")
+                    merged = combined(both.drop(BUCKET)).transform(self.bucketed, keys, base)
+                    few_files(merged, [BUCKET], keys).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{folder}")
                     written |= {b: folder for b in open_}
                 after = Manifest(base.version + 1, base.buckets, base.folders | written, base.jobs if job is None else base.jobs | {job: batch})
                 if self._create_once(self._manifest(after.version), after.text()):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.model import series_key, tag
+from tallyflow.session import few_files
 
 #: Tags that get a real column on disk, so filters on them reach the scan.
 HOT_TAGS = ("fs_name",)
@@ -20,11 +21,15 @@ def write_points(points: DataFrame, path: str, *, hot_tags: Sequence[str] = HOT_
     partitions are merged into few files, and one that holds a large share of
     all rows is split over several tasks instead of passing through one.
     """
-    stored_points(points, hot_tags).hint("rebalance", "measurement", "date").sortWithinPartitions(
+    _dealt(stored_points(points, hot_tags)).sortWithinPartitions(
         "measurement", "date", *hot_tags
     ).write.mode(mode).partitionBy("measurement", "date").parquet(path)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return few_files(rows, ["measurement", "date"], [series_key(rows)])
+
+
 def stored_points(points: DataFrame, hot_tags: Sequence[str] = HOT_TAGS) -> DataFrame:
     """Points with the columns they are stored with."""
     added = [t for t in hot_tags if t not in points.columns]
@@ -117,7 +122,7 @@ def read_rollups(spark: SparkSession, path: str) -> DataFrame:
 
 def write_rollup(rolled: DataFrame, path: str, *, hot_tags: Sequence[str] = HOT_TAGS, mode: str = "append") -> None:
     """Append rollup rows to the rollup table, partitioned by measurement and date."""
-    stored_rollups(rolled, hot_tags).hint("rebalance", "measurement", "date").sortWithinPartitions(
+    _dealt(stored_rollups(rolled, hot_tags)).sortWithinPartitions(
         "measurement", "date", *hot_tags
     ).write.mode(mode).partitionBy("measurement", "date").parquet(path)
 
@@ -137,7 +142,7 @@ def replace_rollup(spark: SparkSession, rolled: DataFrame, path: str, *, hot_tag
     old = read_rollups(spark, path).select(*new.columns)
     touched = old.join(windows.select("measurement", "date").distinct(), ["measurement", "date"], "left_semi")
     others = touched.join(windows, ["measurement", "date", "window_start"], "left_anti").select(*new.columns)
-    others.unionByName(new).hint("rebalance", "measurement", "date").sortWithinPartitions(
+    _dealt(others.unionByName(new)).sortWithinPartitions(
         "measurement", "date", *hot_tags
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("measurement", "date").parquet(path)
 

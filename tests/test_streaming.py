@@ -224,3 +224,18 @@ def test_tag_catalog(spark, tmp_path):
     assert [r.job for r in tag_catalog.listed_values(table, "m", "job", start="2024-01-03", end="2024-01-04").collect()] == ["j2", "j3"]
     listed = {r.tag: (r.n_values, r.first_day.day, r.last_day.day) for r in tag_catalog.listed_tags(table).collect()}
     assert listed == {"fqdn": (2, 1, 6), "job": (6, 1, 6)}
+
+
+def test_batches_without_adaptive_execution_write_few_files(spark, tmp_path):
+    """Every task used to write a file for every measurement of a stateful stream's batch."""
+    data = [(f"m{k % 20}", "h", {"job": f"j{k}"}, T0 + dt.timedelta(seconds=k), "gauge", float(k)) for k in range(400)]
+    spark.createDataFrame(data, POINT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    # A point of a much later day closes all windows before it.
+    last = [("m0", "h", {"job": "j"}, T0 + dt.timedelta(days=9), "gauge", 0.0)]
+    spark.createDataFrame(last, POINT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(POINT_SCHEMA).parquet(str(tmp_path / "in"))
+    rollups = [U.Rollup(f"m{k}", ("job",)) for k in range(20)]
+    query = J.stream_rollups(stream, rollups, str(tmp_path / "table"), str(tmp_path / "cp"), once=True)
+    assert query.awaitTermination(60)
+    assert P.read_rollups(spark, str(tmp_path / "table")).count() == 400
+    assert len(list((tmp_path / "table").glob("*/*/*.parquet"))) <= 20 + 4  # one for each measurement, and where tasks meet
