@@ -71,7 +71,13 @@ def stream_math(
     return apply_math(timed, entries, by, window=f"{interval} seconds")
 
 
-_RATE_STATE = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("at", T.DoubleType())])
+#: Hashes that stand for a series in tables and states of last readings.
+_SERIES = ["_key", "_key_too"]
+#: The last readings of a bucket's series, one element for each.
+_LAST = {"_key": "int64", "_key_too": "int64", "last_value": "float64", "last_at": "float64"}
+_RATE_STATE = T.StructType(
+    [T.StructField(n, T.ArrayType(T.LongType() if kind == "int64" else T.DoubleType())) for n, kind in _LAST.items()]
+)
 
 
 def stream_rate(
@@ -83,9 +89,14 @@ def stream_rate(
     interval: float = 60.0,
     watermark: str | None = None,
     ttl_seconds: int | None = None,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Per-second rates of counters, with the last reading kept per series.
 
+    Series are dealt to ``buckets`` by a hash, and a bucket's series go through Python together, so a batch costs what its
+    rows cost and nothing for each series.  A bucket's state is the last readings of all its series; it is written anew
+    in a batch that has points of any of them.  The number of buckets must stay the same for a checkpoint.
+
     As in ``rate``, only ``derive`` points that do not reset when read are
     counters; all others pass through, and a ``first_value`` column gives a new
     series its first rate.  With ``ttl_seconds`` a series that is silent for so
@@ -121,30 +132,40 @@ def stream_rate(
         *[F.col(n).cast("string").alias(n) for n in names], "ts", epoch_seconds("ts").alias("at"), "value", "first"
     )
 
+    hashes = [c.alias(n) for c, n in zip(series_hashes(readings, names), _SERIES)]
+    dealt = readings.select("*", *hashes).withColumn(BUCKET, F.pmod("_key", F.lit(buckets)))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last = pd.DataFrame(dict(zip(_LAST, state.get)) if state.exists else {n: [] for n in _LAST}).astype(_LAST)
+        touched = last.iloc[:0]
+        if not state.hasTimedOut:
+            rows = pd.concat([b[[*names, *_SERIES, "at", "value", "first"]] for b in batches])
+            touched = rows[_SERIES].drop_duplicates()
+            rows = rows.merge(last.assign(seen=True), on=_SERIES, how="left")
+            rows = rows[rows["seen"].isna() | (rows["at"] > rows["last_at"])].sort_values([*_SERIES, "at", "value"])
+            if len(rows):
+                rate = _rates(rows, on_reset, interval)
+                newest = rows.drop_duplicates(_SERIES, keep="last")[[*_SERIES, "value", "at"]].set_axis([*_LAST], axis=1)
+                last = pd.concat([last, newest]).drop_duplicates(_SERIES, keep="last").astype(_LAST)
+                known = ~np.isnan(rate)
+                yield rows.loc[known, [*names, "at"]].assign(value=rate[known])
+        if ttl_seconds is not None:
+            # A series with points in this batch stays; of the others those that were silent for too long go.
+            now, until = state.getCurrentWatermarkMs(), (last["last_at"] + ttl_seconds) * 1000
+            here = pd.MultiIndex.from_frame(last[_SERIES]).isin(pd.MultiIndex.from_frame(touched[_SERIES]))
+            stays = here | ~(np.floor(until) < now)
+            last, until = last[stays], until[stays]
+        if len(last):
+            state.update(tuple(last[n].tolist() for n in _LAST))
+            if ttl_seconds is not None and until.notna().any():
+                state.setTimeoutTimestamp(max(int(until.min()), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat([b[["at", "value", "first"]] for b in batches]).sort_values(["at", "value"])
-        before = state.get if state.exists else None
-        if before is not None:
-            rows = rows[rows["at"] > before[1]]
-        if len(rows):
-            at, value = rows["at"].to_numpy(), rows["value"].to_numpy()
-            first = rows["first"].iloc[0]
-            rate = _rates(at, value, before, on_reset, None if pd.isna(first) else float(first), interval)
-            state.update((float(value[-1]), float(at[-1])))
-            known = ~np.isnan(rate)
-            out = pd.DataFrame({n: k for n, k in zip(names, key)}, index=range(int(known.sum())))
-            out["at"], out["value"] = at[known], rate[known]
-            yield out
-        if state.exists and ttl_seconds is not None:
-            state.setTimeoutTimestamp(int((state.get[1] + ttl_seconds) * 1000))
 
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names],
                            T.StructField("at", T.DoubleType()), T.StructField("value", T.DoubleType())])
     timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.EventTimeTimeout
-    rated = readings.groupBy(*names).applyInPandasWithState(step, schema, _RATE_STATE, "append", timeout)
+    rated = dealt.groupBy(BUCKET).applyInPandasWithState(step, schema, _RATE_STATE, "append", timeout)
     ts = F.timestamp_micros(F.round(F.col("at") * F.lit(1e6)).cast("bigint")).alias("ts")
     if by is not None:
         rated = rated.select(*names, ts, "value")
@@ -157,20 +178,22 @@ def stream_rate(
     return rated if passed is None else rated.unionByName(passed)
 
 
-def _rates(at, value, before, on_reset: str, first_value, interval: float):
-    """Rates of one series in time order; nan where there is none."""
-    last_value, last_at = before if before is not None else (np.nan, np.nan)
-    delta = value - np.concatenate(([last_value], value[:-1]))
-    elapsed = at - np.concatenate(([last_at], at[:-1]))
+def _rates(rows: pd.DataFrame, on_reset: str, interval: float):
+    """Rates of sorted readings of some series beside what was known of these before; nan where there is none."""
+    one, two = (rows[n].to_numpy() for n in _SERIES)
+    begins = np.ones(len(rows), dtype=bool)
+    begins[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    at, value = rows["at"].to_numpy("float64"), rows["value"].to_numpy("float64")
+    delta = value - np.where(begins, rows["last_value"], np.roll(value, 1))
+    elapsed = at - np.where(begins, rows["last_at"], np.roll(at, 1))
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = np.where(elapsed == 0, np.nan, delta / elapsed)
         if on_reset == "null":
             rate = np.where(delta < 0, np.nan, rate)
         elif on_reset == "zero_base":
             rate = np.where(delta < 0, value / elapsed, rate)
-    if before is None and first_value is not None:
-        rate[0] = (value[0] - first_value) / interval
-    return rate
+    first = rows["first"].to_numpy("float64")
+    return np.where(begins & rows["seen"].isna() & ~np.isnan(first), (value - first) / interval, rate)
 
 
 def append_to_table(stream: DataFrame, path: str, checkpoint: str, *, partition_by: Sequence[str] = (), once: bool = False) -> StreamingQuery:
@@ -330,10 +353,6 @@ def _tick(clock: KeyedTable, newest: int, job: str, batch: int) -> tuple[int | N
     return before, now
 
 
-#: Hashes that stand for a series in the table of last readings.
-_SERIES = ["_key", "_key_too"]
-
-
 def stream_rates(
     points: DataFrame,
     path: str,

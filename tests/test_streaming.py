@@ -239,3 +239,32 @@ def test_batches_without_adaptive_execution_write_few_files(spark, tmp_path):
     assert query.awaitTermination(60)
     assert P.read_rollups(spark, str(tmp_path / "table")).count() == 400
     assert len(list((tmp_path / "table").glob("*/*/*.parquet"))) <= 20 + 4  # one for each measurement, and where tasks meet
+
+
+def in_steps(spark, folder, *steps):
+    for data in steps:
+        spark.createDataFrame(data, POINT_SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(POINT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def reading(job, second, value):
+    return ("m", "h", {"job": job}, T0 + dt.timedelta(seconds=second), "derive", float(value))
+
+
+def test_stream_rate_keeps_a_state_for_each_bucket(spark, tmp_path):
+    """There used to be a call and a state for each series."""
+    stream = in_steps(spark, tmp_path / "in", [reading(f"j{k}", 0, k) for k in range(60)], [reading(f"j{k}", 60, k + 60) for k in range(60)])
+    q = J.append_to_table(J.stream_rate(stream, ["job"], buckets=4), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
+    assert q.awaitTermination(60)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["job"] for r in rows) == sorted(f"j{k}" for k in range(60)) and {r["value"] for r in rows} == {1.0}
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= 4
+
+
+def test_stream_rate_forgets_one_series_of_a_bucket(spark, tmp_path):
+    first = [reading("a", 0, 0), reading("b", 0, 0), reading("b", 1000, 1000)]
+    stream = in_steps(spark, tmp_path / "in", first, [reading("b", 1050, 1050)], [reading("a", 1100, 1100), reading("b", 1100, 1100)])
+    rated = J.stream_rate(stream, ["job"], first_value=0, ttl_seconds=300, watermark="10 seconds", buckets=1)
+    got = sorted((r["job"], r["value"]) for r in finish(spark, rated, tmp_path).collect())
+    # In the second step a was silent for too long, so it counts as new: 1100 / 60.
+    assert got == [("a", 0.0), ("a", 1100 / 60), ("b", 0.0), ("b", 1.0), ("b", 1.0), ("b", 1.0)]
