@@ -209,17 +209,17 @@ def _fan_out(
     dropped: frozenset[str],
 ) -> DataFrame:
     table = D.LayoutTable(layouts, slots, dropped)
-    # As many rows as the catalog has fields, whatever the data.
-    points = records.join(F.broadcast(table.frame(records.sparkSession)), "_layout")
-    tags = F.expr(table.tag_map())
     more = {}
     for layout in layouts:
         env = slots.environment(layout)
         made = [e.tag_map(env["content"](e.field)) for e in extended if e.item in layout.item.names()]
         if made:
             more[layout.number] = f"map_concat({', '.join(made)})" if len(made) > 1 else made[0]
-    if more:
-        tags = F.map_concat(tags, D.numbered_case("_layout", more, TPL.NO_TAGS))
+    if more:  # once for each record, not for each of its points
+        records = records.withColumn("_more", D.numbered_case("_layout", more, TPL.NO_TAGS))
+    # As many rows as the catalog has fields, whatever the data.
+    points = records.join(F.broadcast(table.frame(records.sparkSession)), "_layout")
+    tags = F.map_concat(F.expr(table.tag_map()), "_more") if more else F.expr(table.tag_map())
     rendered = {name: F.expr(table.rendered(name)).alias(name) for name in D.RENDERED}
     out = points.select(
         rendered["measurement"],

@@ -7,9 +7,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from texts import bulk_file, counter_file, disk_report, mdt_jobs, ost_jobs, quota_file, timed_file
 
 from tallyflow.definitions import burst_buffer, disk_array, gpfs, infiniband, lustre
+from tallyflow.functions.tags import PROCNAME_UID
 from tallyflow.model import SNAPSHOT_SCHEMA
 from tallyflow.operators import extract as E
 from tallyflow.operators.dispatch import plain_numbers
+from tallyflow.session import tune
 from tallyflow.sources.points import metric_path
 
 AT = dt.datetime(2024, 1, 1)
@@ -431,3 +433,15 @@ def test_every_disk_array_release_reads_its_report(spark, version):
     assert rate[("0", "iops")] == 9 and rate[("0", "W_KiBps")] == 6 and rate[("1", "R_KiBps")] == 0
     assert values(p, "pd_latency", "type", "latency")[("write", "avg")] == 3
     assert values(p, "pd_iosize", "type", "iosize")[("read", "gt4MiB")] == 4
+
+
+def test_extended_tags_are_read_once_for_each_record(spark):
+    """They used to be read for each of a record's points, above the join that makes these."""
+    snaps = spark.createDataFrame([("h", "/x", None, "c")], "host string, path string, collected_at timestamp, content string")
+    owner = E.ExtendedParse("ost_jobstats", "job_id", PROCNAME_UID, ("procname", "uid"))
+    plan = E.extract(snaps, lustre.definition("2.12"), extended=[owner])._jdf.queryExecution().optimizedPlan().toString()
+    assert PROCNAME_UID in plan and PROCNAME_UID not in plan[: plan.index("Join")]
+
+
+def test_tuned_sessions_leave_no_method_too_long_to_be_compiled(spark):
+    assert tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
