@@ -12,6 +12,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Pin what results depend on and turn on runtime re-planning.
 
     Windows are aligned to the epoch, so the session time zone must be UTC.
+    Java does not compile methods of over 8000 bytes, and extraction's stages
+    generate such ones; with the limit they run as operators of small methods.
     Nothing about cluster size is set here: shuffle partitions, executor memory
     and the checkpoint folder belong to the cluster's own configuration.
     """
@@ -20,6 +22,7 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
