@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.common import checkpointed, small_batches
 
-SHARE = 18
+SHARE = 20
 #: The end of a text; no word has a blank.
 END = b" "
 #: Distinct words that a task counts before it hands them on.

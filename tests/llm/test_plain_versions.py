@@ -166,3 +166,26 @@ def test_tree_scores_are_those_of_a_plain_tree(spark):
     got = {r.doc_id: r.score for r in context_tree.score(frame(texts), tree).collect()}
     for k, t in enumerate(texts):
         assert got[k] == pytest.approx(plain_tree_score([x.encode() for x in training], (t or "").encode()), rel=1e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("share, chunk", [(0, 1), (3, 1), (3, 1 << 17)])
+def test_rare_contexts_are_nodes_of_the_tree(spark, monkeypatch, share, chunk):
+    monkeypatch.setattr(context_tree, "SHARE", share)  # hardly any string is broadcast
+    monkeypatch.setattr(context_tree, "CHUNK", chunk, raising=False)
+    training = ["the cat sat on the mat", "the dog sat", None, "a cat, a dog; é", "the cat sat on the mat", "\n\n"]
+    texts = [*training, "the cat", "zebra Z", "é", "日本", "", "the cat sat " * 40]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    tree = context_tree.fit(context_tree.counted(frame(training)))
+    rows = context_tree.score(frame(texts), tree).collect()
+    got = {r.doc_id: r.score for r in rows}
+    assert len(rows) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(plain_tree_score([(x or "").encode() for x in training], (t or "").encode()), rel=1e-9)
+
+
+def test_scores_with_nothing_to_learn_from(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    tree = context_tree.fit(context_tree.counted(frame([])))
+    got = context_tree.score(frame([(None, "ab"), (None, None)]), tree).collect()
+    assert sorted(r.score for r in got) == pytest.approx([-24 * math.log10(2), -8 * math.log10(2)])
+    assert context_tree.score(frame([]), tree).count() == 0
