@@ -180,6 +180,31 @@ def test_long_repeats(spark, tmp_path, monkeypatch, texts):
             assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_classes_stay_whole_however_they_are_joined(spark):
+    """Four texts of each class hold one string; the classes' rows are too large to broadcast, their counts are not."""
+    from tallyflow.llm import bwt_dedup
+
+    rows = []
+    for k in range(300):
+        common = sentence(k, 100)[:400]
+        rows += [(k, 4 * k + j, k, 4 * k + j, 10, bytearray(f"{j}{j}{j}{common}{j}{j}".encode())) for j in range(4)]
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    settings["spark.sql.autoBroadcastJoinThreshold"] = "16k"
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        classes = spark.createDataFrame(rows, "ah2 bigint, ch2 bigint, ah bigint, ch bigint, base bigint, body binary")
+        found = bwt_dedup._by_class(classes)
+        # Whether Spark changes the join depends on which of its stages ends first; the plan has to rule out the harm.
+        assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.ah, r.ch): r.ranges for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(r[2], r[3]): [(13, 13)] for r in rows}
+
+
 def test_word_model_and_tree_scores(spark, texts):
     tokens = lambda t: (t or "").encode().lower().split() + [b" "]
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
