@@ -155,7 +155,9 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     index = spread.mapInArrow(_index_keys, "key bigint, a bigint")
     probe = spread.mapInArrow(_probe_keys, "key bigint, b bigint")
     near = (F.col("a") < F.col("b")) & (differing(F.col("a"), F.col("b")) <= radius)
-    return index.join(probe, (index["key"] == probe["key"]) & near).select("a", "b").distinct()
+    # A fingerprint has three rows here and up to 108 there.  Spark takes both for as large as the fingerprints and would
+    # broadcast either; merged, neither side has to fit anywhere.
+    return index.hint("merge").join(probe, (index["key"] == probe["key"]) & near).select("a", "b").distinct()
 
 
 def _rooted(fps: DataFrame, radius: int) -> DataFrame:
@@ -189,7 +191,8 @@ def first_of_each(
     c = F.col
     th, rid, rth, times = fresh(docs, "th", "rid", "rth", "times")
     fps = checkpointed(fingerprints(docs, id_col, text, shingle))
-    rooted = fps.join(_rooted(fps, radius).select("fp", "root"), "fp")
+    # Two joins are merged, as repeated rows take next to nothing in the files by which Spark sizes documents and fingerprints.
+    rooted = fps.join(_rooted(fps, radius).select("fp", "root").hint("merge"), "fp")
     found = checkpointed(rooted.groupBy("root", "id", "th").agg(F.count("*").alias("times")))
     one = F.struct(c("id").isNull().alias("none"), "id", "th", "times")
     stays = found.groupBy("root").agg(F.min(one).alias("s")).select("root", "s.*")
@@ -200,7 +203,8 @@ def first_of_each(
         stays.where("times > 1").select("id", "th", "times")
     )
     own = [f"`{x}`" for x in docs.columns]
-    marked = docs.withColumn(th, text_hash(text)).join(marks, c(id_col).eqNullSafe(c(rid)) & (c(th) == c(rth)), "left")
-    once = marked.where(c(times).isNull()).select(*own)
+    hashed, on = docs.withColumn(th, text_hash(text)), c(id_col).eqNullSafe(c(rid)) & (c(th) == c(rth))
+    once = hashed.join(marks, on, "left").where(c(times).isNull()).select(*own)
     # Rows that repeat id and text are few; only they are brought together.
-    return once.union(marked.where(c(times) > 1).dropDuplicates([id_col, th]).select(*own))
+    repeated = hashed.join(marks.where(c(times) > 1).hint("merge"), on)
+    return once.union(repeated.dropDuplicates([id_col, th]).select(*own))

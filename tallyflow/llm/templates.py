@@ -38,6 +38,8 @@ WINDOW = 10
 PLAIN = 5
 #: Bits of the bitmap, as a power of two: 2 MB whatever the benchmark's size.
 BITMAP = 24
+#: Bytes of benchmark windows up to which they are broadcast.
+BROADCAST = 1 << 23
 #: Distinct tokens a task remembers before it starts anew; only speed depends on it.
 REMEMBERED = 400_000
 
@@ -218,7 +220,12 @@ def matches(
     spark = docs.sparkSession
     small_batches(spark)
     windows = item_windows(items, item_id, item_text)
-    lengths = sorted(int(r[0]) for r in windows.select("length").distinct().collect())  # WINDOW at most
+    # A window is about 96 bytes, its slots and its item's id.  Spark would go by the size of the items' files, which is far
+    # less for a benchmark that compresses well, so it is not left to choose what is broadcast.
+    held = F.octet_length(F.concat_ws("", "item_slots", F.col("item_id").cast("string")))
+    size = F.lit(96).cast("bigint") + 16 * F.size("item_slots") + held
+    sized = dict(windows.groupBy("length").agg(F.sum(size)).collect())
+    lengths = sorted(map(int, sized))  # WINDOW at most
     shared = spark.sparkContext.broadcast(_bitmap(windows))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -249,7 +256,8 @@ def matches(
         run, f"id {kind}, th bigint, at bigint, wh bigint, slots array<string>"
     )
     same = F.col("slots") == F.col("item_slots")
-    joined = hits.join(windows, "wh").where(same | ((F.col("plain") >= PLAIN) & (F.size("slots") == F.size("item_slots"))))
+    looked_up = windows.hint("broadcast" if sum(sized.values()) <= BROADCAST else "merge")
+    joined = hits.join(looked_up, "wh").where(same | ((F.col("plain") >= PLAIN) & (F.size("slots") == F.size("item_slots"))))
     passage = joined.groupBy("id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.collect_set("item_at").alias("places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
