@@ -177,7 +177,8 @@ def components(
     rooted = _rooted(fps, radius)
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = rooted.join(names, "root").select("fp", "component")
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    # Merged, as repeated rows take next to nothing in the files by which Spark sizes the fingerprints.
+    return fps.join(by_fp.hint("merge"), "fp").select("id", "fp", "component")
 
 
 def first_of_each(

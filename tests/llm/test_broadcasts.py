@@ -33,6 +33,13 @@ def test_index_and_look_ups_of_fingerprints_are_merged(spark):
     assert {kind for kind, _, _ in joins(found)} == {"SortMergeJoin"}
 
 
+def test_fingerprints_of_copies_are_merged(spark, copies):
+    found = simhash_golay.components(copies)
+    assert {r.component for r in found.collect()} == set(range(5)) and found.count() == 10_003
+    kinds = {(kind, build) for kind, keys, build in joins(found) if keys.startswith("[fp#")}
+    assert kinds and ("BroadcastHashJoin", "BuildLeft") not in kinds
+
+
 def test_documents_with_copies_are_not_broadcast(spark, copies):
     left = simhash_golay.first_of_each(copies)
     assert sorted(r.doc_id for r in left.collect()) == list(range(5))
